@@ -1,0 +1,27 @@
+"""Data quality on Spark: profile, detect, score, advise, repair and measure again."""
+
+from qualframe.model import Decision, Issue, Thresholds
+from qualframe.operators.detect import detect, detect_issues
+from qualframe.operators.fixes import FixRejected, apply_all, apply_fix
+from qualframe.operators.profile import profile_columns
+from qualframe.operators.score import score_issues
+from qualframe.plans.clean import analyze, apply, clean
+from qualframe.sources.delimited import LoadError, read_delimited
+
+__all__ = [
+    "Decision",
+    "FixRejected",
+    "Issue",
+    "LoadError",
+    "Thresholds",
+    "analyze",
+    "apply",
+    "apply_all",
+    "apply_fix",
+    "clean",
+    "detect",
+    "detect_issues",
+    "profile_columns",
+    "read_delimited",
+    "score_issues",
+]
