@@ -13,109 +13,147 @@ REASON_LENGTH = 800
 ERRORS_SHOWN = 4
 
 
-def _json_array(raw: Column) -> tuple[Column, Column]:
-    """(array text, whether the reply is readable) from plain, fenced or wrapped JSON."""
-    bare = strip(F.regexp_replace(strip(raw), r"(?im)^```(?:json)?\s*|\s*```$", ""))
-    parsed = F.try_parse_json(bare)
-    first_list = F.filter(
-        F.map_values(F.from_json(F.when(bare.startswith("{"), bare), "map<string,string>")),
-        lambda v: v.startswith("["),
+# Position given to the fault of leaving issues out, so that it comes last.
+LAST = 2_147_483_647
+
+
+def _array_text(replies: DataFrame) -> DataFrame:
+    """(run_id, text): the JSON array inside a plain, fenced or wrapped reply; null if there is none."""
+    raw, bare = F.col("reply"), F.col("bare")
+    fences = F.regexp_replace(strip(raw), r"(?im)^```(?:json)?\s*|\s*```$", "")
+    staged = replies.select("run_id", strip(fences).alias("bare")).withColumn(
+        "whole", F.try_parse_json(bare).isNotNull()
     )
+    wrapped = F.from_json(F.when(bare.startswith("{"), bare), "map<string,string>")
+    first_list = F.get(F.filter(F.map_values(wrapped), lambda v: v.startswith("[")), 0)
     start, back = F.instr(bare, "["), F.instr(F.reverse(bare), "]")
     between = F.substring(bare, start, F.length(bare) - back - start + 2)
-    text = F.when(
-        parsed.isNotNull(), F.when(bare.startswith("["), bare).otherwise(F.get(first_list, 0))
-    ).when((start > 0) & (back > 0), between)
-    return text, parsed.isNotNull()
-
+    return staged.select(
+        "run_id",
+        F.when(F.col("whole"), F.when(bare.startswith("["), bare).otherwise(first_list))
+        .when((start > 0) & (back > 0), between)
+        .alias("text"),
+    )
 
-def check_replies(replies: DataFrame, issues: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(advice, errors) from ``replies(run_id, reply)`` and the ``issues`` of those runs.
 
-    A reply counts only as a whole: with one unknown id, one strategy off the menu, one malformed item
-    or one issue left out, all of it is turned down and ``errors(run_id, message)`` says why.
-    """
-    text, _ = _json_array(F.col("reply"))
-    read = replies.select("run_id", F.try_parse_json(text).try_cast("array<variant>").alias("items"))
-    unreadable = read.where("items is null").select(
-        "run_id", F.lit(-1).alias("position"), F.lit("The reply holds no JSON array.").alias("message")
+def _items(replies: DataFrame) -> DataFrame:
+    """One row per reply item with its fields; unreadable and empty replies keep one row without."""
+    fields = ("id", "strategy", "reasoning", "confidence", "fill_value")
+    parsed = F.try_parse_json("text")
+    read = _array_text(replies).select(
+        "run_id", F.try_variant_get(parsed, "$", "array<variant>").alias("items")
     )
+    rows = read.select("run_id", F.col("items").isNull().alias("unreadable"), F.posexplode_outer("items"))
+    got = {n: F.try_variant_get(F.col("col"), f"$.{n}", "variant") for n in fields}
+    staged = rows.select("run_id", "unreadable", F.col("pos").alias("position"), *[c.alias(n) for n, c in got.items()])
 
-    def text_field(name: str) -> Column:
-        value = F.col("item")
-        return F.when(_type_of(name) == "STRING", F.try_variant_get(value, f"$.{name}", "string"))
-
-    def _type_of(name: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(F.col("item"), f"$.{name}", "variant"))
+    def typed(name: str) -> Column:
+        """The text of a field; null when it is of another type."""
+        return F.when(F.schema_of_variant(name) == "STRING", F.try_variant_get(F.col(name), "$", "string"))
 
     def absent(name: str) -> Column:
-        return F.try_variant_get(F.col("item"), f"$.{name}", "variant").isNull()
+        return F.col(name).isNull()
 
-    items = read.select("run_id", F.posexplode("items").alias("position", "item"))
-    confidence = F.try_variant_get(F.col("item"), "$.confidence", "double")
-    fill_type = F.coalesce(_type_of("fill_value"), F.lit("VOID"))
-    fields = items.select(
+    fill_type = F.schema_of_variant("fill_value")
+    return staged.select(
         "run_id",
+        "unreadable",
         "position",
-        text_field("id").alias("issue_id"),
-        text_field("strategy").alias("strategy"),
-        F.when(absent("reasoning"), F.lit("")).otherwise(text_field("reasoning")).alias("reasoning"),
-        F.when(absent("confidence"), F.lit(DEFAULT_CONFIDENCE)).otherwise(confidence).alias("confidence"),
-        text_field("fill_value").alias("fill_value"),
-        fill_type.isin("STRING", "VOID").alias("fill_ok"),
+        typed("id").alias("issue_id"),
+        typed("strategy").alias("strategy"),
+        F.when(absent("reasoning"), F.lit("")).otherwise(typed("reasoning")).alias("reasoning"),
+        F.when(absent("confidence"), F.lit(DEFAULT_CONFIDENCE))
+        .otherwise(F.try_variant_get(F.col("confidence"), "$", "double"))
+        .alias("confidence"),
+        F.when(fill_type == "STRING", F.try_variant_get(F.col("fill_value"), "$", "string")).alias("fill_value"),
+        F.coalesce(fill_type, F.lit("VOID")).isin("STRING", "VOID").alias("fill_ok"),
     )
+
+
+def _checked(replies: DataFrame, issues: DataFrame) -> DataFrame:
+    """Items beside the issues they answer, with what is wrong with either."""
+    strategy, kind = F.col("strategy"), F.col("issue_type")
     well_formed = (
         F.col("issue_id").isNotNull()
-        & F.col("strategy").isNotNull()
+        & strategy.isNotNull()
         & F.col("reasoning").isNotNull()
         & F.coalesce(F.col("confidence").between(0, 1), F.lit(False))
         & F.col("fill_ok")
     )
     menu = F.create_map(
-        *[x for kind, names in M.MENU.items() for x in (F.lit(kind), F.array(*map(F.lit, names)))]
+        *[x for name, allowed in M.MENU.items() for x in (F.lit(name), F.array(*map(F.lit, allowed)))]
     )
-    known = issues.select("run_id", "issue_id", "issue_type")
-    checked = fields.join(known, ["run_id", "issue_id"], "left").withColumn(
-        "message",
-        F.when(~well_formed, F.lit("A reply item is malformed."))
-        .when(F.col("issue_type").isNull(), F.concat(F.lit("Unknown issue id "), "issue_id"))
+    message = (
+        F.when(F.col("unreadable"), F.lit("The reply holds no JSON array."))
+        .when(F.col("position").isNull(), F.lit(None))
+        .when(~well_formed, F.lit("A reply item is malformed."))
+        .when(kind.isNull(), F.concat(F.lit("Unknown issue id "), "issue_id"))
         .when(
-            ~F.array_contains(menu[F.col("issue_type")], F.col("strategy")),
-            F.concat("strategy", F.lit(" is not allowed for "), "issue_id"),
-        ),
+            ~F.array_contains(menu[kind], strategy), F.concat(strategy, F.lit(" is not allowed for "), "issue_id")
+        )
     )
-    good = checked.where("message is null")
-    asked = known.join(replies.select("run_id").distinct(), "run_id", "left_semi")
-    left_out = (
-        asked.join(good, ["run_id", "issue_id"], "left_anti")
-        .groupBy("run_id")
-        .agg(F.min("issue_id").alias("first"), F.count(F.lit(1)).alias("n"))
-        .join(unreadable.select("run_id"), "run_id", "left_anti")
-        .select(
-            "run_id",
-            F.lit(2_147_483_647).alias("position"),
-            F.concat(F.lit("Missing "), F.col("n").cast("string"), F.lit(" ids, first "), "first").alias("message"),
+    known = issues.select("run_id", "issue_id", "issue_type")
+    joined = _items(replies).join(known, ["run_id", "issue_id"], "full_outer")
+    of_issue = Window.partitionBy("run_id", "issue_id")
+    # Rows of one run: the items one reply cell holds, and the issues of one scan.
+    of_run = Window.partitionBy("run_id")
+    answered = F.col("position").isNotNull() & F.col("message").isNull()
+    return (
+        joined.withColumn("message", message)
+        .withColumn("answered", F.coalesce(F.max(answered).over(of_issue), F.lit(False)))
+        .withColumn("nth_item", F.row_number().over(of_issue.orderBy(F.desc_nulls_last("position"))))
+        .withColumn("left_out", kind.isNotNull() & ~F.col("answered") & (F.col("nth_item") == 1))
+        .withColumn("replied", F.max(F.col("unreadable").isNotNull()).over(of_run))
+        .where("replied")
+        .withColumn("no_array", F.coalesce(F.max("unreadable").over(of_run), F.lit(False)))
+        .withColumn(
+            "turned_down",
+            F.max(F.col("message").isNotNull() | F.col("left_out")).over(of_run),
         )
     )
-    faults = unreadable.unionByName(
-        checked.where("message is not null").select("run_id", "position", "message")
-    ).unionByName(left_out)
-    nth = F.row_number().over(Window.partitionBy("run_id").orderBy("position"))
-    errors = faults.withColumn("nth", nth).where(F.col("nth") <= ERRORS_SHOWN)
-
-    last = F.row_number().over(Window.partitionBy("run_id", "issue_id").orderBy(F.desc("position")))
-    advice = (
-        good.join(faults.select("run_id").distinct(), "run_id", "left_anti")
-        .withColumn("nth", last)
-        .where("nth = 1")
-        .select(
-            "run_id",
-            "issue_id",
-            "strategy",
-            F.left(strip(F.col("reasoning")), F.lit(REASON_LENGTH)).alias("reasoning"),
-            F.round("confidence", 3).alias("confidence"),
-            "fill_value",
-            F.lit("llm").alias("source"),
+
+
+def check_replies(replies: DataFrame, issues: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(advice, errors) from ``replies(run_id, reply)`` and the ``issues`` of those runs.
+
+    A reply counts only as a whole: with one unknown id, one strategy off the menu, one malformed item
+    or one issue left out, all of it is turned down and ``errors(run_id, nth, message)`` says why.
+    """
+    checked = _checked(replies, issues)
+    advice = checked.where("not turned_down and nth_item = 1 and position is not null").select(
+        "run_id",
+        "issue_id",
+        "strategy",
+        F.left(strip(F.col("reasoning")), F.lit(REASON_LENGTH)).alias("reasoning"),
+        F.round("confidence", 3).alias("confidence"),
+        "fill_value",
+        F.lit("llm").alias("source"),
+    )
+    # The issues left out make one line per run; every other fault is a line of its own.
+    missing = F.col("left_out") & ~F.col("no_array")
+    of_run = Window.partitionBy("run_id")
+    left_out = checked.withColumns(
+        {
+            "lost": F.count_if(missing).over(of_run),
+            "first_lost": F.min(F.when(missing, F.col("issue_id"))).over(of_run),
+        }
+    ).where("turned_down")
+    own = F.struct(F.coalesce("position", F.lit(-1)).alias("at"), F.col("message").alias("message"))
+    summary = F.concat(F.lit("Missing "), F.col("lost").cast("string"), F.lit(" ids, first "), "first_lost")
+    lines = F.array_compact(
+        F.array(
+            F.when(F.col("message").isNotNull(), own),
+            F.when(
+                missing & (F.col("issue_id") == F.col("first_lost")),
+                F.struct(F.lit(LAST).alias("at"), summary.alias("message")),
+            ),
         )
     )
-    return advice, errors.select("run_id", "nth", "message")
+    nth = F.row_number().over(Window.partitionBy("run_id").orderBy("line.at"))
+    errors = (
+        left_out.select("run_id", F.explode(lines).alias("line"))
+        .withColumn("nth", nth)
+        .where(F.col("nth") <= ERRORS_SHOWN)
+        .select("run_id", "nth", "line.message")
+    )
+    return advice, errors

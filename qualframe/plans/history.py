@@ -21,15 +21,39 @@ ACTORS = ("system", "detector", "ai", "human")
 DETAIL_LENGTH = 2_000
 MOST_RUNS_LISTED = 200
 
-RUN_SCHEMA = T.StructType.fromDDL(
-    "run_id string, filename string, status string, created_at string, updated_at string, "
-    "rows_before bigint, rows_after bigint, columns_before int, columns_after int, "
-    "score_before double, score_after double, issues_found bigint, fixes_applied bigint, "
-    "provider string, model string, llm_calls int, prompt_tokens bigint, completion_tokens bigint, "
-    "advice_fallbacks int, warnings array<string>, error string"
+_TEXT, _LONG, _INT, _REAL = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType()
+RUN_SCHEMA = (
+    T.StructType()
+    .add("run_id", _TEXT)
+    .add("filename", _TEXT)
+    .add("status", _TEXT)
+    .add("created_at", _TEXT)
+    .add("updated_at", _TEXT)
+    .add("rows_before", _LONG)
+    .add("rows_after", _LONG)
+    .add("columns_before", _INT)
+    .add("columns_after", _INT)
+    .add("score_before", _REAL)
+    .add("score_after", _REAL)
+    .add("issues_found", _LONG)
+    .add("fixes_applied", _LONG)
+    .add("provider", _TEXT)
+    .add("model", _TEXT)
+    .add("llm_calls", _INT)
+    .add("prompt_tokens", _LONG)
+    .add("completion_tokens", _LONG)
+    .add("advice_fallbacks", _INT)
+    .add("warnings", T.ArrayType(_TEXT))
+    .add("error", _TEXT)
 )
-AUDIT_SCHEMA = T.StructType.fromDDL(
-    "run_id string, seq bigint, at string, actor string, event string, detail string"
+AUDIT_SCHEMA = (
+    T.StructType()
+    .add("run_id", _TEXT)
+    .add("seq", _LONG)
+    .add("at", _TEXT)
+    .add("actor", _TEXT)
+    .add("event", _TEXT)
+    .add("detail", _TEXT)
 )
 
 
