@@ -53,7 +53,7 @@ def read_delimited(
     if delimiter is None:
         delimiter = "\t" if path.lower().endswith(".tsv") else sniff_delimiter(header)
     names = _header_names(spark, header, delimiter)
-    schema = ", ".join(f"c{i} string" for i in range(len(names))) + ", broken string"
+    schema = ", ".join(f"c{i} string" for i in range(len(names)))
     raw = (
         spark.read.schema(schema)
         .option("header", True)
@@ -62,7 +62,6 @@ def read_delimited(
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "broken")
         .option("encoding", "UTF-8")
         .option("multiLine", multi_line)
         .csv(path)
@@ -96,7 +95,7 @@ def require_rows(df: DataFrame) -> DataFrame:
 
 
 def broken_rows(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """Lines that do not fit the header: too many or too few fields, or open quotes."""
+    """Lines that do not fit the header (too many or too few fields), with the cells read from them."""
     header = _header_line(spark, path)
     delimiter = delimiter or ("\t" if path.lower().endswith(".tsv") else sniff_delimiter(header))
     names = _header_names(spark, header, delimiter)
@@ -105,7 +104,8 @@ def broken_rows(spark: SparkSession, path: str, delimiter: str | None = None) ->
     raw = spark.read.schema(schema).csv(
         path, header=True, sep=delimiter, quote='"', escape='"', columnNameOfCorruptRecord="broken"
     )
-    return raw.select("broken", *fields).where("broken is not null").select("broken")
+    kept = [F.col(f).alias(name) for f, name in zip(fields, names)]
+    return raw.where("broken is not null").select(F.col("broken").alias("line"), *kept)
 
 
 def preview(df: DataFrame, rows: int = 20, order_by: list[str] | None = None) -> DataFrame:

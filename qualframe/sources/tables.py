@@ -28,7 +28,15 @@ def write_delimited(df: DataFrame, path: str, mode: str = "errorifexists") -> No
     if HIDDEN in df.columns:
         df = df.sortWithinPartitions(HIDDEN)
     cells = [V.as_text(V.quoted(c)).alias(c) for c in df.columns if c != HIDDEN]
-    df.select(*cells).write.mode(mode).csv(path, header=True, quote='"', escape='"', emptyValue="")
+    df.select(*cells).write.mode(mode).csv(
+        path,
+        header=True,
+        quote='"',
+        escape='"',
+        emptyValue="",
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+    )
 
 
 def land(df: DataFrame, path: str) -> DataFrame:
