@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,6 +58,8 @@ NUMBER_LAYOUT = (
 )
 EMAIL_LAYOUT = rf"(?d)^[^@{SPACE_CLASS}]+@[^@{SPACE_CLASS}]+\.[A-Za-z]{{2,}}$"
 PHONE_LAYOUT = rf"(?d)^[+()\-.{SPACE_CLASS}\p{{Nd}}]{{7,20}}$"
+# Length of the shortest date text, such as 1/1/2026.
+SHORTEST_DATE = 8
 DAY_MONTH_PAIR = r"(?d)^(\p{Nd}{1,2})[/-](\p{Nd}{1,2})[/-]\p{Nd}{2,4}$"
 
 # Plain decimal text as a number parser reads it; infinities are spelt out.
@@ -176,6 +178,54 @@ def has_format(c: Column, expected: str) -> Column:
     return is_email(c) if expected == EMAIL else is_phone(c)
 
 
+def with_stripped(cells: DataFrame) -> DataFrame:
+    """Add ``s``, the stripped ``value``, and its ``first`` and ``last`` character.
+
+    Only cells with an end that is not ordinary ASCII are run through ``strip``. Each step is a
+    projection of its own, so that no end is cut out twice.
+    """
+    value = F.col("value")
+    ends = cells.withColumns({"first": F.left(value, F.lit(1)), "last": F.right(value, F.lit(1))})
+
+    def ordinary(end: str) -> Column:
+        return (F.col(end) > " ") & (F.col(end) < "\x7f")
+
+    plain = ends.withColumn("plain", ordinary("first") & ordinary("last"))
+    stripped = plain.withColumn("s", F.when(F.col("plain"), value).otherwise(strip(value)))
+    first = F.when(F.col("plain"), F.col("first")).otherwise(F.left("s", F.lit(1)))
+    last = F.when(F.col("plain"), F.col("last")).otherwise(F.right("s", F.lit(1)))
+    return stripped.withColumns({"first": first, "last": last}).drop("plain")
+
+
+def with_flags(cells: DataFrame) -> DataFrame:
+    """Add ``number``, ``date`` and ``parseable`` to the cells of ``with_stripped``.
+
+    The same answers as the three patterns, most of them without running a pattern: what starts with
+    an ASCII letter is no number and, unless it ends in a digit, no date; a number is no date; a number
+    written without signs, commas and percent is parseable.
+    """
+    value, s, first, last = (F.col(n) for n in ("value", "s", "first", "last"))
+    letter = ((first >= "A") & (first <= "Z")) | ((first >= "a") & (first <= "z"))
+    cells = cells.withColumn("letter", letter)
+    letter, number, date = F.col("letter"), F.col("number"), F.col("date")
+    no = F.lit(False)
+    cells = cells.withColumn("number", F.when(~letter, s.rlike(NUMBER_LAYOUT)).otherwise(no))
+    closing = ~letter | ((last >= "0") & ((last <= "9") | (last > "\x7f")))
+    maybe_date = ~number & closing & (F.octet_length(s) >= SHORTEST_DATE)
+    cells = cells.withColumn("date", F.when(maybe_date, s.rlike(DATE_LAYOUT)).otherwise(no))
+    bare = (
+        number
+        & (value == s)
+        & (F.octet_length(s) == F.length(s))
+        & ~s.contains(",")
+        & ~s.contains("%")
+        & ~s.contains("$")
+    )
+    maybe = ~date & (~letter | first.isin("i", "I"))
+    parseable = F.when(bare, F.lit(True)).when(maybe, value.rlike(PARSEABLE_NUMBER)).otherwise(no)
+    return cells.withColumn("parseable", parseable).drop("letter")
+
+
 def date_shape(c: Column) -> Column:
     """Layout of a date text: digit runs become #, letter runs become A."""
     return F.regexp_replace(F.regexp_replace(strip(c), r"\p{Nd}+", "#"), "[A-Za-z]+", "A")

@@ -58,7 +58,15 @@ def count_copies(df: DataFrame, examples: int = 3) -> tuple[int, list[str]]:
 
     Without a known row order the examples are the lowest repeated rows.
     """
-    hashes = repeated_hashes(df)
+    # Read by up to three jobs; a lost part is computed again.
+    hashes = repeated_hashes(df).persist()
+    try:
+        return _count_copies(df, hashes, examples)
+    finally:
+        hashes.unpersist()
+
+
+def _count_copies(df: DataFrame, hashes: DataFrame, examples: int) -> tuple[int, list[str]]:
     how_many = hashes.count()
     if not how_many:
         return 0, []
@@ -70,11 +78,8 @@ def count_copies(df: DataFrame, examples: int = 3) -> tuple[int, list[str]]:
     names = [f.name for f in data_columns(df)]
     shown = [F.left(V.as_text(V.quoted(n)), F.lit(20)).alias(n) for n in names]
     if HIDDEN in df.columns:
-        hashed = df.withColumn("row_hash", _row_hash(df))
-        firsts = hashed.groupBy("row_hash").agg(
-            F.min(HIDDEN).alias("__first"), F.count(F.lit(1)).alias("n")
-        )
-        firsts = firsts.where("n > 1").select("row_hash", "__first")
+        hashed = rows.withColumn("row_hash", _row_hash(df))
+        firsts = hashed.groupBy("row_hash").agg(F.min(HIDDEN).alias("__first"))
         if how_many <= BROADCAST_ORDERS:
             firsts = F.broadcast(firsts)
         later = hashed.join(firsts, "row_hash").where(F.col(HIDDEN) > F.col("__first"))

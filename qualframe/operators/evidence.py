@@ -41,13 +41,13 @@ def flagged_cells(
     """(kind, column, value[, row order]) of every cell that shows one of the named findings."""
     dtypes = {f.name: f.dataType for f in data_columns(df)}
     parts = []
-    value, s = F.col("value"), F.col("s")
+    value, s, present = F.col("value"), F.col("s"), F.col("present")
     kept = [*_order(df), "column", "value"]
 
     texts = list(dict.fromkeys([*padded, *invalid, *dates, *mixed]))
     if texts:
-        cells = _cells(df, texts, "string").withColumn("s", V.strip(value))
-        cells = cells.where(~V.stripped_is_placeholder(s))
+        cells = V.with_stripped(_cells(df, texts, "string"))
+        cells = cells.withColumn("present", ~V.stripped_is_placeholder(s))
 
         def emails(wanted: bool) -> list[str]:
             return [n for n, rule in invalid.items() if (rule == EMAIL) == wanted]
@@ -58,10 +58,10 @@ def flagged_cells(
         )
         kinds = F.array_compact(
             F.array(
-                F.when(column.isin(padded) & (value != s), F.lit(WHITESPACE)),
-                F.when(bad, F.lit(INVALID)),
+                F.when(column.isin(padded) & (value != s) & present, F.lit(WHITESPACE)),
+                F.when(bad & present, F.lit(INVALID)),
                 F.when(column.isin(dates) & s.rlike(V.DATE_LAYOUT), F.lit(DATES)),
-                F.when(column.isin(mixed) & ~s.rlike(V.NUMBER_LAYOUT), F.lit(MIXED)),
+                F.when(column.isin(mixed) & present & ~s.rlike(V.NUMBER_LAYOUT), F.lit(MIXED)),
             )
         )
         parts.append(cells.select(F.explode(kinds).alias("kind"), *kept))
@@ -84,19 +84,22 @@ def flagged_cells(
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
-def first_few(cells: DataFrame) -> dict[tuple[str, str], list[str]]:
+def first_few(cells: DataFrame, mixed: bool) -> dict[tuple[str, str], list[str]]:
     """{(kind, column): values}: first in row order, or lowest where no order is known.
 
-    Mixed-type findings show their lowest distinct values whatever the order.
+    Mixed-type findings, where there are any, show their lowest distinct values whatever the order.
     """
     in_order = Window.partitionBy("kind", "column").orderBy(*_order(cells), "value")
     others = cells.where(F.col("kind") != MIXED)
     ranked = [others.withColumn("nth", F.row_number().over(in_order))]
-    distinct = cells.where(F.col("kind") == MIXED).groupBy("kind", "column", "value").agg(F.lit(0).alias("o"))
-    lowest = Window.partitionBy("kind", "column").orderBy("value")
-    ranked.append(distinct.withColumn("nth", F.row_number().over(lowest)))
-    out: dict[tuple[str, str], list[tuple[int, str]]] = {}
+    if mixed:
+        distinct = (
+            cells.where(F.col("kind") == MIXED).groupBy("kind", "column", "value").agg(F.lit(0).alias("o"))
+        )
+        lowest = Window.partitionBy("kind", "column").orderBy("value")
+        ranked.append(distinct.withColumn("nth", F.row_number().over(lowest)))
     few = [r.where(F.col("nth") <= LIMIT).select("kind", "column", "nth", "value") for r in ranked]
+    out: dict[tuple[str, str], list[tuple[int, str]]] = {}
     for row in reduce(DataFrame.union, few).collect():
         out.setdefault((row["kind"], row["column"]), []).append((row["nth"], row["value"]))
     return {key: [v for _, v in sorted(found)] for key, found in out.items()}

@@ -63,13 +63,10 @@ def _shaped(known: dict[str, Column]) -> list[Column]:
 
 def _text_facts(df: DataFrame, names: list[str]) -> DataFrame:
     value, s, blank = F.col("value"), F.col("s"), F.col("blank")
-    flagged = (
-        text_cells(df, names)
-        .select("column", "value", V.strip(value).alias("s"))
-        .select(
-            "column", "value", "s", F.coalesce(V.stripped_is_placeholder(s), F.lit(True)).alias("blank")
-        )
+    cells = V.with_stripped(text_cells(df, names)).withColumn(
+        "blank", F.coalesce(V.stripped_is_placeholder(s), F.lit(True))
     )
+    flagged = V.with_flags(cells)
     expected = {n: V.expected_format(n) for n in names}
     emails = [n for n in names if expected[n] == EMAIL]
     phones = [n for n in names if expected[n] and expected[n] != EMAIL]
@@ -83,11 +80,11 @@ def _text_facts(df: DataFrame, names: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("rows"),
         F.count_if(blank).alias("blanks"),
         F.count_if(blank & (s != "")).alias("placeholders"),
-        F.count_if(~blank & s.rlike(V.NUMBER_LAYOUT)).alias("numeric_like"),
-        F.count_if(~blank & s.rlike(V.DATE_LAYOUT)).alias("date_like"),
+        F.count_if(~blank & F.col("number")).alias("numeric_like"),
+        F.count_if(~blank & F.col("date")).alias("date_like"),
         F.count_if(~blank & (F.octet_length(value) != F.octet_length(s))).alias("padded"),
         F.count_if(~blank & invalid).alias("invalid"),
-        F.count_if(~blank & value.rlike(V.PARSEABLE_NUMBER)).alias("strict_numbers"),
+        F.count_if(~blank & F.col("parseable")).alias("strict_numbers"),
         F.sum(F.octet_length(value).cast("bigint")).alias("bytes"),
         (F.min(print_of) == F.max(print_of)).alias("one_value"),
     )

@@ -6,7 +6,9 @@ column leaves each task as one row. Long texts are counted by their SHA-256 dige
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qualframe.functions import values as V
@@ -20,13 +22,15 @@ def compact(c: Column) -> Column:
     return F.when(F.length(c) > DIGEST_LENGTH, F.sha2(c, 256)).otherwise(c)
 
 
-def present_cells(df: DataFrame, names: list[str]) -> DataFrame:
-    """(column, value, s) of the present cells of text columns; ``s`` is the stripped value."""
-    return (
-        text_cells(df, names)
-        .withColumn("s", V.strip(F.col("value")))
-        .where(F.col("value").isNotNull() & ~V.stripped_is_placeholder(F.col("s")))
-    )
+def stripped_cells(df: DataFrame, names: list[str]) -> DataFrame:
+    """(column, value, s, blank) of text columns; ``s`` is the stripped value.
+
+    Blank cells are left in and flagged: a filter on ``blank`` here would be pushed below the
+    projections and repeat their work. They collapse in the counts below and are dropped there.
+    """
+    cells = V.with_stripped(text_cells(df, names))
+    blank = F.coalesce(V.stripped_is_placeholder(F.col("s")), F.lit(True))
+    return cells.withColumn("blank", blank).select("column", "value", "s", "blank")
 
 
 def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:
@@ -54,64 +58,65 @@ def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:
     )
 
 
-def case_clashes(df: DataFrame, names: list[str]) -> DataFrame:
-    """(column, groups, affected, spellings) for text columns.
+def case_clashes(df: DataFrame, names: list[str], examples: int = 3) -> DataFrame:
+    """(column, spellings, groups, affected, lows) for text columns.
 
     A group is a set of stripped values that differ in capitals only; it clashes when it has more
-    than one spelling. ``affected`` counts every row of the clashing groups.
+    than one spelling. ``affected`` counts every row of the clashing groups, ``lows`` names the first
+    few of them. Both parts below read the same groups, which are shuffled once.
     """
     spellings = (
-        present_cells(df, names)
+        stripped_cells(df, names)
         .groupBy("column", compact(F.lower("s")).alias("low"), compact(F.col("s")).alias("key"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), F.bool_or("blank").alias("blank"))
+        .where("not blank")
     )
     groups = spellings.groupBy("column", "low").agg(
         F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("n")
     )
     clash = F.col("spellings") > 1
-    return groups.groupBy("column").agg(
+    counts = groups.groupBy("column").agg(
         F.sum("spellings").alias("spellings"),
         F.count_if(clash).alias("groups"),
         F.coalesce(F.sum(F.when(clash, F.col("n"))), F.lit(0)).alias("affected"),
     )
-
-
-def clash_examples(df: DataFrame, names: list[str], groups: int = 3, spellings: int = 4) -> DataFrame:
-    """(column, low, example): the first clashing groups of each column with their spellings.
-
-    Long texts are compared in full here: only the few lowest groups are ever looked at.
-    """
-    from pyspark.sql import Window
-
+    nth = F.row_number().over(Window.partitionBy("column").orderBy("low"))
+    first = groups.where(clash & (F.col("n") > 0)).withColumn("nth", nth).where(F.col("nth") <= examples)
+    lows = first.groupBy("column").agg(F.array_sort(F.collect_list("low")).alias("lows"))
+    # One row per column on either side.
+    return counts.join(F.broadcast(lows), "column", "left")
+
+
+def clash_examples(df: DataFrame, lows: dict[str, list[str]], spellings: int = 4) -> DataFrame:
+    """(column, low, example): the first spellings of the few named groups of each column."""
+    low = compact(F.lower("s"))
+    wanted = reduce(
+        Column.__or__, [(F.col("column") == name) & low.isin(*some) for name, some in lows.items()]
+    )
     counted = (
-        present_cells(df, names)
-        .groupBy("column", F.lower("s").alias("low"), F.col("s").alias("spelling"))
+        stripped_cells(df, list(lows))
+        .where(wanted)
+        .groupBy("column", low.alias("low"), F.col("s").alias("spelling"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    clashing = counted.groupBy("column", "low").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    lowest = (
-        clashing.withColumn("g", F.row_number().over(Window.partitionBy("column").orderBy("low")))
-        .where(F.col("g") <= groups)
-        .select("column", "low")
-    )
     nth = F.row_number().over(Window.partitionBy("column", "low").orderBy("spelling"))
-    few = (
-        counted.join(F.broadcast(lowest), ["column", "low"], "left_semi")
-        .withColumn("nth", nth)
-        .where(F.col("nth") <= spellings)
-    )
-    return few.groupBy("column", "low").agg(
-        F.array_join(F.array_sort(F.collect_list("spelling")), " / ").alias("example")
+    few = counted.withColumn("nth", nth).where(F.col("nth") <= spellings)
+    return (
+        few.groupBy("column", "low")
+        .agg(F.array_join(F.array_sort(F.collect_list("spelling")), " / ").alias("example"))
+        .orderBy("column", "low")
     )
 
 
 def date_shapes(df: DataFrame, names: list[str]) -> DataFrame:
     """(column, shape, n) over the date-like cells of text columns."""
+    cells = stripped_cells(df, names).withColumn("is_date", F.col("s").rlike(V.DATE_LAYOUT))
+    shape = F.when(F.col("is_date"), V.date_shape(F.col("s")))
     return (
-        present_cells(df, names)
-        .where(F.col("s").rlike(V.DATE_LAYOUT))
-        .groupBy("column", V.date_shape(F.col("s")).alias("shape"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        cells.groupBy("column", shape.alias("shape"))
+        .agg(F.count(F.lit(1)).alias("n"), F.bool_or("is_date").alias("is_date"))
+        .where("is_date")
+        .select("column", "shape", "n")
     )
 
 

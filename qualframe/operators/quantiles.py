@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Up to this many values the built-in aggregate holds them all in one buffer.
-SMALL_COLUMN = 2_000_000
+SMALL_COLUMN = 500_000
 # A bracket with no more values than this is read out.
 READ_OUT = 4_096
 SKETCH_POINTS = 1_024
@@ -46,18 +46,25 @@ def exact_quantiles(
     fractions: list[float],
     small: int = SMALL_COLUMN,
     read_out: int = READ_OUT,
+    counts: dict[str, int] | None = None,
 ) -> dict[str, tuple[int, list[float]]]:
-    """{name: (count, quantiles)} with linear interpolation; columns without numbers are left out."""
+    """{name: (count, quantiles)} with linear interpolation; columns without numbers are left out.
+
+    ``counts`` are the numbers of non-null values, where they are known already.
+    """
     if not numbers:
         return {}
     ids = {name: f"x{i}" for i, name in enumerate(numbers)}
     cells = df.select(*[numbers[name].alias(ids[name]) for name in numbers])
-    first = cells.agg(
-        *[F.count(x).alias(f"n_{x}") for x in ids.values()],
-        *[F.min(x).alias(f"lo_{x}") for x in ids.values()],
-        *[F.max(x).alias(f"hi_{x}") for x in ids.values()],
-    ).first()
-    counts = {name: first[f"n_{x}"] for name, x in ids.items() if first[f"n_{x}"]}
+    first = None
+    if counts is None or max(counts.values()) > small:
+        first = cells.agg(
+            *[F.count(x).alias(f"n_{x}") for x in ids.values()],
+            *[F.min(x).alias(f"lo_{x}") for x in ids.values()],
+            *[F.max(x).alias(f"hi_{x}") for x in ids.values()],
+        ).first()
+        counts = {name: first[f"n_{x}"] for name, x in ids.items()}
+    counts = {name: n for name, n in counts.items() if n}
     out: dict[str, tuple[int, list[float]]] = {}
 
     light = [name for name, n in counts.items() if n <= small]
