@@ -397,9 +397,10 @@ def queries() -> dict[str, str]:
         CASING,
         CUSTOMER_FINDINGS,
     )
-    q["issues_worst_first"] = _log(
-        f"""SELECT run_id, issue_id, CAST(row_number() OVER (PARTITION BY run_id
-        ORDER BY ({WEIGHTS})[severity] DESC, affected_pct DESC, issue_id) AS INTEGER) AS place FROM issue_log"""
+    q["issues_worst_first"] = _log("SELECT run_id, issue_id, severity FROM issue_log")
+    q["issues_to_ask_about"] = _log(
+        f"""SELECT run_id, issue_id FROM issue_log QUALIFY row_number() OVER (PARTITION BY run_id
+        ORDER BY ({WEIGHTS})[severity] DESC, affected_pct DESC, issue_id) <= 2"""
     )
 
     q["profile_orders"] = _with(DIRTY_ORDERS, _cells("dirty_orders", ORDER_COLUMNS)) + """
@@ -415,9 +416,10 @@ def queries() -> dict[str, str]:
           count(DISTINCT v) FILTER (NOT blank) AS unique_count,
           100.0 * count_if(is_number) / count_if(NOT blank) AS numeric_like_pct,
           100.0 * count_if(is_date) / count_if(NOT blank) AS date_like_pct FROM cells GROUP BY col"""
-    q["profile_samples"] = _with(DIRTY_CUSTOMERS, _cells("dirty_customers", CUSTOMER_COLUMNS)) + """
-        SELECT col AS "column", array_to_string(list_sort(list(v))[:5], '|') AS sample_values
-        FROM cells WHERE NOT blank GROUP BY col"""
+    q["profile_samples"] = _with(DIRTY_CUSTOMERS) + """
+        SELECT col AS "column", array_to_string(list(v ORDER BY k)[:5], '|') AS sample_values
+        FROM (SELECT cust_key AS k, unnest(["cust_key", "segment", "email", "phone", "name"]) AS v,
+          unnest(['cust_key', 'segment', 'email', 'phone', 'name']) AS col FROM dirty_customers) GROUP BY col"""
     q["value_range_lineitem"] = " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value,
         {f'avg({c})' if c in ('l_orderkey', 'l_linenumber') else 'CAST(NULL AS DOUBLE)'} AS mean_value FROM lineitem"""

@@ -13,7 +13,7 @@ from qualframe.functions import dates as D
 from qualframe.functions import numbers as N
 from qualframe.functions import values as V
 from qualframe.operators import advise, fixes, frequencies, intake, profile, score
-from qualframe.operators.detect import detect_issues
+from qualframe.operators.detect import detect_issues, sort_issues, with_row_order
 from qualframe.operators.facts import column_facts
 from qualframe.plans import history, report
 from qualframe.plans.clean import clean
@@ -197,8 +197,14 @@ def detect_all_customers(spark, sf_dir):
 
 @query
 def issues_worst_first(spark, sf_dir):
-    """The place of every issue in the worst-first order of its run."""
-    return advise.ranked_for_advice(W.issue_log(spark, sf_dir)).select("run_id", "issue_id", "place")
+    """All issues of all runs, each run worst first."""
+    return sort_issues(W.issue_log(spark, sf_dir), ["run_id"]).select("run_id", "issue_id", "severity")
+
+
+@query
+def issues_to_ask_about(spark, sf_dir):
+    """The worst issues of each run, as far as the cap allows asking about them."""
+    return advise.worst_issues(W.issue_log(spark, sf_dir), 2)
 
 
 # --- profile and score ---------------------------------------------------------------------------
@@ -218,7 +224,7 @@ def profile_documents(spark, sf_dir):
 
 @query
 def profile_samples(spark, sf_dir):
-    samples = profile.sample_values(W.dirty_customers(spark, sf_dir))
+    samples = profile.sample_values(with_row_order(W.dirty_customers(spark, sf_dir), ["cust_key"]))
     return samples.select("column", F.array_join("sample_values", "|").alias("sample_values"))
 
 

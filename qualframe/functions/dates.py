@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from qualframe.functions.values import DAY_MONTH_PAIR, SPACE_CLASS, strip
+from qualframe.functions.values import SPACE_CLASS, strip
 
 _GAP = f"[{SPACE_CLASS}]+"
 # A clock time after an ISO date; an offset may follow.
@@ -20,6 +20,11 @@ PAIR_FIRST = r"^([0-9]{1,2})([/-])([0-9]{1,2})\2([0-9]{4})$"
 DAY_NAME_YEAR = rf"^([0-9]{{1,2}}){_GAP}([A-Za-z]+){_GAP}([0-9]{{4}})$"
 NAME_DAY_YEAR = rf"^([A-Za-z]+){_GAP}([0-9]{{1,2}}),?{_GAP}([0-9]{{4}})$"
 
+_OVER_12 = "(?:1[3-9]|[2-9][0-9])"
+_PART = "[0-9]{1,2}"
+FIRST_OVER_12 = rf"^{_OVER_12}[/-]{_PART}[/-][0-9]{{2,4}}$"
+SECOND_OVER_12 = rf"^{_PART}[/-]{_OVER_12}[/-][0-9]{{2,4}}$"
+
 # Month names, full.
 MONTHS = (
     "january",
@@ -49,9 +54,7 @@ def _month_number(name: Column) -> Column:
 def day_first_votes(c: Column) -> tuple[Column, Column]:
     """(first part over 12, second part over 12) for slashed or dashed dates, as written."""
     text = F.coalesce(c.cast("string"), F.lit(""))
-    first = F.regexp_extract(text, DAY_MONTH_PAIR, 1).try_cast("int")
-    second = F.regexp_extract(text, DAY_MONTH_PAIR, 2).try_cast("int")
-    return F.coalesce(first > 12, F.lit(False)), F.coalesce(second > 12, F.lit(False))
+    return text.rlike(FIRST_OVER_12), text.rlike(SECOND_OVER_12)
 
 
 def is_day_first(c: Column) -> Column:
@@ -61,12 +64,16 @@ def is_day_first(c: Column) -> Column:
 
 
 def iso_date(c: Column, day_first: bool) -> Column:
+    """``stripped_iso_date`` of a cell as written."""
+    return stripped_iso_date(strip(c), day_first)
+
+
+def stripped_iso_date(s: Column, day_first: bool) -> Column:
     """Text ``YYYY-MM-DD`` for a readable date, else null.
 
     A part above 12 is always the day, whichever reading the column has; year-first layouts are
     never swapped. Impossible days such as 31 February read as null.
     """
-    s = strip(c)
 
     def part(pattern: str, group: int) -> Column:
         return F.regexp_extract(s, pattern, group)
@@ -82,8 +89,8 @@ def iso_date(c: Column, day_first: bool) -> Column:
         F.when(by_slash, part(YEAR_FIRST, 3)).otherwise(part(YEAR_FIRST, 5)),
     )
 
-    a, b = part(PAIR_FIRST, 1).try_cast("int"), part(PAIR_FIRST, 3).try_cast("int")
-    first_is_day = (b <= 12) if day_first else (a > 12)
+    a, b = part(PAIR_FIRST, 1), part(PAIR_FIRST, 3)
+    first_is_day = ~b.rlike(f"^{_OVER_12}$") if day_first else a.rlike(f"^{_OVER_12}$")
     pair = date_text(
         part(PAIR_FIRST, 4),
         F.when(first_is_day, b).otherwise(a),

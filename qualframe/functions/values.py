@@ -60,7 +60,6 @@ EMAIL_LAYOUT = rf"(?d)^[^@{SPACE_CLASS}]+@[^@{SPACE_CLASS}]+\.[A-Za-z]{{2,}}$"
 PHONE_LAYOUT = rf"(?d)^[+()\-.{SPACE_CLASS}\p{{Nd}}]{{7,20}}$"
 # Length of the shortest date text, such as 1/1/2026.
 SHORTEST_DATE = 8
-DAY_MONTH_PAIR = r"(?d)^(\p{Nd}{1,2})[/-](\p{Nd}{1,2})[/-]\p{Nd}{2,4}$"
 
 # Plain decimal text as a number parser reads it; infinities are spelt out.
 ASCII_SPACE = "\t\n\x0b\x0c\r "

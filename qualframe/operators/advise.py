@@ -128,11 +128,12 @@ def issue_payload(issues: DataFrame) -> DataFrame:
     return issues.select(*_keys(issues), F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload"))
 
 
-def ranked_for_advice(issues: DataFrame) -> DataFrame:
-    """Issues with ``place``: 1 for the worst issue of a run."""
+def worst_issues(issues: DataFrame, cap: int) -> DataFrame:
+    """Keys of the ``cap`` worst issues of each run; the rest of a run is cut before the shuffle."""
     by = ["run_id"] if "run_id" in issues.columns else []
     worst = Window.partitionBy(*by).orderBy(weight().desc(), F.desc("affected_pct"), F.asc("issue_id"))
-    return issues.withColumn("place", F.row_number().over(worst))
+    placed = issues.withColumn("place", F.row_number().over(worst))
+    return placed.where(F.col("place") <= cap).select(*_keys(issues))
 
 
 def combined_advice(issues: DataFrame, outside: DataFrame | None, cap: int = 40) -> DataFrame:
@@ -140,21 +141,17 @@ def combined_advice(issues: DataFrame, outside: DataFrame | None, cap: int = 40)
 
     ``by_cap`` and ``by_failure`` say why a row fell back to the rules.
     """
-    keys = _keys(issues)
-    rules = rule_advice(ranked_for_advice(issues).select(issues.columns))
-    placed = ranked_for_advice(issues).select(
-        *keys,
-        (F.col("place") > cap).alias("over_cap"),
-        rule_strategy().alias("r_strategy"),
-        _rule_reason().alias("r_reasoning"),
-    )
     if outside is None:
-        return rules.withColumns({"by_cap": F.lit(False), "by_failure": F.lit(False)})
+        return rule_advice(issues).withColumns({"by_cap": F.lit(False), "by_failure": F.lit(False)})
+    keys = _keys(issues)
+    rules = issues.select(*keys, rule_strategy().alias("r_strategy"), _rule_reason().alias("r_reasoning"))
+    asked = worst_issues(issues, cap).withColumn("asked", F.lit(True))
     given = outside.select(
         *keys, "strategy", "reasoning", "confidence", "fill_value", F.lit(True).alias("given")
     )
-    joined = placed.join(given, keys, "left")
-    use = F.coalesce(F.col("given"), F.lit(False)) & ~F.col("over_cap")
+    joined = rules.join(asked, keys, "left").join(given, keys, "left")
+    in_cap = F.coalesce(F.col("asked"), F.lit(False))
+    use = F.coalesce(F.col("given"), F.lit(False)) & in_cap
     return joined.select(
         *keys,
         F.when(use, F.col("strategy")).otherwise(F.col("r_strategy")).alias("strategy"),
@@ -162,8 +159,8 @@ def combined_advice(issues: DataFrame, outside: DataFrame | None, cap: int = 40)
         F.when(use, F.col("confidence")).otherwise(RULE_CONFIDENCE).alias("confidence"),
         F.when(use, F.col("fill_value")).alias("fill_value"),
         F.when(use, "llm").otherwise("rule").alias("source"),
-        F.col("over_cap").alias("by_cap"),
-        (~use & ~F.col("over_cap")).alias("by_failure"),
+        (~in_cap).alias("by_cap"),
+        (~use & in_cap).alias("by_failure"),
     )
 
 

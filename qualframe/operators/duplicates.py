@@ -1,6 +1,6 @@
-"""Whole-row duplicates without shuffling whole rows.
+"""Whole-row duplicates; large tables are not shuffled row by row for them.
 
-Rows are first counted by a 64-bit hash, so 16 bytes per row cross the network, not the row. Only
+A table of moderate size is grouped by all its columns. In a larger one rows are first counted by a 64-bit hash, so 16 bytes per row cross the network, not the row. Only
 rows whose hash occurs more than once can be copies; those alone are compared in full. Every group
 by is preceded by a map-side count, so copies that make up a third of the table stay cheap.
 """
@@ -18,6 +18,8 @@ from qualframe.operators.facts import HIDDEN, data_columns
 BROADCAST_HASHES = 1_000_000
 # The same for hashes that travel with the order key of a row.
 BROADCAST_ORDERS = 100_000
+# Tables up to this size are cheaper to shuffle once than to scan three times.
+SHUFFLE_WHOLE = 1 << 30
 
 
 def comparable(c: Column, dtype: T.DataType) -> Column:
@@ -29,6 +31,12 @@ def _row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[comparable(V.quoted(f.name), f.dataType) for f in data_columns(df)])
 
 
+def _moderate(df: DataFrame) -> bool:
+    """Whether the optimizer's size estimate allows shuffling the whole table."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= SHUFFLE_WHOLE
+
+
 def repeated_hashes(df: DataFrame) -> DataFrame:
     """(row_hash) of every hash that more than one row has."""
     return (
@@ -58,51 +66,59 @@ def count_copies(df: DataFrame, examples: int = 3) -> tuple[int, list[str]]:
 
     Without a known row order the examples are the lowest repeated rows.
     """
+    if _moderate(df):
+        return _count_copies(df, df, examples, broadcast=True)
     # Read by up to three jobs; a lost part is computed again.
     hashes = repeated_hashes(df).persist()
     try:
-        return _count_copies(df, hashes, examples)
+        how_many = hashes.count()
+        if not how_many:
+            return 0, []
+        rows = suspects(df, hashes, how_many) if how_many <= BROADCAST_HASHES else df
+        return _count_copies(df, rows, examples, how_many <= BROADCAST_ORDERS)
     finally:
         hashes.unpersist()
 
 
-def _count_copies(df: DataFrame, hashes: DataFrame, examples: int) -> tuple[int, list[str]]:
-    how_many = hashes.count()
-    if not how_many:
-        return 0, []
-    rows = suspects(df, hashes, how_many) if how_many <= BROADCAST_HASHES else df
+def _count_copies(df: DataFrame, rows: DataFrame, examples: int, broadcast: bool) -> tuple[int, list[str]]:
     groups = copy_groups(rows)
-    count = groups.agg(F.sum(F.col("__copies") - 1)).first()[0] or 0
-    if not count:
+    found = groups.agg(F.sum(F.col("__copies") - 1), F.count(F.lit(1))).first()
+    if not found[0]:
         return 0, []
     names = [f.name for f in data_columns(df)]
     shown = [F.left(V.as_text(V.quoted(n)), F.lit(20)).alias(n) for n in names]
     if HIDDEN in df.columns:
         hashed = rows.withColumn("row_hash", _row_hash(df))
-        firsts = hashed.groupBy("row_hash").agg(F.min(HIDDEN).alias("__first"))
-        if how_many <= BROADCAST_ORDERS:
+        firsts = hashed.groupBy("row_hash").agg(
+            F.min(HIDDEN).alias("__first"), F.count(F.lit(1)).alias("__copies")
+        )
+        firsts = firsts.where("__copies > 1").drop("__copies")
+        if broadcast and found[1] <= BROADCAST_ORDERS:
             firsts = F.broadcast(firsts)
         later = hashed.join(firsts, "row_hash").where(F.col(HIDDEN) > F.col("__first"))
         few = later.orderBy(HIDDEN).limit(examples).select(*shown).collect()
     else:
         few = groups.orderBy(*[V.quoted(n) for n in names]).limit(examples).select(*shown).collect()
-    return count, [" | ".join(f"{n}={v}" for n, v in zip(names, row)) for row in few]
+    return found[0], [" | ".join(f"{n}={v}" for n, v in zip(names, row)) for row in few]
 
 
 def drop_copies(df: DataFrame) -> DataFrame:
     """Keep one row of each group of equal rows: the first in row order where that is known.
 
-    Rows without a copy skip the shuffle as long as the repeated hashes fit a broadcast.
+    In a large table rows without a copy skip the shuffle, as long as the repeated hashes fit a
+    broadcast.
     """
-    hashes = repeated_hashes(df)
-    how_many = hashes.count()
-    if not how_many:
-        return df
-    if how_many > BROADCAST_HASHES:
+    if _moderate(df):
         return _first_of_each(df)
-    return suspects(df, hashes, how_many, "left_anti").unionByName(
-        _first_of_each(suspects(df, hashes, how_many))
-    )
+    # Stays stored for the plan returned: at most BROADCAST_HASHES longs where it is used.
+    hashes = repeated_hashes(df).persist()
+    how_many = hashes.count()
+    if how_many and how_many <= BROADCAST_HASHES:
+        return suspects(df, hashes, how_many, "left_anti").unionByName(
+            _first_of_each(suspects(df, hashes, how_many))
+        )
+    hashes.unpersist()
+    return _first_of_each(df) if how_many else df
 
 
 def _first_of_each(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from qualframe.functions import values as V
 from qualframe.functions.numbers import number_of
@@ -13,6 +14,8 @@ from qualframe.operators.facts import HIDDEN, column_facts, data_columns
 from qualframe.operators.frequencies import distinct_counts
 
 SAMPLES = 5
+# Rows among which samples are looked for first.
+HEAD_ROWS = 1_000
 SAMPLE_LENGTH = 60
 EDGE_LENGTH = 40
 
@@ -48,21 +51,43 @@ def value_range(df: DataFrame) -> DataFrame:
 
 
 def sample_values(df: DataFrame) -> DataFrame:
-    """(column, sample_values): the first present values in row order, else the lowest ones."""
+    """(column, sample_values): the first present values in row order, any where no order is known.
+
+    They are looked for among the first rows, which needs no sort of the table. Only columns with too
+    few present values there are searched as a whole.
+    """
     named = [f for f in data_columns(df) if V.kind_of(f.dataType) != V.NESTED]
+    order = [HIDDEN] if HIDDEN in df.columns else []
+    head = (df.orderBy(*order) if order else df).limit(HEAD_ROWS)
+    found = _first_values(head, named, order)
+    if head.count() == HEAD_ROWS:
+        sparse = [f for f in named if len(found.get(f.name, [])) < SAMPLES]
+        found |= _first_values(df, sparse, order)
+    # SAMPLES short texts per column.
+    rows = [(f.name, found.get(f.name, [])) for f in named]
+    return df.sparkSession.createDataFrame(rows, "column string, sample_values array<string>")
+
+
+def _first_values(df: DataFrame, named: list[T.StructField], order: list[str]) -> dict[str, list[str]]:
+    if not named:
+        return {}
     cells = df.select(
-        *([F.col(HIDDEN)] if HIDDEN in df.columns else []),
+        *order,
         *[
-            F.when(~V.is_blank(V.quoted(f.name), f.dataType), F.left(V.quoted(f.name).cast("string"), F.lit(SAMPLE_LENGTH))).alias(f.name)
+            F.when(
+                ~V.is_blank(V.quoted(f.name), f.dataType),
+                F.left(V.quoted(f.name).cast("string"), F.lit(SAMPLE_LENGTH)),
+            ).alias(f.name)
             for f in named
         ],
     )
-    ids = [HIDDEN] if HIDDEN in df.columns else []
-    cells = cells.unpivot(ids, [V.quoted(f.name) for f in named], "column", "value").where("value is not null")
-    order = Window.partitionBy("column").orderBy(*ids, "value")
-    few = cells.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLES)
-    listed = F.array_sort(F.collect_list(F.struct("nth", "value")))
-    return few.groupBy("column").agg(F.transform(listed, lambda x: x["value"]).alias("sample_values"))
+    cells = cells.unpivot(order, [V.quoted(f.name) for f in named], "column", "value").where("value is not null")
+    nth = F.row_number().over(Window.partitionBy("column").orderBy(*order, *([] if order else ["value"])))
+    few = cells.withColumn("nth", nth).where(F.col("nth") <= SAMPLES).select("column", "nth", "value")
+    found: dict[str, list[tuple[int, str]]] = {}
+    for row in few.collect():
+        found.setdefault(row["column"], []).append((row["nth"], row["value"]))
+    return {name: [value for _, value in sorted(cells)] for name, cells in found.items()}
 
 
 def profile_columns(df: DataFrame, approx: bool = False, samples: bool = True) -> DataFrame:

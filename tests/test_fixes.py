@@ -52,8 +52,9 @@ def test_drop_duplicates_keeps_the_first(flawed):
     assert sorted(r[0] for r in out.select(f"{HIDDEN}.row_no").collect()) == list(range(10))
 
 
-@pytest.mark.parametrize("limit", [0, 1_000_000])
-def test_copies_are_dropped_with_and_without_broadcast(spark, monkeypatch, limit):
+@pytest.mark.parametrize("whole, limit", [(1 << 30, 0), (0, 0), (0, 1_000_000)])
+def test_copies_are_dropped_for_all_sizes(spark, monkeypatch, whole, limit):
+    monkeypatch.setattr(DUP, "SHUFFLE_WHOLE", whole)
     monkeypatch.setattr(DUP, "BROADCAST_HASHES", limit)
     df = spark.range(4000).select(
         F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise((F.col("id") % 700).cast("string")).alias("v"),
@@ -61,7 +62,13 @@ def test_copies_are_dropped_with_and_without_broadcast(spark, monkeypatch, limit
     )
     want = df.distinct().count()
     assert DUP.drop_copies(df).count() == want
-    assert DUP.count_copies(df)[0] == 4000 - want
+    count, examples = DUP.count_copies(df)
+    assert count == 4000 - want and examples[0].startswith("v=1 | w=")
+    ordered = df.withColumn(HIDDEN, F.struct(F.monotonically_increasing_id()))
+    count, examples = DUP.count_copies(ordered)
+    assert count == 4000 - want and examples == ["v=hot | w=x"] * 3
+    unique = df.dropDuplicates()
+    assert DUP.count_copies(unique) == (0, []) and DUP.drop_copies(unique).count() == want
 
 
 def test_duplicates_with_maps(spark):
