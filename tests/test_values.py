@@ -86,3 +86,27 @@ def test_thresholds_have_bounds():
     for wrong in ({"missing_warn_pct": 101}, {"outlier_iqr_multiplier": 0.5}, {"outlier_min_rows": 4}):
         with pytest.raises(ValueError):
             Thresholds(**wrong)
+
+
+def test_cheap_flags_equal_the_patterns(spark):
+    """The flags that skip patterns give the same answers as the patterns, over many odd texts."""
+    ends = ["", " ", "\t", " ", "$", "€", "%", "-", "+", "A", "x", "é", "٣", "1", ".", ","]
+    cores = ["", "5", "12", "1,2", "1e5", "inf", "5.", ".5", "1/1/2026", "2026-1-1", "1 May 2026", "May 1, 2026",
+             "Sept 5 2026", "2026-01-05 10:30", "May ٣ ٢٠٢٦", "abc", "a1", "-", "1 2", "nan"]
+    cells = sorted({a + c + b for a in ends for c in cores for b in ends})
+    df = spark.createDataFrame([(c,) for c in cells], "value string")
+    value = F.col("value")
+    got = values.with_flags(values.with_stripped(df)).select(
+        "value",
+        "number",
+        "date",
+        "parseable",
+        (F.col("s") == values.strip(value)).alias("stripped"),
+        values.is_numeric_like(value).alias("want_number"),
+        values.is_date_like(value).alias("want_date"),
+        numbers.strict_number(value).isNotNull().alias("want_parseable"),
+    )
+    wrong = got.where(
+        "not stripped or number != want_number or date != want_date or parseable != want_parseable"
+    )
+    assert wrong.collect() == []
