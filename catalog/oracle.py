@@ -382,7 +382,7 @@ def queries() -> dict[str, str]:
     )
     q["detect_constant_columns"] = _orders(
         """SELECT 'orders' AS table_name, 'currency' AS "column", 'low' AS severity, count(*) AS affected_rows,
-        100.0 AS affected_pct, 'none' AS default_strategy FROM dirty_orders"""
+        100.0::DOUBLE AS affected_pct, 'none' AS default_strategy FROM dirty_orders"""
     )
     shares = "round(100.0 * n / (SELECT count(*) FROM dirty_{}), 2) AS affected_pct"
     q["detect_all_orders"] = _orders(
