@@ -46,10 +46,10 @@ def signatures(runs: list[np.ndarray], weights: list[np.ndarray], registers: int
     owner = np.repeat(np.arange(n), [len(r) for r in runs])
     run, rate = np.concatenate(runs), np.concatenate(weights)
     first, kept = np.full(n * registers, np.inf), np.zeros(n * registers, np.uint64)
-    time, last, turn = np.zeros(len(run)), np.full(n, np.inf), np.uint64(0)
+    time, last, turn = np.zeros(len(run)), np.full(n, np.inf), 0
     while len(run):
-        turn += np.uint64(1)
-        draw = mix(run + turn * np.uint64(0x9E3779B97F4A7C15))
+        turn += 1
+        draw = mix(run + np.uint64(turn * 0x9E3779B97F4A7C15 % (1 << 64)))
         time = time - np.log(((draw >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53) / rate
         on = time <= last[owner]
         run, rate, time, owner, draw = run[on], rate[on], time[on], owner[on], draw[on]
