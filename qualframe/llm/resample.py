@@ -106,8 +106,9 @@ def resample(
     good: (id) of the documents that stand for the target.
     """
     wanted = small(store(good.select(F.col(id_col).alias("g_id")).distinct().withColumn("good", F.lit(True)), "good"))
-    marked = docs.join(wanted, F.col(id_col) == F.col("g_id"), "left").withColumn("__good", F.coalesce("good", F.lit(False)))
-    ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(*counts(marked, "__good", text)))
+    marked = docs.select(F.col(id_col).alias("id"), F.col(text).alias("body")).join(wanted, F.col("id") == F.col("g_id"), "left")
+    marked = marked.select("body", F.coalesce("good", F.lit(False)).alias("good"))
+    ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(*counts(marked, "good", "body")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, ratio = Features(), ratios.value
