@@ -600,41 +600,41 @@ def queries() -> dict[str, str]:
     )
     q["find_run"] = _with(RUN_LOG) + "SELECT run_id, filename, status FROM run_log WHERE run_id = '77'"
     head = [
-        "'# Data quality audit report: ' || filename",
+        "'# What was done to ' || filename",
         "''",
-        "'- Run: #' || run_id",
-        "'- Started: ' || created_at",
-        "'- Finished: ' || CASE WHEN k % 6 > 3 THEN 'u' || created_at[2:] ELSE 'not finished' END",
-        "'- Status: ' || status",
-        "'- Advisor: rules (built-in), ' || (k % 3) || ' AI calls, ' || (k % 500 + k % 300) || ' tokens'",
+        "'- Run ' || run_id",
+        "'- Begun ' || created_at",
+        "'- Ended ' || CASE WHEN k % 6 > 3 THEN 'u' || created_at[2:] ELSE 'still open' END",
+        "'- State: ' || status",
+        "'- Advice from rules (built-in), ' || (k % 3) || ' model calls, ' || (k % 500 + k % 300) || ' tokens'",
         "''",
-        "'## Result'",
+        "'## Before and after'",
         "''",
-        "'| | Before | After |'",
+        "'| Measure | At first | Now |'",
         "'|---|---|---|'",
-        "'| Quality score | ' || printf('%.1f', score_before) || ' | ' || printf('%.1f', score_after) || ' |'",
+        "'| Score | ' || printf('%.1f', score_before) || ' | ' || printf('%.1f', score_after) || ' |'",
         "'| Rows | ' || format('{:,}', k * 3) || ' | ' || format('{:,}', k * 2) || ' |'",
         "'| Columns | ' || (k % 20) || ' | ' || (k % 19) || ' |'",
         "'| Issues | ' || (k % 13) || ' | ' || (SELECT count(*) FROM issue_log i WHERE i.run_id = run_log.run_id "
         "AND i.k % 2 = 0) || ' |'",
         "''",
-        "'## Fixes'",
+        "'## Repairs'",
         "''",
     ]
     done = [
         "'### ' || title",
         "''",
-        "'- Fix chosen: `' || strategy || '`'",
-        "'- Applied: ' || CASE WHEN strategy <> 'none' THEN 'yes' ELSE 'no' END",
-        "'- Effect: Changed by ' || strategy",
-        "'- Recommended by: rule'",
+        "'- Repair: `' || strategy || '`'",
+        "'- Carried out: ' || CASE WHEN strategy <> 'none' THEN 'yes' ELSE 'no' END",
+        "'- Outcome: Changed by ' || strategy",
+        "'- Advised by: rule'",
         "''",
     ]
-    trail = ["'## Full audit trail'", "''", "'| When | Who | Event | Detail |'", "'|---|---|---|---|'"]
+    trail = ["'## Log'", "''", "'| Time | Actor | Step | Note |'", "'|---|---|---|---|'"]
     q["audit_report"] = _log(
         f"""SELECT run_id, 0 AS part, 0::BIGINT AS "at", unnest([{", ".join(head)}]) AS line FROM run_log
         UNION ALL SELECT run_id, 1, "at"::BIGINT, unnest([{", ".join(done)}]) FROM fixed
-        UNION ALL SELECT run_id, 1, 0, unnest(['_No fixes have been applied yet._', '']) FROM run_log
+        UNION ALL SELECT run_id, 1, 0, unnest(['_Nothing was repaired._', '']) FROM run_log
           WHERE run_id NOT IN (SELECT run_id FROM fixed)
         UNION ALL SELECT run_id, 2, 0, unnest([{", ".join(trail)}]) FROM run_log
         UNION ALL SELECT CAST(user_id AS VARCHAR), 3, event_id, '| e' || lpad(CAST(event_id AS VARCHAR), 12, '0') || ' | '

@@ -580,6 +580,6 @@ def audit_report(spark, sf_dir):
         of_runs(W.applied_log_known(spark, sf_dir)),
         of_runs(W.audit_log(spark, sf_dir)),
     )
-    return lines.where("part != 1 or line not like '- Reasoning%'").select(
+    return lines.where("part != 1 or line not like '- Because%'").select(
         "run_id", "part", "at", "line"
     )

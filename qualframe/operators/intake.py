@@ -10,7 +10,6 @@ from qualframe.functions.values import strip
 
 DEFAULT_CONFIDENCE = 0.8
 REASON_LENGTH = 800
-ERRORS_SHOWN = 4
 
 
 # Position given to the fault of leaving issues out, so that it comes last.
@@ -153,7 +152,6 @@ def check_replies(replies: DataFrame, issues: DataFrame) -> tuple[DataFrame, Dat
     errors = (
         left_out.select("run_id", F.explode(lines).alias("line"))
         .withColumn("nth", nth)
-        .where(F.col("nth") <= ERRORS_SHOWN)
         .select("run_id", "nth", "line.message")
     )
     return advice, errors

@@ -14,8 +14,6 @@ from qualframe.operators.facts import HIDDEN, column_facts, data_columns
 from qualframe.operators.frequencies import distinct_counts
 
 SAMPLES = 5
-# Rows among which samples are looked for first.
-HEAD_ROWS = 1_000
 SAMPLE_LENGTH = 60
 EDGE_LENGTH = 40
 
@@ -51,18 +49,12 @@ def value_range(df: DataFrame) -> DataFrame:
 
 
 def sample_values(df: DataFrame) -> DataFrame:
-    """(column, sample_values): the first present values in row order, any where no order is known.
+    """(column, sample_values): the first present values in row order, the lowest where no order is known.
 
-    They are looked for among the first rows, which needs no sort of the table. Only columns with too
-    few present values there are searched as a whole.
+    Every row is looked at; each task sends on SAMPLES values per column.
     """
     named = [f for f in data_columns(df) if V.kind_of(f.dataType) != V.NESTED]
-    order = [HIDDEN] if HIDDEN in df.columns else []
-    head = (df.orderBy(*order) if order else df).limit(HEAD_ROWS)
-    found = _first_values(head, named, order)
-    if head.count() == HEAD_ROWS:
-        sparse = [f for f in named if len(found.get(f.name, [])) < SAMPLES]
-        found |= _first_values(df, sparse, order)
+    found = _first_values(df, named, [HIDDEN] if HIDDEN in df.columns else [])
     # SAMPLES short texts per column.
     rows = [(f.name, found.get(f.name, [])) for f in named]
     return df.sparkSession.createDataFrame(rows, "column string, sample_values array<string>")

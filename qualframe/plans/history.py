@@ -5,6 +5,7 @@ A run's rows are replaced as a whole by overwriting its partition; the audit log
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,10 +17,8 @@ from qualframe import model as M
 TABLES = ("runs", "issues", "advice", "decisions", "applied_fixes", "audit")
 # The states of a run and who may act in it.
 STATUSES = ("queued", "analyzing", "awaiting_approval", "applying", "completed", "failed")
-APPLICABLE = ("awaiting_approval", "completed")
 ACTORS = ("system", "detector", "ai", "human")
 DETAIL_LENGTH = 2_000
-MOST_RUNS_LISTED = 200
 
 _TEXT, _LONG, _INT, _REAL = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType()
 RUN_SCHEMA = (
@@ -57,6 +56,13 @@ AUDIT_SCHEMA = (
 )
 
 
+def checked_id(run_id: str) -> str:
+    """Run ids are folder names, so only letters, digits, _ and - will do."""
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", run_id):
+        raise ValueError(f"not a run id: {run_id!r}")
+    return run_id
+
+
 def now() -> str:
     return datetime.now(timezone.utc).isoformat()
 
@@ -95,7 +101,11 @@ class History:
         df = df.select(*schema.names)
         return df if run_id is None else df.where(F.col("run_id") == run_id)
 
-    def _replace(self, table: str, df: DataFrame, partitions: list[str]) -> None:
+    def _replace(self, table: str, df: DataFrame, partitions: list[str], folder: str) -> None:
+        """Replace one folder by df; the old rows go only once the new ones are written, or are none."""
+        if df.isEmpty():
+            self._remove(f"{self.path(table)}/{folder}")
+            return
         (
             df.select(*self._schema(table).names)
             .write.mode("overwrite")
@@ -121,7 +131,7 @@ class History:
 
     def save_run(self, run_id: str, **values) -> None:
         """Create a run, or change some of its fields."""
-        current = self.read("runs", run_id).first()
+        current = self.read("runs", checked_id(run_id)).first()
         record = current.asDict() if current else {
             "run_id": run_id,
             "status": "queued",
@@ -136,34 +146,34 @@ class History:
         if record["status"] not in STATUSES:
             raise ValueError(f"unknown status {record['status']}")
         row = tuple(record.get(n) for n in RUN_SCHEMA.names)
-        self._replace("runs", self.spark.createDataFrame([row], RUN_SCHEMA), ["run_id"])
+        self._replace("runs", self.spark.createDataFrame([row], RUN_SCHEMA), ["run_id"], f"run_id={run_id}")
 
     def save_issues(self, run_id: str, issues: DataFrame, phase: str = "before") -> None:
         """Replace the list of one phase as a whole, also by an empty one."""
-        self._remove(f"{self.path('issues')}/run_id={run_id}/phase={phase}")
+        folder = f"run_id={checked_id(run_id)}/phase={checked_id(phase)}"
         tagged = issues.withColumns({"run_id": F.lit(run_id), "phase": F.lit(phase)})
-        self._replace("issues", tagged, ["run_id", "phase"])
+        self._replace("issues", tagged, ["run_id", "phase"], folder)
 
     def save_advice(self, run_id: str, advice: DataFrame) -> None:
-        self._replace("advice", advice.withColumn("run_id", F.lit(run_id)), ["run_id"])
+        self._replace("advice", advice.withColumn("run_id", F.lit(checked_id(run_id))), ["run_id"], f"run_id={run_id}")
 
     def save_decisions(self, run_id: str, decisions: list[M.Decision]) -> None:
         df = M.decisions_frame(self.spark, decisions)
-        df = df.withColumns({"run_id": F.lit(run_id), "decided_at": F.lit(now())})
-        self._replace("decisions", df, ["run_id"])
+        df = df.withColumns({"run_id": F.lit(checked_id(run_id)), "decided_at": F.lit(now())})
+        self._replace("decisions", df, ["run_id"], f"run_id={run_id}")
 
     def save_applied(self, run_id: str, applied: list[M.AppliedFix]) -> None:
         """Replace the change records of a run, also by none."""
-        self._remove(f"{self.path('applied_fixes')}/run_id={run_id}")
+        checked_id(run_id)
         schema = self._schema("applied_fixes")
         rows = [
             (run_id, i, *[getattr(fix, n) for n in M.APPLIED_SCHEMA.names]) for i, fix in enumerate(applied)
         ]
-        self._replace("applied_fixes", self.spark.createDataFrame(rows, schema), ["run_id"])
+        self._replace("applied_fixes", self.spark.createDataFrame(rows, schema), ["run_id"], f"run_id={run_id}")
 
     def add_events(self, run_id: str, events: list[tuple[str, str, str]]) -> None:
         """Append (actor, event, detail) entries to the audit log, in order."""
-        last = self.read("audit", run_id).agg(F.max("seq")).first()[0]
+        last = self.read("audit", checked_id(run_id)).agg(F.max("seq")).first()[0]
         start = 0 if last is None else last + 1
         at = now()
         rows = [
@@ -177,7 +187,8 @@ class History:
 
     def delete_run(self, run_id: str) -> bool:
         """Remove a run from all tables; False when there was none."""
-        return any([self._remove(f"{self.path(t)}/run_id={run_id}") for t in TABLES])
+        folder = f"run_id={checked_id(run_id)}"
+        return any([self._remove(f"{self.path(t)}/{folder}") for t in TABLES])
 
     # --- reading --------------------------------------------------------------------------------
 
@@ -193,7 +204,7 @@ class History:
 
 def run_list(runs: DataFrame, limit: int = 50) -> DataFrame:
     """Newest runs first."""
-    return runs.orderBy(F.desc("created_at"), F.desc("run_id")).limit(min(limit, MOST_RUNS_LISTED))
+    return runs.orderBy(F.desc("created_at"), F.desc("run_id")).limit(limit)
 
 
 def find_run(runs: DataFrame, run_id) -> DataFrame:

@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from catalog.queries import QUERIES
 from check import compare
 
 SMALL = entry.SMALL
@@ -12,11 +13,11 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables ar
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) <= set(entry.oracle_sql())
 
 
 def test_all_queries_match(spark):
-    assert compare(spark, SMALL, []) == 0
+    assert compare(spark, SMALL, list(QUERIES)) == 0
 
 
 def test_flagship(spark):

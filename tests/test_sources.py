@@ -4,7 +4,7 @@ import pytest
 
 from qualframe.operators.facts import HIDDEN
 from qualframe.plans.clean import analyze, clean
-from qualframe.plans.history import History
+from qualframe.plans.history import History, run_list
 from qualframe.plans.report import audit_report
 from qualframe.model import Decision
 from qualframe.sources.delimited import (
@@ -111,10 +111,28 @@ def test_history(spark, flawed, folder):
         history.read("advice"), history.read("applied_fixes"), history.read("audit"),
     ).orderBy("run_id", "part", "at", "line_no").collect()
     text = {run: [r["line"] for r in lines if r["run_id"] == run] for run in ("1", "2")}
-    assert any("a\\|b" in x for x in text["1"]) and "- Applied: yes" in text["1"]
-    assert "_No fixes have been applied yet._" in text["2"]
+    assert any("a\\|b" in x for x in text["1"]) and "- Carried out: yes" in text["1"]
+    assert "_Nothing was repaired._" in text["2"]
 
     history.save_issues("1", result.issues_after_df.limit(0), "after")
     assert history.read("issues", "1").where("phase = 'after'").isEmpty()
     assert history.delete_run("1") and not history.delete_run("1")
     assert history.overview().first()["runs"] == 1 and history.read("audit", "1").isEmpty()
+
+
+def test_history_takes_safe_ids_and_empty_lists(spark, folder):
+    history = History(spark, folder)
+    for bad in ("a:b", "1/../x", ""):
+        with pytest.raises(ValueError):
+            history.save_run(bad)
+        with pytest.raises(ValueError):
+            history.delete_run(bad)
+    history.save_decisions("r1", [Decision("i", True, "none")])
+    history.save_decisions("r2", [Decision("i", True, "none")])
+    history.save_decisions("r1", [])
+    assert [r.run_id for r in history.read("decisions").collect()] == ["r2"]
+
+
+def test_run_list_honours_its_limit(spark):
+    runs = spark.range(300).selectExpr("CAST(id AS STRING) AS run_id", "CAST(id AS STRING) AS created_at")
+    assert run_list(runs, 250).count() == 250
