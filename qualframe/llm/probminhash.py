@@ -7,9 +7,11 @@ register with their probability Jaccard similarity as probability.
 
 Texts with the same words in order are one entity from the start. Entities that agree in all registers of a band
 meet in a bucket. In each bucket every entity is compared with two leaders, the one with the lowest document and
-one by hash, so the number of pairs grows with the rows and not with the square of a bucket. Pairs already in
-one class are not compared again. Compared means: the exact probability Jaccard of the whole texts is at least
-`similarity`. Classes are the connected components of the pairs that are.
+one by hash, which joins most of a bucket into one class with pairs linear in the rows. What is then left in more
+than one class is met in full: the entities outside the bucket's largest class, in blocks of bounded size, against
+all of the bucket, by a sketch of one byte a register. So every pair that shares a bucket is in one class already,
+or compared. Compared means: the exact probability Jaccard of the whole texts is at least `similarity`. Classes
+are the connected components of the pairs that are.
 
 Defined cases: texts without words are a class each; fewer than five words are one run; null ids come after
 all others when the document that stays is chosen; rows that repeat an id and a text share one verdict, and
@@ -32,6 +34,8 @@ from qualframe.llm.words import mix, run_hashes, text_batches, word_hashes
 
 BANDS, ROWS = 25, 5  # at similarity 0.8 a pair meets in some bucket with probability 0.99995
 RUN_WORDS, SIMILARITY = 5, 0.8
+BLOCK = 32  # entities of a bucket whose sketches are compared at once
+SPREAD = 5.0  # standard deviations below the expected agreement at which a sketch still passes (loss 3e-7)
 
 
 def weighted_runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +94,10 @@ def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.nda
 
 
 def sign(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(doc, text_hash, entity, bands): entity is a 128-bit digest of the words, null without words."""
+    """(doc, text_hash, entity, bands, sketch): entity is a 128-bit digest of the words, null without words.
+
+    sketch: the low byte of each register.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,11 +105,12 @@ def sign(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                 words = [word_hashes(t) for t in texts]
                 entities = [hashlib.blake2b(w.tobytes(), digest_size=16).digest() if len(w) else None for w in words]
                 fresh = {e: i for i, e in enumerate(entities) if e}  # copies in one batch are signed once
-                keys = {}
+                keys, low = {}, {}
                 if fresh:
                     runs, weights = zip(*[weighted_runs(words[i]) for i in fresh.values()])
-                    signed = band_keys(signatures(list(runs), list(weights), BANDS * ROWS)).astype(np.int64)
-                    keys = dict(zip(fresh, signed))
+                    signed = signatures(list(runs), list(weights), BANDS * ROWS)
+                    keys = dict(zip(fresh, band_keys(signed).astype(np.int64)))
+                    low = {e: x.tobytes() for e, x in zip(fresh, signed.astype(np.uint8))}
                 bands = pa.array([keys[e] if e else None for e in entities], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -110,14 +118,15 @@ def sign(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                         batch.column(1).slice(start, len(texts)),
                         pa.array(entities, pa.binary()),
                         bands,
+                        pa.array([low.get(e) for e in entities], pa.binary()),
                     ],
-                    ["doc", "text_hash", "entity", "bands"],
+                    ["doc", "text_hash", "entity", "bands", "sketch"],
                 )
 
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     chosen = docs.select(F.col(id_col).alias("doc"), F.xxhash64(body).alias("text_hash"), body.alias("body"))
     kind = dict(chosen.dtypes)["doc"]
-    return chosen.mapInArrow(run, f"doc {kind}, text_hash long, entity binary, bands array<long>")
+    return chosen.mapInArrow(run, f"doc {kind}, text_hash long, entity binary, bands array<long>, sketch binary")
 
 
 def contents(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -169,17 +178,23 @@ def similar(pairs: DataFrame, content: DataFrame, similarity: float) -> DataFram
     return both.mapInArrow(run, "a binary, b binary, similarity double")
 
 
-def candidate_pairs(entities: DataFrame) -> DataFrame:
-    """(a, b, first): each entity with the leaders of its buckets; `first` marks the lowest leader of all its buckets."""
-    in_buckets = entities.select("entity", "first", F.posexplode("bands").alias("band", "bucket"))
-    by_hash = F.struct(F.xxhash64("entity", "band").alias("h"), "entity")
-    leaders = in_buckets.groupBy("band", "bucket").agg(
+def bucket_leaders(entities: DataFrame) -> DataFrame:
+    """(l_band, l_bucket, low, other, n) of the buckets of two entities and more: the lowest, and one by hash."""
+    in_buckets = entities.select("entity", "first", F.posexplode("bands").alias("l_band", "l_bucket"))
+    by_hash = F.struct(F.xxhash64("entity", "l_band").alias("h"), "entity")
+    leaders = in_buckets.groupBy("l_band", "l_bucket").agg(
         F.min(F.struct("first", "entity")).alias("low"), F.max(by_hash).alias("other"), F.count("*").alias("n")
     )
-    leaders = leaders.filter("n > 1").select(
-        F.col("band").alias("l_band"), F.col("bucket").alias("l_bucket"), "low", F.col("other.entity").alias("other")
-    )
-    met = in_buckets.join(leaders, (F.col("band") == F.col("l_band")) & (F.col("bucket") == F.col("l_bucket")))
+    return leaders.filter("n > 1").select("l_band", "l_bucket", "low", F.col("other.entity").alias("other"), "n")
+
+
+IN_BUCKET = "band = l_band AND bucket = l_bucket"
+
+
+def candidate_pairs(entities: DataFrame, leaders: DataFrame) -> DataFrame:
+    """(a, b, low): each entity with the leaders of its buckets; `low` is the lowest leader of all its buckets."""
+    in_buckets = entities.select("entity", F.posexplode("bands").alias("band", "bucket"))
+    met = in_buckets.join(small(leaders), F.expr(IN_BUCKET))
     led = met.select(
         F.col("entity").alias("a"),
         F.explode(F.array(F.struct(F.col("low.entity").alias("b"), F.col("low").alias("low")), F.struct(F.col("other").alias("b"), F.lit(None).alias("low")))).alias("x"),
@@ -187,6 +202,65 @@ def candidate_pairs(entities: DataFrame) -> DataFrame:
     return led.filter("a <> b").groupBy("a", "b").agg(F.min("low").alias("low"))
 
 
+def least_agreement(similarity: float) -> int:
+    """Registers in which a pair of at least that similarity agrees, but for SPREAD standard deviations."""
+    n = BANDS * ROWS
+    return max(1, int(n * similarity - SPREAD * (n * similarity * (1 - similarity)) ** 0.5))
+
+
+def unmet_pairs(classed: DataFrame, leaders: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of different classes in one bucket that no leader compared and whose sketches agree enough.
+
+    classed: (entity, bands, sketch, label) of all entities that share a bucket. Buckets of up to three entities
+    and those of one class have nothing left. In the others, blocks of the entities outside the largest class meet
+    the blocks of all; a block holds about BLOCK entities, chosen by hash, so a bucket of any size is many rows.
+    """
+    large = store(leaders.filter("n > 3").select("l_band", "l_bucket", F.col("low.entity").alias("low"), "other"), "large")
+    members = classed.select("entity", "label", "sketch", F.posexplode("bands").alias("band", "bucket"))
+    members = members.join(small(large), F.expr(IN_BUCKET)).filter("entity <> low AND entity <> other")
+    sizes = members.groupBy("l_band", "l_bucket", "label").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("l_band", "l_bucket").agg(
+        F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("labels")
+    )
+    mixed = store(
+        mixed.filter("labels > 1").select(
+            F.col("l_band").alias("m_band"),
+            F.col("l_bucket").alias("m_bucket"),
+            F.col("main.label").alias("main"),
+            F.col("main.n").alias("n_main"),
+            (F.col("n") - F.col("main.n")).alias("n_rest"),
+        ),
+        "mixed",
+    )
+    inside = members.join(small(mixed), (F.col("band") == F.col("m_band")) & (F.col("bucket") == F.col("m_bucket")))
+    inside = inside.withColumn("rest", F.col("label") != F.col("main"))
+    parts = F.ceil(F.when(F.col("rest"), F.col("n_rest")).otherwise(F.col("n_main")) / BLOCK)
+    blocks = inside.groupBy("band", "bucket", "rest", F.pmod(F.xxhash64("entity"), parts).alias("block"))
+    blocks = store(blocks.agg(F.collect_list(F.struct("entity", "label", "sketch")).alias("held")), "blocks")
+    enough = least_agreement(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs_a, pairs_b = [], []
+            for i in range(batch.num_rows):
+                left, right = batch.column(0)[i].values, batch.column(1)[i].values
+                sketches = [np.frombuffer(b"".join(x.field("sketch").to_pylist()), np.uint8).reshape(len(x), -1) for x in (left, right)]
+                close = (sketches[0][:, None, :] == sketches[1][None, :, :]).sum(axis=2) >= enough
+                (ea, la), (eb, lb) = ((x.field("entity").to_pylist(), x.field("label").to_pylist()) for x in (left, right))
+                for j, k in zip(*np.nonzero(close)):
+                    if la[j] != lb[k]:
+                        pairs_a.append(min(ea[j], eb[k]))
+                        pairs_b.append(max(ea[j], eb[k]))
+            yield pa.RecordBatch.from_arrays([pa.array(pairs_a, pa.binary()), pa.array(pairs_b, pa.binary())], ["a", "b"])
+
+    side = lambda c: blocks.select(
+        "band", "bucket", F.col("rest").alias(f"rest_{c}"), F.col("block").alias(f"block_{c}"), F.col("held").alias(f"held_{c}")
+    )
+    met = side("a").filter("rest_a").join(side("b"), ["band", "bucket"])
+    met = met.filter("NOT rest_b OR block_a <= block_b").select("held_a", "held_b")
+    return met.mapInArrow(run, "a binary, b binary").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY
 ) -> DataFrame:
@@ -194,14 +268,16 @@ def near_duplicates(
     signed = store(sign(docs, id_col, text), "signed")
     first = F.struct(F.col("doc").isNull().alias("no_id"), "doc", "text_hash")
     entities = signed.filter("entity is not null").groupBy("entity").agg(
-        F.min(first).alias("first"), F.any_value("bands").alias("bands")
+        F.min(first).alias("first"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")
     )
     entities = store(entities, "entities")
-    pairs = store(candidate_pairs(entities), "pairs")
+    leaders = store(bucket_leaders(entities), "leaders")
+    pairs = store(candidate_pairs(entities, leaders), "pairs")
 
     ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct()
-    wanted = entities.join(ends, F.col("entity") == F.col("end")).select("first.doc", "first.text_hash", "entity")
-    content = store(contents(docs, store(wanted, "wanted"), id_col, text), "contents")
+    met = store(entities.join(ends, F.col("entity") == F.col("end")).drop("end"), "met")
+    wanted = store(met.select("first.doc", "first.text_hash", "entity"), "wanted")
+    content = store(contents(docs, wanted, id_col, text), "contents")
 
     to_first = pairs.filter("low is not null").groupBy("a").agg(F.min("low").alias("low"))
     edges = store(similar(to_first.select("a", F.col("low.entity").alias("b")), content, similarity), "similar")
@@ -214,8 +290,15 @@ def near_duplicates(
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
-    more = store(similar(apart, content, similarity), "similar")
-    labels = components(edges.union(more))
+    edges = edges.union(store(similar(apart, content, similarity), "similar"))
+    labels = components(edges)
+    classed = met.join(labels, F.col("entity") == F.col("node"), "left").select(
+        "entity", "bands", "sketch", F.coalesce("label", "entity").alias("label")
+    )
+    unmet = store(unmet_pairs(store(classed, "classed"), leaders, similarity), "unmet")
+    late = store(similar(unmet, content, similarity), "similar")
+    if late.head(1):
+        labels = components(edges.union(late))
 
     classes = entities.join(labels, F.col("entity") == F.col("node"), "left").select(
         "entity", "first", F.coalesce("label", "entity").alias("class")

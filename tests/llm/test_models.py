@@ -153,6 +153,24 @@ def test_near_duplicates_against_all_pairs(spark):
     assert probminhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_pairs_far_from_every_leader_are_linked(spark):
+    rng = random.Random(5)
+    base, texts = [f"w{i}" for i in range(300)], {}
+    for i in range(60):
+        own = list(base)
+        for k in rng.sample(range(300), 12):
+            own[k] = f"v{i}.{k}"
+        texts[3 * i] = " ".join(own)
+        for j in (1, 2):
+            near = list(own)
+            near[rng.randrange(300)] = f"u{i}.{j}"
+            texts[3 * i + j] = " ".join(near)
+    want = classes_by_hand(texts)
+    assert len(set(want.values())) > 30
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.class_id for r in probminhash.near_duplicates(df).collect()} == want
+
+
 def test_every_large_group_meets_its_leader(spark):
     base = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(base[:k] + [f"z{i}"] + base[k + 1 :])) for i, k in enumerate(random.Random(4).choices(range(200), k=400))]
