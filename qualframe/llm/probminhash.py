@@ -9,8 +9,9 @@ Texts with the same words in order are one entity from the start. Entities that
 meet in a bucket. In each bucket every entity is compared with two leaders, the one with the lowest document and
 one by hash, which joins most of a bucket into one class with pairs linear in the rows. What is then left in more
 than one class is met in full: the entities outside the bucket's largest class, in blocks of bounded size, against
-all of the bucket, by a sketch of one byte a register. So every pair that shares a bucket is in one class already,
-or compared. Compared means: the exact probability Jaccard of the whole texts is at least `similarity`. Classes
+all of the bucket: where a sketch of one byte a register allows it, the pair is compared in place, in the first
+bucket that both share, and only pairs that are similar leave the task. So every pair that shares a bucket is in
+one class already, or compared. Compared means: the exact probability Jaccard of the whole texts is at least `similarity`. Classes
 are the connected components of the pairs that are.
 
 Defined cases: texts without words are a class each; fewer than five words are one run; null ids come after
@@ -34,7 +35,7 @@ from qualframe.llm.words import mix, run_hashes, text_batches, word_hashes
 
 BANDS, ROWS = 25, 5  # at similarity 0.8 a pair meets in some bucket with probability 0.99995
 RUN_WORDS, SIMILARITY = 5, 0.8
-BLOCK = 32  # entities of a bucket whose sketches are compared at once
+BLOCK, BLOCK_WORDS = 32, 1 << 15  # entities of a bucket that are compared at once, and words of them, on average
 SPREAD = 5.0  # standard deviations below the expected agreement at which a sketch still passes (loss 3e-7)
 
 
@@ -94,7 +95,7 @@ def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.nda
 
 
 def sign(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(doc, text_hash, entity, bands, sketch): entity is a 128-bit digest of the words, null without words.
+    """(doc, text_hash, entity, n_words, bands, sketch): entity is a 128-bit digest of the words, null without words.
 
     sketch: the low byte of each register.
     """
@@ -117,16 +118,17 @@ def sign(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                         batch.column(0).slice(start, len(texts)),
                         batch.column(1).slice(start, len(texts)),
                         pa.array(entities, pa.binary()),
+                        pa.array([len(w) for w in words], pa.int64()),
                         bands,
                         pa.array([low.get(e) for e in entities], pa.binary()),
                     ],
-                    ["doc", "text_hash", "entity", "bands", "sketch"],
+                    ["doc", "text_hash", "entity", "n_words", "bands", "sketch"],
                 )
 
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     chosen = docs.select(F.col(id_col).alias("doc"), F.xxhash64(body).alias("text_hash"), body.alias("body"))
     kind = dict(chosen.dtypes)["doc"]
-    return chosen.mapInArrow(run, f"doc {kind}, text_hash long, entity binary, bands array<long>, sketch binary")
+    return chosen.mapInArrow(run, f"doc {kind}, text_hash long, entity binary, n_words long, bands array<long>, sketch binary")
 
 
 def contents(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -208,57 +210,78 @@ def least_agreement(similarity: float) -> int:
     return max(1, int(n * similarity - SPREAD * (n * similarity * (1 - similarity)) ** 0.5))
 
 
-def unmet_pairs(classed: DataFrame, leaders: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of different classes in one bucket that no leader compared and whose sketches agree enough.
+def unmet_pairs(classed: DataFrame, leaders: DataFrame, content: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, similarity): similar pairs of different classes that share a bucket and that no leader compared.
 
-    classed: (entity, bands, sketch, label) of all entities that share a bucket. Buckets of up to three entities
-    and those of one class have nothing left. In the others, blocks of the entities outside the largest class meet
-    the blocks of all; a block holds about BLOCK entities, chosen by hash, so a bucket of any size is many rows.
+    classed: (entity, n_words, bands, sketch, label) of all entities that share a bucket. Buckets of up to three
+    entities and those of one class have nothing left. In the others, blocks of the entities outside the largest
+    class meet the blocks of all; blocks are filled by hash, so a bucket of any size is many rows.
     """
     large = store(leaders.filter("n > 3").select("l_band", "l_bucket", F.col("low.entity").alias("low"), "other"), "large")
-    members = classed.select("entity", "label", "sketch", F.posexplode("bands").alias("band", "bucket"))
+    members = classed.select("entity", "label", "n_words", F.posexplode("bands").alias("band", "bucket"))
     members = members.join(small(large), F.expr(IN_BUCKET)).filter("entity <> low AND entity <> other")
-    sizes = members.groupBy("l_band", "l_bucket", "label").agg(F.count("*").alias("n"))
+    sizes = members.groupBy("l_band", "l_bucket", "label").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"))
     mixed = sizes.groupBy("l_band", "l_bucket").agg(
-        F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("labels")
+        F.max(F.struct("n", "label", "words")).alias("main"),
+        F.sum("n").alias("n"),
+        F.sum("words").alias("words"),
+        F.count("*").alias("labels"),
     )
+    parts = lambda n, words: F.ceil(F.greatest(n / BLOCK, words / BLOCK_WORDS))
     mixed = store(
         mixed.filter("labels > 1").select(
             F.col("l_band").alias("m_band"),
             F.col("l_bucket").alias("m_bucket"),
             F.col("main.label").alias("main"),
-            F.col("main.n").alias("n_main"),
-            (F.col("n") - F.col("main.n")).alias("n_rest"),
+            parts(F.col("main.n"), F.col("main.words")).alias("main_parts"),
+            parts(F.col("n") - F.col("main.n"), F.col("words") - F.col("main.words")).alias("rest_parts"),
         ),
         "mixed",
     )
-    inside = members.join(small(mixed), (F.col("band") == F.col("m_band")) & (F.col("bucket") == F.col("m_bucket")))
-    inside = inside.withColumn("rest", F.col("label") != F.col("main"))
-    parts = F.ceil(F.when(F.col("rest"), F.col("n_rest")).otherwise(F.col("n_main")) / BLOCK)
-    blocks = inside.groupBy("band", "bucket", "rest", F.pmod(F.xxhash64("entity"), parts).alias("block"))
-    blocks = store(blocks.agg(F.collect_list(F.struct("entity", "label", "sketch")).alias("held")), "blocks")
+    inside = members.join(small(mixed), F.expr("band = m_band AND bucket = m_bucket"))
+    rest = F.col("label") != F.col("main")
+    block = F.pmod(F.xxhash64("entity"), F.when(rest, F.col("rest_parts")).otherwise(F.col("main_parts")))
+    inside = store(inside.select("entity", "band", "bucket", rest.alias("rest"), block.alias("block")), "inside")
+    full = classed.join(content, "entity").select("entity", F.struct("entity", "label", "bands", "sketch", "runs", "weights").alias("x"))
+    blocks = inside.join(full, "entity").groupBy("band", "bucket", "rest", "block").agg(F.collect_list("x").alias("held"))
+    blocks = store(blocks, "blocks")
     enough = least_agreement(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(x: pa.StructArray):
+            flat = lambda name, kind: np.frombuffer(b"".join(x.field(name).to_pylist()), kind).reshape(len(x), -1)
+            bands = np.array(x.field("bands").to_pylist(), np.int64)
+            return x.field("entity").to_pylist(), np.array(x.field("label").to_pylist(), object), bands, flat("sketch", np.uint8), x
+
+        def content_of(x: pa.StructArray, i: int, known: dict) -> tuple[np.ndarray, np.ndarray]:
+            if i not in known:
+                runs, weights = np.frombuffer(x.field("runs")[i].as_py(), np.uint64), x.field("weights")[i].as_py()
+                known[i] = runs, np.frombuffer(weights, np.float64) if weights else np.ones(len(runs))
+            return known[i]
+
         for batch in batches:
-            pairs_a, pairs_b = [], []
             for i in range(batch.num_rows):
-                left, right = batch.column(0)[i].values, batch.column(1)[i].values
-                sketches = [np.frombuffer(b"".join(x.field("sketch").to_pylist()), np.uint8).reshape(len(x), -1) for x in (left, right)]
-                close = (sketches[0][:, None, :] == sketches[1][None, :, :]).sum(axis=2) >= enough
-                (ea, la), (eb, lb) = ((x.field("entity").to_pylist(), x.field("label").to_pylist()) for x in (left, right))
+                band = batch.column(0)[i].as_py()
+                (ea, la, ba, sa, xa), (eb, lb, bb, sb, xb) = (read(batch.column(c)[i].values) for c in (1, 2))
+                close = (sa[:, None, :] == sb[None, :, :]).sum(axis=2) >= enough
+                close &= la[:, None] != lb[None, :]
+                # where an earlier band is shared too, the pair met there: among members, or one of them was the leader
+                close &= ~(ba[:, None, :band] == bb[None, :, :band]).any(axis=2)
+                pairs, left, right = [], {}, {}
                 for j, k in zip(*np.nonzero(close)):
-                    if la[j] != lb[k]:
-                        pairs_a.append(min(ea[j], eb[k]))
-                        pairs_b.append(max(ea[j], eb[k]))
-            yield pa.RecordBatch.from_arrays([pa.array(pairs_a, pa.binary()), pa.array(pairs_b, pa.binary())], ["a", "b"])
+                    found = probability_jaccard(*content_of(xa, j, left), *content_of(xb, k, right))
+                    if found >= similarity - 1e-12:
+                        pairs.append((min(ea[j], eb[k]), max(ea[j], eb[k]), found))
+                columns = list(zip(*pairs)) or [(), (), ()]
+                kinds = (pa.binary(), pa.binary(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["a", "b", "similarity"])
 
     side = lambda c: blocks.select(
         "band", "bucket", F.col("rest").alias(f"rest_{c}"), F.col("block").alias(f"block_{c}"), F.col("held").alias(f"held_{c}")
     )
     met = side("a").filter("rest_a").join(side("b"), ["band", "bucket"])
-    met = met.filter("NOT rest_b OR block_a <= block_b").select("held_a", "held_b")
-    return met.mapInArrow(run, "a binary, b binary").distinct()
+    met = met.filter("NOT rest_b OR block_a <= block_b").select("band", "held_a", "held_b")
+    return met.mapInArrow(run, "a binary, b binary, similarity double").dropDuplicates(["a", "b"])
 
 
 def near_duplicates(
@@ -268,7 +291,7 @@ def near_duplicates(
     signed = store(sign(docs, id_col, text), "signed")
     first = F.struct(F.col("doc").isNull().alias("no_id"), "doc", "text_hash")
     entities = signed.filter("entity is not null").groupBy("entity").agg(
-        F.min(first).alias("first"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")
+        F.min(first).alias("first"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"), F.any_value("n_words").alias("n_words")
     )
     entities = store(entities, "entities")
     leaders = store(bucket_leaders(entities), "leaders")
@@ -293,10 +316,9 @@ def near_duplicates(
     edges = edges.union(store(similar(apart, content, similarity), "similar"))
     labels = components(edges)
     classed = met.join(labels, F.col("entity") == F.col("node"), "left").select(
-        "entity", "bands", "sketch", F.coalesce("label", "entity").alias("label")
+        "entity", "n_words", "bands", "sketch", F.coalesce("label", "entity").alias("label")
     )
-    unmet = store(unmet_pairs(store(classed, "classed"), leaders, similarity), "unmet")
-    late = store(similar(unmet, content, similarity), "similar")
+    late = store(unmet_pairs(store(classed, "classed"), leaders, content, similarity), "unmet")
     if late.head(1):
         labels = components(edges.union(late))
 

@@ -156,15 +156,13 @@ def test_near_duplicates_against_all_pairs(spark):
 def test_pairs_far_from_every_leader_are_linked(spark):
     rng = random.Random(5)
     base, texts = [f"w{i}" for i in range(300)], {}
-    for i in range(60):
+    for i in range(150):  # similarity about 0.75 between families, so a bucket holds many of them
         own = list(base)
-        for k in rng.sample(range(300), 12):
+        for k in rng.sample(range(0, 300, 6), 5):
             own[k] = f"v{i}.{k}"
-        texts[3 * i] = " ".join(own)
-        for j in (1, 2):
-            near = list(own)
-            near[rng.randrange(300)] = f"u{i}.{j}"
-            texts[3 * i + j] = " ".join(near)
+        texts[2 * i] = " ".join(own)
+        own[rng.randrange(300)] = f"u{i}"
+        texts[2 * i + 1] = " ".join(own)
     want = classes_by_hand(texts)
     assert len(set(want.values())) > 30
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
