@@ -84,10 +84,16 @@ def frequencies(ids: DataFrame, vocabulary: int) -> DataFrame:
     narrow = id_type(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(vocabulary, np.int64)
+        total, held, size = np.zeros(vocabulary, np.int64), [], 0
         for batch in batches:
             for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), narrow), minlength=vocabulary)
+                held.append(np.frombuffer(x.as_buffer(), narrow))
+                size += len(held[-1])
+                if size >= BLOCK_IDS:
+                    total += np.bincount(np.concatenate(held), minlength=vocabulary)
+                    held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=vocabulary)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], ["id", "n"])
 
