@@ -74,11 +74,11 @@ def counts(docs: DataFrame, target: str, text: str) -> tuple[np.ndarray, np.ndar
         for batch in batches:
             good = batch.column(1).to_pylist()
             for start, texts in text_batches(batch.column(0)):
-                for i, t in enumerate(texts, start):
-                    found = np.bincount(features.of(t), minlength=BUCKETS)
-                    total[0] += found
-                    if good[i]:
-                        total[1] += found
+                found = [features.of(t) for t in texts]
+                chosen = [f for i, f in enumerate(found, start) if good[i]]
+                for row, parts in enumerate((found, chosen)):
+                    if parts:
+                        total[row] += np.bincount(np.concatenate(parts), minlength=BUCKETS)
         seen = np.flatnonzero(total[0])
         columns = [pa.array(seen), pa.array(total[0][seen]), pa.array(total[1][seen])]
         yield pa.RecordBatch.from_arrays(columns, ["bucket", "n_raw", "n_target"])
