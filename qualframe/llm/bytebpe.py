@@ -3,9 +3,10 @@
 Every byte stands for one printable character (the byte table), so that the library works on text; ids are
 turned back by reversing the table, and bytes that are no whole character are kept or shown as U+FFFD.
 
-Text is cut before single spaces between two non-blank characters. No match of the split pattern crosses such a
-place, so pieces are encoded alone with the same ids as the whole text, and each distinct piece of a task is
-encoded once. Tokenizers that change the text first or split it by other rules get whole texts instead.
+Text is cut before single spaces and single line breaks between two non-blank characters. No match of the split
+pattern crosses such a place, so pieces are encoded alone with the same ids as the whole text, and a worker encodes a
+piece once as long as it remembers it. Tokenizers that change the text first or split it by other rules get whole
+texts instead.
 
 Defined cases: null text is empty and has no ids; a lone surrogate cannot occur in Spark strings; ids outside
 the table stop the job.
@@ -25,12 +26,11 @@ import pyarrow as pa
 
 from qualframe.llm.words import text_batches
 
-# Fixed value: the byte-level split pattern, with which cuts before single spaces agree.
+# Fixed value: the byte-level split pattern, with which cuts before single blanks agree.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-KEPT_PIECES = 1_000_000  # per Python worker, about 200 MB; a fuller cache starts anew
+KEPT_PIECES = 1_000_000  # per Python worker, about 200 MB
+LONGEST_KEPT = 64  # characters; longer pieces are encoded each time
 KEPT_MARKS = 10_000
-#: Spaces that cannot be cut at: at an end, or beside other white space.
-UNCUT = re.compile(r"^ | $|\s | \s")
 
 
 def byte_table() -> list[str]:
@@ -122,7 +122,7 @@ class Encoder:
             self.bytes_of[token["id"]] = token["content"].encode()
         self.model = self.tokenizer.model
         self.cuts = can_cut(json.loads(description))
-        self.cache: dict[str, bytes] = {}  # by the piece without its leading space
+        self.cache = PieceIds(self._learn)
         self.marks = Memo(KEPT_MARKS)
 
     def _ids(self, text: str) -> bytes:
@@ -130,34 +130,41 @@ class Encoder:
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of each text."""
-        if not self.cuts:
-            return [np.frombuffer(self._ids(t), np.uint32) for t in texts]
-        if len(self.cache) > KEPT_PIECES:
-            self.cache.clear()
-        cut = [pieces(t) for t in texts]
-        for piece in set().union(*[c[1:] for c in cut]).difference(self.cache):
-            self.cache[piece] = self._learn(" " + piece)
-        get = self.cache.__getitem__
-        return [
-            np.frombuffer(b"".join([self._learn(c[0]), *map(get, c[1:])]) if c else b"", np.uint32) for c in cut
-        ]
+        encode = self._by_pieces if self.cuts else self._ids
+        return [np.frombuffer(encode(t), np.uint32) for t in texts]
+
+    def _by_pieces(self, text: str) -> bytes:
+        if not text:
+            return b""
+        first, *rest = text.replace("\n", " \n").split(" ")
+        try:
+            if not first or first[-1].isspace():
+                raise KeyError(first)
+            known = list(map(self.cache.__getitem__, rest))
+        except KeyError:
+            first, *rest = joined_at_blanks([first, *rest])
+            known = [self.cache[p] if stands_alone(p) else self._ids(written(p)) for p in rest]
+        return b"".join([self._learn(first.replace(" \n", "\n")), *known])
 
     def _learn(self, piece: str) -> bytes:
-        """A word is one match of the pattern and goes to the model at once, marks after it likewise."""
+        """A word is one match of the pattern and goes to the model at once, marks or a line break beside it likewise."""
+        if piece[0] == "\n" and len(piece) > 1 and not piece[1].isspace():
+            return self._memo("\n") + self._learn(piece[1:])
         parts = WORD_AND_MARKS.fullmatch(piece)
         if not parts:
             return self._ids(piece)
         word, marks = parts.groups()
-        known = self.cache.get(word[1:]) if word[0] == " " and marks else None
-        if known is None:
-            written = word.replace(" ", BYTES[32]) if word.isascii() else "".join([BYTES[b] for b in word.encode()])
-            known = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
-        if not marks:
-            return known
-        after = self.marks.get(marks)
-        if after is None:
-            after = self.marks[marks] = self._ids(marks)
-        return known + after
+        if marks and word[0] == " ":
+            return self.cache[word[1:]] + self._memo(marks)
+        shown = word.replace(" ", BYTES[32]) if word.isascii() else "".join([BYTES[b] for b in word.encode()])
+        ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return ids + self._memo(marks) if marks else ids
+
+    def _memo(self, marks: str) -> bytes:
+        found = self.marks.get(marks)
+        if found is None:
+            found = self.marks[marks] = self._ids(marks)
+        return found
 
     def offsets(self, text: str) -> list[tuple[int, int]]:
         """Start and end in code points of each id; an id inside a character covers that character."""
@@ -171,22 +178,49 @@ class Encoder:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
-def pieces(text: str) -> list[str]:
-    """Cuts at single spaces between non-blank characters; joined by spaces, the pieces are the text."""
-    if not text:
-        return []
-    words = text.split(" ")
-    if not UNCUT.search(text):
-        return words
-    out = words[:1]
-    for w in words[1:]:
-        if w and out[-1] and not w[0].isspace() and not out[-1][-1].isspace():
-            out.append(w)
+def stands_alone(piece: str) -> bool:
+    """Whether a piece starts (after its line break) and ends with a character that is not blank."""
+    return bool(piece) and not piece[-1].isspace() and not piece[piece[0] == "\n"].isspace()
+
+
+def written(piece: str) -> str:
+    """The text of a piece: its space, which pieces leave out unless they start with a line break, belongs to it."""
+    return (piece if piece[:1] == "\n" else " " + piece).replace(" \n", "\n")
+
+
+def joined_at_blanks(parts: list[str]) -> list[str]:
+    """Parts of a text that was cut before every space and line break, joined again wherever blanks meet."""
+    out = parts[:1]
+    for p in parts[1:]:
+        start = p[p[:1] == "\n" :][:1]
+        if start and not start.isspace() and out[-1] and not out[-1][-1].isspace():
+            out.append(p)
         else:
-            out[-1] += " " + w
+            out[-1] += " " + p
     return out
 
 
+class PieceIds(dict):
+    """Ids of pieces, learned on demand; the half that was not asked for lately is forgotten when it is full."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn, self.old = learn, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if not stands_alone(piece):
+            raise KeyError(piece)
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.learn(written(piece))
+        if len(piece) <= LONGEST_KEPT:
+            if len(self) >= KEPT_PIECES // 2:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Memo(dict):
     """A dictionary that starts anew when it is full."""
 

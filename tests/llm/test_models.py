@@ -49,9 +49,27 @@ def test_split_characters_and_offsets(multi):
     assert offsets[-1][1] == 6 and all(a < b for a, b in offsets)
 
 
+def cut(t):
+    return bytebpe.joined_at_blanks(t.replace("\n", " \n").split(" "))
+
+
 def test_pieces_join_to_the_text():
-    for t in odd_texts():
-        assert " ".join(bytebpe.pieces(t or "")) == (t or "")
+    for t in [x or "" for x in odd_texts()] + ["\na", " a \nb\n\nc\td ", "\n", " "]:
+        first, *rest = cut(t)
+        assert first.replace(" \n", "\n") + "".join(map(bytebpe.written, rest)) == t
+
+
+def test_pieces_have_the_ids_of_the_whole_text(multi, monkeypatch):
+    monkeypatch.setattr(bytebpe, "KEPT_PIECES", 8)  # forgets all the time
+    rng = random.Random(3)
+    parts = [" ", "\n", "\t", "  ", "\n\n", "\r\n", "\u00a0", "\x1c", "\x85", "a", "Wort", "é.", "don't", "'s", "12", "½", "日本", "x" * 70]
+    with open(public_tokenizers.path(queries.BPE_JSON), encoding="utf-8") as f:
+        descriptions = [f.read(), multi]
+    for own in map(bytebpe.Encoder, descriptions):
+        assert own.cuts
+        for _ in range(2000):
+            t = "".join(rng.choices(parts, k=rng.randint(0, 12)))
+            assert own.encode_batch([t])[0].tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
 def test_other_tokenizers_get_whole_texts():
