@@ -23,31 +23,31 @@ from pyspark.sql import functions as F
 from qualframe.llm.scratch import small, store
 from qualframe.llm.words import EDGES, mix, text_batches
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 16  # a power of two
 LENGTH = 64
 KEPT_WORDS = 500_000
 FINE = 1 << 32  # steps a unit in the order of the sums
 
 
 class WordsAndShapes(dict):
-    """Index of a word; the arrays have the hash of its letters and that of its shape."""
+    """Index of a word; `fresh` has the hashes of letters and shape of the words that came last."""
 
     def __init__(self):
         super().__init__()
-        self.pairs: list[tuple[int, int]] = []
+        self.fresh: list[tuple[int, int]] = []
 
     def __missing__(self, word: str) -> int:
         core = word.strip(EDGES)
         shape = "".join("X" if c.isupper() else "9" if c.isdigit() else "x" if c.isalpha() else c for c in (core[:1], core[-1:]))
         marks = word.replace(core, "~", 1) if core else word
-        self.pairs.append((xxhash.xxh3_64_intdigest(core.lower()), xxhash.xxh3_64_intdigest(f"{shape} {marks}")))
-        index = self[word] = len(self.pairs) - 1
+        self.fresh.append((xxhash.xxh3_64_intdigest(core.lower()), xxhash.xxh3_64_intdigest(f"{shape} {marks}")))
+        index = self[word] = len(self)
         return index
 
 
 class Features:
     def __init__(self):
-        self.words, self.arrays = WordsAndShapes(), np.zeros((0, 2), np.uint64)
+        self.words, self.hashes = WordsAndShapes(), np.zeros((2, 1 << 12), np.uint64)
 
     def of(self, text: str) -> np.ndarray:
         """Buckets of all n-grams of a text."""
@@ -55,15 +55,21 @@ class Features:
             self.__init__()
         words = text.split()
         index = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        if len(self.words.pairs) > len(self.arrays):
-            added = np.array(self.words.pairs[len(self.arrays) :], np.uint64).reshape(-1, 2)
-            self.arrays = np.concatenate([self.arrays, added])
-        both = self.arrays[index]
-        word, shape = both[:, 0], both[:, 1]
+        self._take_in()
+        word, shape = self.hashes[0][index], self.hashes[1][index]
         pairs = mix(word[:-1] * np.uint64(3) + word[1:])
         pairs[word[:-1] == word[1:]] = np.uint64(1)  # the same word twice is one n-gram, whatever the word
         shapes = mix(shape[:-1] * np.uint64(5) + shape[1:] + np.uint64(7))
-        return (np.concatenate([word, shape, pairs, shapes]) % np.uint64(BUCKETS)).astype(np.int64)
+        return (np.concatenate([word, shape, pairs, shapes]) & np.uint64(BUCKETS - 1)).view(np.int64)
+
+    def _take_in(self) -> None:
+        """Hashes of fresh words go behind those known; the table doubles when it is full."""
+        fresh, n = self.words.fresh, len(self.words)
+        if fresh:
+            if n > self.hashes.shape[1]:
+                self.hashes = np.concatenate([self.hashes, np.zeros((2, n), np.uint64)], axis=1)
+            self.hashes[:, n - len(fresh) : n] = np.array(fresh, np.uint64).T
+            fresh.clear()
 
 
 def counts(docs: DataFrame, target: str, text: str) -> tuple[np.ndarray, np.ndarray]:
