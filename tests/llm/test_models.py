@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import textwrap
 import zlib
 from collections import defaultdict
 
@@ -275,3 +277,41 @@ def test_license_blocks(spark):
     span = next(s for s in got[0].spans if s.license)
     assert rows[0][1][span.start : span.end] == "Released under the MIT License." and span.reduction > 0.2
     assert licenses.scan_licenses(df.limit(0)).count() == 0
+
+
+def test_license_notices_as_they_are_written(spark):
+    grant, apache, gpl = licenses.TEMPLATES["MIT"][2], licenses.TEMPLATES["Apache-2.0"][1], licenses.TEMPLATES["GPL-3.0"][1]
+    wrapped = lambda t, head="", mark="": "\n".join(mark + x for x in (head + "\n\n" + textwrap.fill(t, 72)).split("\n"))
+    first, *_ = bsd = re.split(r" (?=Redistributions|Neither)", licenses.TEMPLATES["BSD-3-Clause"][1])
+    listed = "\n\n".join([textwrap.fill(first, 72)] + [f"{i}. {textwrap.fill(c, 72)}" for i, c in enumerate(bsd[1:], 1)])
+    owner = "Copyright (c) 2020, 2021 X Y"
+    cases = [
+        (wrapped(grant, "MIT License\n\n" + owner), "MIT"),
+        (wrapped(grant, "MIT License\n\n" + owner, " * "), "MIT"),
+        (wrapped(apache, "Copyright 2020 X", "# ").replace("http:", "https:"), "Apache-2.0"),
+        (wrapped(gpl, "foo - a tool\n" + owner), "GPL-3.0"),
+        (wrapped(gpl.replace("version 3", "version 2"), owner), "GPL-2.0"),
+        (wrapped(gpl.replace("General", "Lesser General"), owner), "LGPL-3.0"),
+        (wrapped(gpl.replace("version 3", "version 4"), owner), ""),
+        (owner + "\n\n" + listed, "BSD-3-Clause"),
+        (owner + "\n\n" + listed.split("\n\n3.")[0], "BSD-2-Clause"),
+        (wrapped(licenses.TEMPLATES["BSD-3-Clause"][0], owner), "BSD-3-Clause"),
+        ("By Foo. Licensed under CC BY 4.0.", "CC-BY-4.0"),
+        ("By Foo. " + "word " * 90 + "Licensed under CC BY 4.0. More by Bar.", "CC-BY-4.0"),
+        ("This work is licensed under the GNU General Public License, version 3.\nand Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0,GPL-3.0"),
+        ("x\n" + "\n".join(grant[i : i + 60] for i in range(0, len(grant), 60)) + "\ny", "MIT"),
+        (wrapped(grant, owner).replace("permission\n", "permis-\nsion\n"), "MIT"),
+        ("// SPDX-License-Identifier: MIT", "MIT"),
+        ("SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0 OR isc) AND none-such", "GPL-2.0,ISC"),
+        ("Some prose. All rights\nreserved.", "LicenseRef-All-Rights-Reserved"),
+        ("Rights: CC BY 4.0", "CC-BY-4.0"),
+        ("Licensed under CC BY 4.0.\n" * 300, "CC-BY-4.0"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(df).collect()}
+    for i, (text, want) in enumerate(cases):
+        assert got[i].licenses == want, (text, got[i].licenses)
+        assert got[i].n_confirmed == sum(s.license is not None for s in got[i].spans) and got[i].n_blocks == len(got[i].spans) > 0
+    span = next(s for s in got[0].spans if s.license)
+    assert cases[0][0][span.start : span.end].split() == grant.split() and not span.differences
+    assert next(s for s in got[2].spans if s.license).differences == ["-http", "+https"] and got[len(cases) - 1].n_confirmed == 300
