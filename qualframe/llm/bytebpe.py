@@ -6,7 +6,8 @@ turned back by reversing the table, and bytes that are no whole character are ke
 Text is cut before single spaces and single line breaks between two non-blank characters. No match of the split
 pattern crosses such a place, so pieces are encoded alone with the same ids as the whole text, and a worker encodes a
 piece once as long as it remembers it. Tokenizers that change the text first or split it by other rules get whole
-texts instead.
+texts instead. Added tokens of the description that the library finds in a text are taken out first, where it would
+find them, and what lies between them is cut.
 
 Defined cases: null text is empty and has no ids; a lone surrogate cannot occur in Spark strings; ids outside
 the table stop the job.
@@ -103,13 +104,17 @@ def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
 
 
 class Encoder:
-    """Ids of whole texts. Built once per Python worker from the description of a tokenizer."""
+    """Ids of whole texts. Built once per Python worker from the description of a tokenizer.
 
-    def __init__(self, description: str):
+    specials: a special token that is written out in a text gets its id, as the library does unless told otherwise;
+    else its characters are text like any other.
+    """
+
+    def __init__(self, description: str, specials: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(description)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not specials
         back = {c: b for b, c in enumerate(byte_table())}
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.bytes_of = [b""] * (max(vocab.values(), default=-1) + 1)
@@ -121,7 +126,11 @@ class Encoder:
                 self.bytes_of += [b""] * (token["id"] + 1 - len(self.bytes_of))
             self.bytes_of[token["id"]] = token["content"].encode()
         self.model = self.tokenizer.model
-        self.cuts = can_cut(json.loads(description))
+        found = [t for t in added if t["content"] and (specials or not t.get("special"))]
+        self.added = {t["content"]: np.array([t["id"]], np.uint32).tobytes() for t in found}
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
+        wide = any(t.get(k) for t in found for k in ("lstrip", "rstrip", "single_word"))
+        self.cuts = can_cut(json.loads(description)) and not wide
         self.cache = PieceIds(self._learn)
         self.marks = Memo(KEPT_MARKS)
 
@@ -130,9 +139,15 @@ class Encoder:
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of each text."""
-        encode = self._by_pieces if self.cuts else self._ids
+        encode = self._between_added if self.cuts else self._ids
         return [np.frombuffer(encode(t), np.uint32) for t in texts]
 
+    def _between_added(self, text: str) -> bytes:
+        if not any(t in text for t in self.added):
+            return self._by_pieces(text)
+        parts = self.at_added.split(text)
+        return b"".join([self.added[p] if i % 2 else self._by_pieces(p) for i, p in enumerate(parts)])
+
     def _by_pieces(self, text: str) -> bytes:
         if not text:
             return b""
@@ -234,15 +249,15 @@ class Memo(dict):
         super().__setitem__(key, value)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(description: str) -> Encoder:
+def encoder(description: str, specials: bool = False) -> Encoder:
     """The worker's encoder for this description."""
-    key = hashlib.md5(description.encode()).hexdigest()
+    key = hashlib.md5(description.encode()).hexdigest(), specials
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(description)
+        _encoders[key] = Encoder(description, specials)
     return _encoders[key]
 
 

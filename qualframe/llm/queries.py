@@ -121,7 +121,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path(BPE_JSON), encoding="utf-8") as lines:
         description = lines.read()
     folder = scratch.new_path(spark, "tokens")
-    tokenfile.write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), description, folder)
+    tokenfile.write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), description, folder, specials=True)
     return tokenfile.read_tokens(spark, folder, ids=False)
 
 

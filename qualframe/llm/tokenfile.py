@@ -49,12 +49,12 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
-def encoded(docs: DataFrame, description: str, id_col: str, text: str) -> DataFrame:
+def encoded(docs: DataFrame, description: str, id_col: str, text: str, specials: bool = False) -> DataFrame:
     """(doc, n, crc, ids): little-endian ids with the end id, as two bytes each where the vocabulary allows."""
     shared = docs.sparkSession.sparkContext.broadcast(description)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(shared.value)
+        own = encoder(shared.value, specials)
         narrow = id_type(len(own.bytes_of))
         end = np.array([END_ID], np.uint32)
         for batch in batches:
@@ -100,11 +100,16 @@ def frequencies(ids: DataFrame, vocabulary: int) -> DataFrame:
     return ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def write_tokens(docs: DataFrame, description: str, folder: str, id_col: str = "doc_id", text: str = "text") -> None:
-    """Encode whole texts with the tokenizers library and write the folder."""
+def write_tokens(
+    docs: DataFrame, description: str, folder: str, id_col: str = "doc_id", text: str = "text", specials: bool = False
+) -> None:
+    """Encode whole texts with the tokenizers library and write the folder.
+
+    specials: a special token that is written out in a text gets its id, as the library does unless told otherwise.
+    """
     spark = docs.sparkSession
     vocabulary = len(encoder(description).bytes_of)
-    ids = store(encoded(docs, description, id_col, text), "ids", "zstd")
+    ids = store(encoded(docs, description, id_col, text, specials), "ids", "zstd")
     ranked = [r.id for r in frequencies(ids, vocabulary).orderBy(F.desc("n"), "id").collect()]  # one row an id
     spark.createDataFrame(list(enumerate(ranked)), "rank int, id int").coalesce(1).write.parquet(f"{folder}/ranks")
     rank_of = np.zeros(vocabulary, np.uint32)

@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 from qualframe.llm import bytebpe, licenses, probminhash, queries, resample, scratch, tokenfile, toxicity, words
 
@@ -315,3 +315,38 @@ def test_license_notices_as_they_are_written(spark):
     span = next(s for s in got[0].spans if s.license)
     assert cases[0][0][span.start : span.end].split() == grant.split() and not span.differences
     assert next(s for s in got[2].spans if s.license).differences == ["-http", "+https"] and got[len(cases) - 1].n_confirmed == 300
+
+
+def test_special_tokens_in_a_text_get_their_ids_in_token_files(spark, tmp_path):
+    with open(public_tokenizers.path(queries.BPE_JSON), encoding="utf-8") as f:
+        description = f.read()
+    plain = Tokenizer.from_str(description)
+    assert plain.encode("<|endoftext|> x", add_special_tokens=False).ids == [50256, 2124]
+    rng = random.Random(7)
+    parts = ["<|endoftext|>", "<|endoftext|", " ", "\n", "  ", "Wort", "é.", "don't", "12", "|>"]
+    texts = [t or "" for t in odd_texts()] + ["".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(500)]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in bytebpe.Encoder(description, specials=True).encode_batch(texts)] == want
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op9_token_files(spark, str(tmp_path)).collect()}
+    start = 0
+    for i, ids in enumerate(want):
+        ids = [*ids, tokenfile.END_ID]
+        assert (got[i].start, got[i].n_tokens) == (start, len(ids))
+        assert got[i].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+        start += len(ids)
+
+
+def test_added_tokens_that_are_not_special():
+    with open(public_tokenizers.path(queries.BPE_JSON), encoding="utf-8") as f:
+        description = f.read()
+    for strip in (False, True):
+        tokenizer = Tokenizer.from_str(description)
+        tokenizer.add_tokens([AddedToken("two words", lstrip=strip, normalized=False), AddedToken("two", normalized=False)])
+        text = "a two words <|endoftext|>two\ntwo  word"
+        for specials in (False, True):
+            own = bytebpe.Encoder(tokenizer.to_str(), specials)
+            tokenizer.encode_special_tokens = not specials
+            assert own.encode_batch([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+            assert own.cuts != strip
