@@ -11,6 +11,8 @@ from qualframe.operators.facts import HIDDEN
 SUFFIXES = (".csv", ".tsv", ".txt")
 # Known delimiters, in order of preference on a tie.
 DELIMITERS = (",", "\t", ";", "|")
+# No cell ends like this.
+END = "\u0001end of line 7f3c1b52\u0001"
 
 
 class LoadError(ValueError):
@@ -40,12 +42,17 @@ def _header_line(spark: SparkSession, path: str) -> str:
 
 
 def read_delimited(
-    spark: SparkSession, path: str, delimiter: str | None = None, multi_line: bool = False
+    spark: SparkSession,
+    path: str,
+    delimiter: str | None = None,
+    multi_line: bool = False,
+    surplus_column: str | None = None,
 ) -> DataFrame:
     """All columns as text, blanks as '', with the hidden row order of the file(s).
 
     A lazy scan of any size: only the header line is read here. ``multi_line`` allows line breaks
-    inside quotes, which costs the splitting of files.
+    inside quotes, which costs the splitting of files. Cells beyond the header are left out, but
+    ``surplus_column`` names a column that holds each line that has such cells; ``read_whole`` refuses them.
     """
     if not path.lower().rstrip("/").endswith(SUFFIXES):
         raise LoadError(f"Unsupported file type; expected one of {', '.join(SUFFIXES)}.")
@@ -53,9 +60,14 @@ def read_delimited(
     if delimiter is None:
         delimiter = "\t" if path.lower().endswith(".tsv") else sniff_delimiter(header)
     names = _header_names(spark, header, delimiter)
-    schema = ", ".join(f"c{i} string" for i in range(len(names)))
+    if surplus_column in names:
+        raise LoadError(f"There is a column {surplus_column} already.")
+    schema = ", ".join([*(f"c{i} string" for i in range(len(names))), "broken string"])
     raw = (
         spark.read.schema(schema)
+        .option("columnNameOfCorruptRecord", "broken")
+        # a line is seen to be broken only where all of its cells are read
+        .option("columnPruning", surplus_column is None)
         .option("header", True)
         .option("enforceSchema", True)
         .option("sep", delimiter)
@@ -72,9 +84,44 @@ def read_delimited(
         F.monotonically_increasing_id().alias("row"),
     )
     cells = [F.coalesce(F.col(f"c{i}"), F.lit("")).alias(name) for i, name in enumerate(names)]
+    if surplus_column is not None:
+        # with the length of a cell, always true, since Spark refuses to read broken lines alone
+        read = F.coalesce(F.length("c0"), F.lit(0)) >= 0
+        line = F.when(read & _is_wider(F.col("broken"), len(names), delimiter), F.col("broken"))
+        cells.append(F.coalesce(line, F.lit("")).alias(surplus_column))
     return raw.select(order.alias(HIDDEN), *cells)
 
 
+def read_whole(
+    spark: SparkSession,
+    path: str,
+    delimiter: str | None = None,
+    multi_line: bool = False,
+    surplus_column: str | None = None,
+) -> DataFrame:
+    """``read_delimited``, but a file with lines of more cells than its header is refused, with their count.
+
+    That takes a scan. With ``surplus_column`` there is none: the lines are kept in the column of that name.
+    """
+    if surplus_column is not None:
+        return read_delimited(spark, path, delimiter, multi_line, surplus_column)
+    probe = read_delimited(spark, path, delimiter, multi_line, END)
+    found = probe.where(F.col(END) != "").count()
+    if found:
+        raise LoadError(f"{found:,} line(s) have more cells than the header.")
+    return read_delimited(spark, path, delimiter, multi_line)
+
+
+def _is_wider(line, columns: int, delimiter: str):
+    """Whether a line has more cells than that: a mark put behind it is then beyond them."""
+    schema = ", ".join(f"c{i} string" for i in range(columns + 1))
+    marked = F.from_csv(F.concat(line, F.lit(delimiter + END)), schema, {"sep": delimiter, "quote": '"', "escape": '"'})
+    # a quote that stays open takes the mark into the last cell
+    fits = [F.coalesce(marked[f"c{i}"].endswith(END), F.lit(False)) for i in range(columns)]
+    fits.append(F.coalesce(marked[f"c{columns}"] == END, F.lit(False)))
+    return line.isNotNull() & ~F.array_contains(F.array(*fits), True)
+
+
 def _header_names(spark: SparkSession, header: str, delimiter: str) -> list[str]:
     """Split one header line with the reader's own rules for quotes."""
     count = header.count(delimiter) + 1

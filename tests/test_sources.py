@@ -2,6 +2,8 @@ import os
 
 import pytest
 
+import qualframe as qf
+
 from qualframe.operators.facts import HIDDEN
 from qualframe.plans.clean import analyze, clean
 from qualframe.plans.history import History, run_list
@@ -136,3 +138,27 @@ def test_history_takes_safe_ids_and_empty_lists(spark, folder):
 def test_run_list_honours_its_limit(spark):
     runs = spark.range(300).selectExpr("CAST(id AS STRING) AS run_id", "CAST(id AS STRING) AS created_at")
     assert run_list(runs, 250).count() == 250
+
+
+def test_lines_wider_than_the_header_are_refused_or_kept(spark, folder):
+    text = 'a,b\n1,2\n3\n4,5,6\n"x,y","p,q"\n7,8,9,10\n,,z\n"u, v",w,"t, ""s"""\n3,"open\n\n5,\n'
+    path = write(folder, "w.csv", text)
+    with pytest.raises(LoadError, match="^4 line"):
+        qf.read_delimited(spark, path)
+    kept = qf.read_delimited(spark, path, surplus_column="line")
+    assert kept.columns == [HIDDEN, "a", "b", "line"]
+    lines = [r["line"] for r in kept.orderBy(HIDDEN).select("line", "a").collect()]
+    assert lines == ["", "", "4,5,6", "", "7,8,9,10", ",,z", '"u, v",w,"t, ""s"""', "", ""]
+    assert kept.where("line != ''").count() == 4
+    assert rows(kept)[:3] == [("1", "2", ""), ("3", "", ""), ("4", "5", "4,5,6")]
+    with pytest.raises(LoadError, match="already"):
+        qf.read_delimited(spark, path, surplus_column="b")
+    one = write(folder, "v.csv", 'a\n1\n"2,3"\n3,"open\n')
+    with pytest.raises(LoadError, match="^1 line"):
+        qf.read_delimited(spark, one)
+    broken = write(folder, "m.csv", 'a,b\n"1\n2",3\n"4\n5",6,7\n8\n')
+    with pytest.raises(LoadError, match="^1 line"):
+        qf.read_delimited(spark, broken, multi_line=True)
+    fits = qf.read_delimited(spark, write(folder, "f.csv", "a,b\n1,2\n3\n"))
+    assert rows(fits) == [("1", "2"), ("3", "")]
+    assert rows(qf.read_delimited(spark, write(folder, "g.tsv", "a\tb\n1\t2,3\n"))) == [("1", "2,3")]
