@@ -213,11 +213,11 @@ def least_agreement(similarity: float) -> int:
 def unmet_pairs(classed: DataFrame, leaders: DataFrame, content: DataFrame, similarity: float) -> DataFrame:
     """(a, b, similarity): similar pairs of different classes that share a bucket and that no leader compared.
 
-    classed: (entity, n_words, bands, sketch, label) of all entities that share a bucket. Buckets of up to three
-    entities and those of one class have nothing left. In the others, blocks of the entities outside the largest
+    classed: (entity, n_words, bands, sketch, label) of all entities that share a bucket. Buckets of two
+    entities, of three with two leaders, and those of one class have nothing left. In the others, blocks of the entities outside the largest
     class meet the blocks of all; blocks are filled by hash, so a bucket of any size is many rows.
     """
-    large = store(leaders.filter("n > 3").select("l_band", "l_bucket", F.col("low.entity").alias("low"), "other"), "large")
+    large = store(leaders.filter("n > 3 OR n = 3 AND low.entity = other").select("l_band", "l_bucket", F.col("low.entity").alias("low"), "other"), "large")
     members = classed.select("entity", "label", "n_words", F.posexplode("bands").alias("band", "bucket"))
     members = members.join(small(large), F.expr(IN_BUCKET)).filter("entity <> low AND entity <> other")
     sizes = members.groupBy("l_band", "l_bucket", "label").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"))

@@ -350,3 +350,21 @@ def test_added_tokens_that_are_not_special():
             tokenizer.encode_special_tokens = not specials
             assert own.encode_batch([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
             assert own.cuts != strip
+
+
+def test_buckets_of_three_with_one_leader_are_met(spark):
+    names, runs = [b"a" * 16, b"b" * 16, b"c" * 16], np.arange(1, 41, dtype=np.uint64)
+    kind = "entity binary, first struct<no_id:boolean,doc:long,text_hash:long>, n_words long, bands array<long>, sketch binary, label binary"
+
+    def entities(lowest):
+        rows = [(e, (False, i, 0), 44, [7, 100 + i], b"s" * 125, e) for i, e in enumerate(names)]
+        return spark.createDataFrame([(e, (n, -1 if e == lowest else d, h), *rest) for e, (n, d, h), *rest in rows], kind)
+
+    [leader] = {bytes(r.other) for r in probminhash.bucket_leaders(entities(names[0])).collect()}
+    held = [(e, (runs + np.uint64(1000) if e == leader else runs).tobytes(), b"") for e in names]
+    content = spark.createDataFrame(held, "entity binary, runs binary, weights binary")
+    for lowest in names:
+        df = entities(lowest)
+        got = probminhash.unmet_pairs(df.drop("first"), probminhash.bucket_leaders(df), content, 0.8).collect()
+        want = [e for e in names if e != leader] if lowest == leader else None
+        assert [(bytes(r.a), bytes(r.b)) for r in got] == ([tuple(want)] if want else [])
