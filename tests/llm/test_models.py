@@ -368,3 +368,12 @@ def test_buckets_of_three_with_one_leader_are_met(spark):
         got = probminhash.unmet_pairs(df.drop("first"), probminhash.bucket_leaders(df), content, 0.8).collect()
         want = [e for e in names if e != leader] if lowest == leader else None
         assert [(bytes(r.a), bytes(r.b)) for r in got] == ([tuple(want)] if want else [])
+
+
+def test_thresholds_come_from_rows_that_were_not_fitted(spark, monkeypatch):
+    df = spark.createDataFrame(toxic_rows(300, 3), "doc_id long, text string, lang string, toxic int")
+    seen, fit, calibrate = {}, toxicity.fit, toxicity.calibrate
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y, shape: (seen.update(fitted=texts), fit(texts, y, shape))[1])
+    monkeypatch.setattr(toxicity, "calibrate", lambda m, texts, y, x: (seen.update(held=texts), calibrate(m, texts, y, x))[1])
+    toxicity.train(df.select("doc_id", "text", "lang"), df.select("doc_id", "toxic"), 1000)
+    assert len(seen["held"]) == 60 and len(seen["fitted"]) == 240 and not set(seen["held"]) & set(seen["fitted"])
