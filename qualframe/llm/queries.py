@@ -11,10 +11,13 @@ from qualframe.llm import (
     chat,
     hostrules,
     licenses,
+    merkle,
+    pcatiles,
     probminhash,
     resample,
     ring,
     scratch,
+    spelling,
     tokenfile,
     toxicity,
     winnow,
@@ -141,6 +144,33 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    altered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    leaf = lambda n_chars: merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+    rows = docs.select(
+        "doc_id", "lang", leaf(F.col("n_chars")).alias("leaf"), F.when(altered, leaf(F.col("n_chars") + 1)).alias("altered")
+    )
+    manifest = merkle.build_manifest(rows, "lang", ["doc_id"], "leaf")
+    proofs = merkle.prove(manifest, manifest.leaves).drop("leaf")
+    root = manifest.top.roots.select(F.col("digest").alias("root"))
+    subroots = manifest.trees.roots.select("g", F.col("digest").alias("subroot"))
+    found = manifest.leaves.join(proofs, ["g", "rank"]).join(scratch.small(subroots), "g").join(F.broadcast(root))
+    folded = merkle.fold(F.coalesce("altered", "leaf"), F.col("proof"))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"), drop_every=199)
+
+
+def op13_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pcatiles.near_vectors(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -154,5 +184,8 @@ QUERIES = {
         op8_license_scan,
         op9_token_files,
         op10_host_rules,
+        op11_merkle_manifest,
+        op12_spelling_variants,
+        op13_pca_tiles,
     )
 }

@@ -92,4 +92,75 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
-ORACLE_SQL = {"op1_chat_format": OP1, "op4_winnowing": OP4, "op10_host_rules": OP10}
+FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(FIELD.format(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+_HALVE = """SELECT {key}, level + 1, list_transform(range(0, (len(nodes) + 1) // 2),
+    lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], ''))) FROM {tree} WHERE len(nodes) > 1"""
+
+OP11 = f"""
+WITH RECURSIVE bits AS (  -- the table of CRC-32, from its polynomial
+  SELECT i, 0 AS k, i AS c FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8
+), crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, {_leaf("n_chars")} AS leaf,
+    {_leaf("(n_chars + 1)")} AS changed,
+    list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)) AS bytes
+  FROM documents
+), ranked AS (
+  SELECT rid, doc_id, g, leaf, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank,
+    CASE WHEN doc_id IS NOT NULL AND
+      xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0 THEN changed ELSE leaf END AS begin
+  FROM d, crc
+), tree AS (
+  SELECT g, 0 AS level, list(leaf ORDER BY rank) AS nodes FROM ranked GROUP BY g UNION ALL {_HALVE.format(key="g", tree="tree")}
+), top AS (
+  SELECT 0 AS one, 0 AS level, list(nodes[1] ORDER BY g) AS nodes FROM tree WHERE len(nodes) = 1
+  UNION ALL {_HALVE.format(key="one", tree="top")}
+), steps AS (
+  SELECT rid, level, (rank >> level) & 1 AS digit, coalesce(nodes[xor(rank >> level, 1) + 1], '') AS other
+  FROM ranked JOIN tree USING (g) WHERE len(nodes) > 1
+  UNION ALL SELECT rid, 1000 + level, (g >> level) & 1, coalesce(nodes[xor(g >> level, 1) + 1], '')
+  FROM ranked, top WHERE len(nodes) > 1
+), paths AS (
+  SELECT rid, string_agg(other, '' ORDER BY level) AS proof, list(digit::VARCHAR || other ORDER BY level) AS way FROM steps GROUP BY rid
+), folded AS (
+  SELECT r.*, sha256(coalesce(proof, '')) AS proof_sha256,
+    list_reduce(list_prepend(r.begin, coalesce(way, []::VARCHAR[])),
+      lambda acc, s: CASE WHEN s[1] = '0' THEN sha256(acc || s[2:]) ELSE sha256(s[2:] || acc) END) AS folded_root
+  FROM ranked r LEFT JOIN paths USING (rid)
+)
+SELECT f.doc_id, f.leaf, tree.nodes[1] AS subroot, top.nodes[1] AS root, proof_sha256, folded_root, folded_root = top.nodes[1] AS verified
+FROM folded f JOIN tree ON tree.g = f.g AND len(tree.nodes) = 1 JOIN top ON len(top.nodes) = 1
+"""
+
+OP13 = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS rid, vec_id, embedding::DOUBLE[] AS e,
+    coalesce(len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS sound
+  FROM embeddings
+), s AS MATERIALIZED (SELECT rid, e, len(e) AS size FROM v WHERE sound),
+links AS MATERIALIZED (
+  SELECT a.rid AS a, b.rid AS b FROM s a JOIN s b ON a.size = b.size AND a.rid <> b.rid WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT rid, rid AS at FROM v UNION SELECT reach.rid, links.b FROM reach JOIN links ON reach.at = links.a
+), least AS (
+  SELECT reach.rid, min(v.vec_id) AS component_id FROM reach JOIN v ON v.rid = reach.at GROUP BY reach.rid
+), degree AS (SELECT a AS rid, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v LEFT JOIN degree USING (rid) JOIN least USING (rid)
+"""
+
+ORACLE_SQL = {
+    "op1_chat_format": OP1,
+    "op4_winnowing": OP4,
+    "op10_host_rules": OP10,
+    "op11_merkle_manifest": OP11,
+    "op13_pca_tiles": OP13,
+}
