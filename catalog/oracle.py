@@ -286,6 +286,16 @@ FROM (SELECT DISTINCT * FROM dirty_orders), bounds WHERE {UNIT_PRICE} BETWEEN lo
 def queries() -> dict[str, str]:
     q: dict[str, str] = {}
     q["preview_customers"] = _customers("SELECT * FROM dirty_customers ORDER BY cust_key LIMIT 20")
+    q["preview_orders_with_total"] = _orders(
+        """SELECT *, (SELECT count(*) FROM dirty_orders) AS total_rows FROM dirty_orders
+        ORDER BY order_key, unit_price LIMIT 5"""
+    )
+    q["delimited_round_trip"] = """SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row, CAST(doc_id AS VARCHAR) AS doc_id,
+        coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        coalesce(CAST(n_chars AS VARCHAR), '') AS n_chars FROM documents"""
+    q["delimiter_choice"] = _customers(
+        "SELECT dirty_customers.*, delimiter FROM dirty_customers, (VALUES (','), (chr(9)), (';'), ('|')) AS t(delimiter)"
+    )
     q["cell_classes_orders"] = _classes(DIRTY_ORDERS, "dirty_orders", ORDER_COLUMNS)
     q["cell_classes_customers"] = _classes(DIRTY_CUSTOMERS, "dirty_customers", CUSTOMER_COLUMNS)
     q["cell_classes_documents"] = _classes(None, "documents", ["text", "lang", "source"])

@@ -14,10 +14,11 @@ from qualframe.functions import numbers as N
 from qualframe.functions import values as V
 from qualframe.operators import advise, fixes, frequencies, intake, profile, score
 from qualframe.operators.detect import detect_issues, sort_issues, with_row_order
-from qualframe.operators.facts import column_facts
+from qualframe.operators.facts import HIDDEN, column_facts
 from qualframe.plans import history, report
 from qualframe.plans.clean import clean
-from qualframe.sources.delimited import preview
+from qualframe.sources.delimited import DELIMITERS, preview, read_delimited
+from qualframe.sources.tables import work_folder, write_delimited
 
 QUERIES = {}
 
@@ -35,6 +36,32 @@ def preview_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preview(W.dirty_customers(spark, sf_dir), 20, ["cust_key"])
 
 
+@query
+def preview_orders_with_total(spark, sf_dir):
+    return preview(W.dirty_orders(spark, sf_dir), 5, ["order_key", "unit_price"], total=True)
+
+
+@query
+def delimited_round_trip(spark, sf_dir):
+    """Documents written as delimited text and read back in blocks, with the number of each row."""
+    docs = with_row_order(W.table(spark, sf_dir, "documents"), ["doc_id"])
+    path = work_folder(spark, "documents-text")
+    write_delimited(docs, path)
+    return read_delimited(spark, path + "/").select(F.col(f"{HIDDEN}.row").alias("row"), "*").drop(HIDDEN)
+
+
+@query
+def delimiter_choice(spark, sf_dir):
+    """Customers written with each delimiter and read back without being told which, names tidied."""
+    df = W.dirty_customers(spark, sf_dir).withColumnRenamed("segment", "  segment ")
+    parts = []
+    for delimiter in DELIMITERS:
+        path = work_folder(spark, "customers-text")
+        write_delimited(df, path, delimiter=delimiter)
+        parts.append(read_delimited(spark, path + "/").drop(HIDDEN).withColumn("delimiter", F.lit(delimiter)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _classes(df: DataFrame) -> DataFrame:
     names = ("blanks", "placeholders", "numeric_like", "date_like", "padded", "invalid", "strict_numbers")
     return column_facts(df).select(

@@ -6,8 +6,7 @@ from qualframe.operators.fixes import FixRejected, apply_all, apply_fix
 from qualframe.operators.profile import profile_columns
 from qualframe.operators.score import score_issues
 from qualframe.plans.clean import analyze, apply, clean
-from qualframe.sources.delimited import LoadError
-from qualframe.sources.delimited import read_whole as read_delimited
+from qualframe.sources.delimited import LoadError, preview, read_delimited
 
 __all__ = [
     "Decision",
@@ -22,6 +21,7 @@ __all__ = [
     "clean",
     "detect",
     "detect_issues",
+    "preview",
     "profile_columns",
     "read_delimited",
     "score_issues",

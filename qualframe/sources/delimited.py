@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from qualframe.functions import values as V
 from qualframe.operators.facts import HIDDEN
+from qualframe.sources.blocks import records
 
 SUFFIXES = (".csv", ".tsv", ".txt")
+# Endings of compressed files that Spark reads by itself; only bzip2 is read in blocks.
+PACKED = (".gz", ".bz2", ".zst", ".lz4", ".snappy")
+BOM = "\ufeff"
 # Known delimiters, in order of preference on a tie.
 DELIMITERS = (",", "\t", ";", "|")
 # No cell ends like this.
@@ -34,92 +38,79 @@ def clean_names(names: list[str]) -> list[str]:
     return cleaned
 
 
-def _header_line(spark: SparkSession, path: str) -> str:
-    lines = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+def _first_lines(spark: SparkSession, path: str) -> list[str]:
+    """The header line and one more, of all lines that are not blank."""
+    lines = spark.read.text(path).where(F.trim("value") != "").limit(2).collect()
     if not lines:
         raise LoadError("That file is empty.")
-    return lines[0]["value"].lstrip("﻿")
+    if len(lines) == 1:
+        raise LoadError("That file has no rows.")
+    return [line["value"].lstrip(BOM) for line in lines]
+
+
+def _line_ending(spark: SparkSession, path: str, header: str) -> str:
+    """A line feed, unless the header is followed by a carriage return alone."""
+    head = F.substring("value", 1, len(BOM) + len(header) + 2)
+    found = spark.read.option("lineSep", "\n").text(path).where(F.trim("value") != "").select(head.alias("head")).first()
+    rest = found["head"].lstrip(BOM).removeprefix(header)
+    return "\r" if len(rest) > 1 and rest[0] == "\r" and rest[1] != "\r" else "\n"
+
+
+def _is_supported(path: str) -> bool:
+    """A file by its suffix, compressed or not; folders and patterns are looked into by Spark."""
+    if path.endswith("/"):
+        return True
+    name = path.lower().rsplit("/", 1)[-1]
+    for packed in PACKED:
+        name = name.removesuffix(packed)
+    return name.endswith(SUFFIXES) or "." not in name or any(c in name for c in "*?[{")
 
 
 def read_delimited(
     spark: SparkSession,
     path: str,
     delimiter: str | None = None,
-    multi_line: bool = False,
+    multi_line: bool = True,
     surplus_column: str | None = None,
 ) -> DataFrame:
-    """All columns as text, blanks as '', with the hidden row order of the file(s).
+    """All columns as text, blanks as '', with the hidden number of each row over all files.
 
-    A lazy scan of any size: only the header line is read here. ``multi_line`` allows line breaks
-    inside quotes, which costs the splitting of files. Cells beyond the header are left out, but
-    ``surplus_column`` names a column that holds each line that has such cells; ``read_whole`` refuses them.
+    path: a file, a folder or a pattern; each file has the same header. A lazy scan of any size, cut into blocks by
+    Spark: only two lines are read here. Quoted cells may hold line breaks; with ``multi_line=False`` every line is
+    a record, whatever its quotes. A line with more cells than the header stops the scan that meets it, but
+    ``surplus_column`` names a column that holds such lines whole.
     """
-    if not path.lower().rstrip("/").endswith(SUFFIXES):
+    if not _is_supported(path):
         raise LoadError(f"Unsupported file type; expected one of {', '.join(SUFFIXES)}.")
-    header = _header_line(spark, path)
+    header = _first_lines(spark, path)[0]
     if delimiter is None:
-        delimiter = "\t" if path.lower().endswith(".tsv") else sniff_delimiter(header)
+        delimiter = "\t" if ".tsv" in path.lower() else sniff_delimiter(header)
     names = _header_names(spark, header, delimiter)
     if surplus_column in names:
         raise LoadError(f"There is a column {surplus_column} already.")
-    schema = ", ".join([*(f"c{i} string" for i in range(len(names))), "broken string"])
-    raw = (
-        spark.read.schema(schema)
-        .option("columnNameOfCorruptRecord", "broken")
-        # a line is seen to be broken only where all of its cells are read
-        .option("columnPruning", surplus_column is None)
-        .option("header", True)
-        .option("enforceSchema", True)
-        .option("sep", delimiter)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("encoding", "UTF-8")
-        .option("multiLine", multi_line)
-        .csv(path)
-    )
-    order = F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    cells = [F.coalesce(F.col(f"c{i}"), F.lit("")).alias(name) for i, name in enumerate(names)]
+    found = records(spark, path, delimiter, multi_line, _line_ending(spark, path, header))
+    text, count = F.col("text"), len(names)
+    other = F.col("header") & (F.ltrim(text, F.lit(BOM)) != header)
+    refusal = F.raise_error(F.concat(F.lit("The header differs in "), F.col("file")))
+    found = found.where(F.when(other, refusal.cast("boolean")).otherwise(~F.col("header")))
+
+    schema = ", ".join(f"c{i} string" for i in range(count + 1))
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": "true", "maxColumns": str(max(20480, 2 * count))}
+    found = found.withColumn("cells", F.from_csv(F.concat(text, F.lit(delimiter + END)), schema, options))
+    cells = [F.col(f"cells.c{i}") for i in range(count + 1)]
+    # the mark ends the line; a quote that stays open takes it into the last cell
+    ended = [F.coalesce(c.endswith(END), F.lit(False)) for c in cells[:-1]]
+    wider = ~F.array_contains(F.array(*ended, F.coalesce(cells[-1] == END, F.lit(False))), True)
+    if surplus_column is None:
+        said = F.concat(F.lit("A line has more cells than the header: "), F.left(text, F.lit(200)))
+        found = found.where(F.when(wider, F.raise_error(said).cast("boolean")).otherwise(True))
+    out = []
+    for cell, end, name in zip(cells, ended, names):
+        left = F.when(cell == END, "").otherwise(F.left(cell, F.length(cell) - len(delimiter + END)))
+        out.append(F.coalesce(F.when(end, left).otherwise(cell), F.lit("")).alias(name))
     if surplus_column is not None:
-        # with the length of a cell, always true, since Spark refuses to read broken lines alone
-        read = F.coalesce(F.length("c0"), F.lit(0)) >= 0
-        line = F.when(read & _is_wider(F.col("broken"), len(names), delimiter), F.col("broken"))
-        cells.append(F.coalesce(line, F.lit("")).alias(surplus_column))
-    return raw.select(order.alias(HIDDEN), *cells)
-
-
-def read_whole(
-    spark: SparkSession,
-    path: str,
-    delimiter: str | None = None,
-    multi_line: bool = False,
-    surplus_column: str | None = None,
-) -> DataFrame:
-    """``read_delimited``, but a file with lines of more cells than its header is refused, with their count.
-
-    That takes a scan. With ``surplus_column`` there is none: the lines are kept in the column of that name.
-    """
-    if surplus_column is not None:
-        return read_delimited(spark, path, delimiter, multi_line, surplus_column)
-    probe = read_delimited(spark, path, delimiter, multi_line, END)
-    found = probe.where(F.col(END) != "").count()
-    if found:
-        raise LoadError(f"{found:,} line(s) have more cells than the header.")
-    return read_delimited(spark, path, delimiter, multi_line)
-
-
-def _is_wider(line, columns: int, delimiter: str):
-    """Whether a line has more cells than that: a mark put behind it is then beyond them."""
-    schema = ", ".join(f"c{i} string" for i in range(columns + 1))
-    marked = F.from_csv(F.concat(line, F.lit(delimiter + END)), schema, {"sep": delimiter, "quote": '"', "escape": '"'})
-    # a quote that stays open takes the mark into the last cell
-    fits = [F.coalesce(marked[f"c{i}"].endswith(END), F.lit(False)) for i in range(columns)]
-    fits.append(F.coalesce(marked[f"c{columns}"] == END, F.lit(False)))
-    return line.isNotNull() & ~F.array_contains(F.array(*fits), True)
+        out.append(F.when(wider, text).otherwise("").alias(surplus_column))
+    return found.select(F.struct("row").alias(HIDDEN), *out)
 
 
 def _header_names(spark: SparkSession, header: str, delimiter: str) -> list[str]:
@@ -135,28 +126,9 @@ def _header_names(spark: SparkSession, header: str, delimiter: str) -> list[str]
     return clean_names([name or "" for name in names])
 
 
-def require_rows(df: DataFrame) -> DataFrame:
-    if df.isEmpty():
-        raise LoadError("That file has no rows.")
-    return df
-
-
-def broken_rows(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """Lines that do not fit the header (too many or too few fields), with the cells read from them."""
-    header = _header_line(spark, path)
-    delimiter = delimiter or ("\t" if path.lower().endswith(".tsv") else sniff_delimiter(header))
-    names = _header_names(spark, header, delimiter)
-    fields = [f"c{i}" for i in range(len(names))]
-    schema = ", ".join(f"{f} string" for f in fields) + ", broken string"
-    raw = spark.read.schema(schema).csv(
-        path, header=True, sep=delimiter, quote='"', escape='"', columnNameOfCorruptRecord="broken"
-    )
-    kept = [F.col(f).alias(name) for f, name in zip(fields, names)]
-    return raw.where("broken is not null").select(F.col("broken").alias("line"), *kept)
-
-
-def preview(df: DataFrame, rows: int = 20, order_by: list[str] | None = None) -> DataFrame:
-    """The first rows with every cell as text, blanks as ''."""
+def preview(df: DataFrame, rows: int = 20, order_by: list[str] | None = None, total: bool = False) -> DataFrame:
+    """The first rows with every cell as text, blanks as ''; ``total`` adds ``total_rows``, the rows of df."""
     order = [HIDDEN] if HIDDEN in df.columns else list(order_by or [])
     head = df.orderBy(*order).limit(rows) if order else df.limit(rows)
-    return head.select(*[V.as_text(V.quoted(c)).alias(c) for c in head.columns if c != HIDDEN])
+    shown = head.select(*[V.as_text(V.quoted(c)).alias(c) for c in head.columns if c != HIDDEN])
+    return shown.join(F.broadcast(df.agg(F.count(F.lit(1)).alias("total_rows")))) if total else shown

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from qualframe.functions import values as V
 from qualframe.operators.facts import HIDDEN
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 def without_order(df: DataFrame) -> DataFrame:
     return df.drop(HIDDEN)
 
@@ -23,13 +21,14 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> Data
     return df.sparkSession.read.parquet(path)
 
 
-def write_delimited(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Delimited text with header, nulls as empty cells, in row order within each part."""
+def write_delimited(df: DataFrame, path: str, mode: str = "errorifexists", delimiter: str = ",") -> None:
+    """Delimited text with header, nulls as empty cells; parts and rows follow the row order where it is known."""
     if HIDDEN in df.columns:
-        df = df.sortWithinPartitions(HIDDEN)
+        df = df.orderBy(HIDDEN)
     cells = [V.as_text(V.quoted(c)).alias(c) for c in df.columns if c != HIDDEN]
     df.select(*cells).write.mode(mode).csv(
         path,
+        sep=delimiter,
         header=True,
         quote='"',
         escape='"',
@@ -49,5 +48,9 @@ def land(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def count_rows(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("total_rows"))
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("Set spark.checkpoint.dir to a folder that driver and executors share.")
+    return f"{(shared or tempfile.mkdtemp(prefix='run-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,6 +1,11 @@
+import csv
+import gzip
 import os
+import random
 
+import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 
 import qualframe as qf
 
@@ -10,8 +15,9 @@ from qualframe.plans.history import History, run_list
 from qualframe.plans.report import audit_report
 from qualframe.model import Decision
 from qualframe.sources.delimited import (
-    LoadError, broken_rows, clean_names, preview, read_delimited, require_rows, sniff_delimiter,
+    LoadError, clean_names, preview, read_delimited, sniff_delimiter,
 )
+from qualframe.sources.blocks import lines, states_before
 from qualframe.sources.tables import land, write_delimited, write_parquet
 
 
@@ -54,13 +60,7 @@ def test_refusals(spark, folder):
     with pytest.raises(LoadError, match="empty"):
         read_delimited(spark, write(folder, "e.csv", " \n"))
     with pytest.raises(LoadError, match="no rows"):
-        require_rows(read_delimited(spark, write(folder, "h.csv", "a,b\n")))
-
-
-def test_broken_lines_are_listed(spark, folder):
-    path = write(folder, "b.csv", "a,b\n1,2\n3\n4,5,6\n")
-    assert rows(read_delimited(spark, path)) == [("1", "2"), ("3", ""), ("4", "5")]
-    assert sorted(r[0] for r in broken_rows(spark, path).collect()) == ["3", "4,5,6"]
+        read_delimited(spark, write(folder, "h.csv", "a,b\n\n"))
 
 
 def test_preview_and_sinks(spark, flawed, folder):
@@ -140,25 +140,118 @@ def test_run_list_honours_its_limit(spark):
     assert run_list(runs, 250).count() == 250
 
 
+WIDE = "more cells than the header"
+
+
 def test_lines_wider_than_the_header_are_refused_or_kept(spark, folder):
     text = 'a,b\n1,2\n3\n4,5,6\n"x,y","p,q"\n7,8,9,10\n,,z\n"u, v",w,"t, ""s"""\n3,"open\n\n5,\n'
     path = write(folder, "w.csv", text)
-    with pytest.raises(LoadError, match="^4 line"):
-        qf.read_delimited(spark, path)
-    kept = qf.read_delimited(spark, path, surplus_column="line")
+    with pytest.raises(PySparkException, match=WIDE):
+        qf.read_delimited(spark, path).collect()
+    with pytest.raises(PySparkException, match=WIDE):
+        qf.read_delimited(spark, path).count()
+    kept = qf.read_delimited(spark, path, surplus_column="line", multi_line=False)
     assert kept.columns == [HIDDEN, "a", "b", "line"]
     lines = [r["line"] for r in kept.orderBy(HIDDEN).select("line", "a").collect()]
     assert lines == ["", "", "4,5,6", "", "7,8,9,10", ",,z", '"u, v",w,"t, ""s"""', "", ""]
     assert kept.where("line != ''").count() == 4
     assert rows(kept)[:3] == [("1", "2", ""), ("3", "", ""), ("4", "5", "4,5,6")]
+    assert rows(qf.read_delimited(spark, path, surplus_column="line"))[-1] == ("3", "open\n\n5,", "")
     with pytest.raises(LoadError, match="already"):
         qf.read_delimited(spark, path, surplus_column="b")
     one = write(folder, "v.csv", 'a\n1\n"2,3"\n3,"open\n')
-    with pytest.raises(LoadError, match="^1 line"):
-        qf.read_delimited(spark, one)
+    with pytest.raises(PySparkException, match=WIDE):
+        qf.read_delimited(spark, one).collect()
     broken = write(folder, "m.csv", 'a,b\n"1\n2",3\n"4\n5",6,7\n8\n')
-    with pytest.raises(LoadError, match="^1 line"):
-        qf.read_delimited(spark, broken, multi_line=True)
+    with pytest.raises(PySparkException, match=WIDE):
+        qf.read_delimited(spark, broken).collect()
     fits = qf.read_delimited(spark, write(folder, "f.csv", "a,b\n1,2\n3\n"))
     assert rows(fits) == [("1", "2"), ("3", "")]
     assert rows(qf.read_delimited(spark, write(folder, "g.tsv", "a\tb\n1\t2,3\n"))) == [("1", "2,3")]
+
+
+def random_rows(seed, n):
+    rng = random.Random(seed)
+    parts = ["a", "b", ",", '"', "\n", "\r\n", "\n\n", " ", "é", '5" ', "x,\"", ""]
+    return [(str(i), "".join(rng.choice(parts) for _ in range(rng.randrange(9)))) for i in range(n)]
+
+
+@pytest.fixture
+def block_size(spark):
+    """block_size("97"): files are cut into blocks of so many bytes from now on."""
+    names = ("maxPartitionBytes", "openCostInBytes", "minPartitionNum")
+
+    def cut(size):
+        for name, value in zip(names, (size, "1", "1")):
+            spark.conf.set(f"spark.sql.files.{name}", value)
+
+    yield cut
+    for name in names:
+        spark.conf.unset(f"spark.sql.files.{name}")
+
+
+def write_csv(path, table, ending="\n"):
+    with open(path, "w", newline="", encoding="utf-8") as f:
+        out = csv.writer(f, lineterminator=ending)
+        out.writerows([("x", "y"), *table])
+
+
+@pytest.mark.parametrize("ending", ["\n", "\r\n"])
+def test_records_do_not_depend_on_blocks(spark, folder, block_size, ending):
+    first, second = random_rows(1, 300), random_rows(2, 200)
+    write_csv(os.path.join(folder, "1.csv"), first, ending)
+    write_csv(os.path.join(folder, "2.csv"), second, ending)
+    want = [(i, *r) for i, r in enumerate(first + second)]
+    for size in ("1g", "300", "41"):
+        block_size(size)
+        found = read_delimited(spark, folder + "/")
+        got = sorted((r[HIDDEN]["row"], r["x"], r["y"]) for r in found.collect())
+        assert got == want, size
+    assert lines(spark, folder).select("file", "start").distinct().count() > 100
+
+
+def test_quotes_inside_unquoted_cells_are_literal(spark, folder, block_size):
+    path = write(folder, "q.csv", 'a,b\n5" pipe,x\n"q","r""\n,s"\n7"",8\n "z",9\n')
+    want = [('5" pipe', "x"), ("q", 'r"\n,s'), ('7""', "8"), (' "z"', "9")]
+    for size in ("1g", "3"):
+        block_size(size)
+        assert rows(read_delimited(spark, path)) == want
+
+
+def test_old_line_endings_marks_and_blank_lines(spark, folder):
+    assert rows(read_delimited(spark, write(folder, "r.csv", "a,b\r1,2\r\r3,4\r"))) == [("1", "2"), ("3", "4")]
+    text = "\n\ufeffa;b\r\n1;2\r\n \t\r\n3;\"x\r\ny\"\r\n"
+    assert rows(read_delimited(spark, write(folder, "b.csv", text.lstrip()))) == [("1", "2"), ("3", "x\r\ny")]
+    assert rows(read_delimited(spark, write(folder, "t.tsv", "a\tb\n\t\n1\t2\n"))) == [("", ""), ("1", "2")]
+
+
+def test_folders_patterns_and_compressed_files(spark, folder):
+    table = random_rows(3, 50)
+    write_csv(os.path.join(folder, "a1.csv"), table[:20])
+    with gzip.open(os.path.join(folder, "a2.csv.gz"), "wt", newline="", encoding="utf-8") as f:
+        csv.writer(f, lineterminator="\n").writerows([("x", "y"), *table[20:]])
+    for path in (folder + "/", folder + "/a*"):
+        assert rows(read_delimited(spark, path)) == table
+    assert rows(read_delimited(spark, folder + "/a2.csv.gz")) == table[20:]
+    write(folder, "a3.csv", "x,z\n1,2\n")
+    with pytest.raises(PySparkException, match="header differs"):
+        read_delimited(spark, folder + "/").collect()
+
+
+def test_states_of_lines():
+    rng = random.Random(5)
+    for _ in range(200):
+        n = rng.randrange(12)
+        end0, end1 = (np.array([rng.random() < 0.5 for _ in range(n)], bool) for _ in range(2))
+        for begin in (False, True):
+            state, want = begin, []
+            for i in range(n):
+                want.append(state)
+                state = bool(end1[i] if state else end0[i])
+            got, last = states_before(end0, end1, begin)
+            assert (got.tolist() if n else []) == want and last == state
+
+
+def test_preview_counts_all_rows(flawed):
+    head = preview(flawed, 2, total=True).collect()
+    assert [(r["Ticket"], r["total_rows"]) for r in head] == [("1", 11), ("2", 11)]
