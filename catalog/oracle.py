@@ -40,6 +40,13 @@ dirty_customers AS (
          ELSE '+1 (555) ' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') END AS phone,
     c_name AS name FROM dirty_customers_spelt)"""
 
+DIRTY_DOCUMENTS = """
+dirty_documents AS (
+  SELECT doc_id, text, n_chars,
+    CASE WHEN doc_id % 5 = 0 THEN upper(lang) WHEN doc_id % 11 = 0 THEN upper(lang[1]) || lower(lang[2:]) ELSE lang END AS lang,
+    CASE WHEN doc_id % 7 = 0 THEN upper(source) WHEN doc_id % 13 = 0 THEN source || ' ' ELSE source END AS source
+  FROM documents)"""
+
 DIRTY_EVENTS = """
 dirty_events AS (
   SELECT event_id, user_id,
@@ -212,6 +219,22 @@ groups AS (
     array_to_string(list_sort(list(DISTINCT s)), ' / ') AS names
   FROM (SELECT trim(segment, e' \\t') AS s FROM dirty_customers) GROUP BY 1 HAVING count(DISTINCT s) > 1)"""
 
+
+
+def _casing(name: str, source: str, column: str) -> str:
+    return f"""
+SELECT '{name}' AS table_name, '{column}' AS "column", 'medium' AS severity, affected_rows,
+  round(100.0 * affected_rows / total, 2) AS affected_pct, clashing_groups, evidence
+FROM (SELECT sum(n) FILTER (k > 1)::BIGINT AS affected_rows, sum(n) AS present, sum(k) AS spellings,
+    count(*) FILTER (k > 1) AS clashing_groups,
+    array_to_string(list(names ORDER BY low) FILTER (k > 1)[1:3], '; ') AS evidence
+  FROM (SELECT lower(s) AS low, count(DISTINCT s) AS k, count(*) AS n,
+      array_to_string(list_sort(list(DISTINCT s))[1:4], ' / ') AS names
+    FROM (SELECT {_strip(column)} AS s FROM {source} WHERE NOT coalesce({_blank(column)}, true)) GROUP BY 1)),
+  (SELECT count(*) AS total FROM {source})
+WHERE clashing_groups > 0 AND present >= 5 AND spellings <= 0.5 * present"""
+
+
 # Findings of the whole orders view, each by its own rule.
 ORDER_FINDINGS = f"""
 findings AS (
@@ -340,6 +363,52 @@ def queries() -> dict[str, str]:
             'drop_duplicates' AS default_strategy""",
         )
     )
+    entries = "CASE WHEN event_id % 2 = 0 THEN '{type -> ' || event_type || ', user -> ' || u ELSE '{user -> ' || u || ', type -> ' || event_type END || '}'"
+    said = """'{"type":"' || event_type || '","user":' || u || '}'"""
+    q["detect_duplicates_nested"] = f"""
+        WITH e AS (SELECT event_id, event_type, CAST(user_id % 40 AS VARCHAR) AS u, {entries.replace('u ', 'CAST(user_id % 40 AS VARCHAR) ').replace('|| u ||', '|| CAST(user_id % 40 AS VARCHAR) ||')} AS facts FROM events),
+        n AS (SELECT *, row_number() OVER (PARTITION BY u, event_type ORDER BY event_id) AS copy FROM e),
+        shown AS (SELECT event_id, concat('user=', u, ' | inside=', left('{{1, ' || facts || '}}', 20), ' | list=',
+            left('[' || facts || ', ' || CASE WHEN u::INT % 3 = 0 THEN '{{x -> y}}' ELSE 'null' END || ']', 20),
+            ' | said=', left({said}, 20)) AS line FROM n WHERE copy > 1 ORDER BY event_id LIMIT 3)
+        SELECT 'ordered' AS table_name, count(*) AS affected_rows, (SELECT string_agg(line, chr(10) ORDER BY event_id) FROM shown) AS evidence
+        FROM n WHERE copy > 1 UNION ALL SELECT 'unordered', count(*), NULL FROM n WHERE copy > 1"""
+    line = " || ' | ' || ".join(f"'{c}=' || left({c}, 20)" for c in ORDER_COLUMNS)
+    later = "(SELECT *, count(*) OVER (PARTITION BY order_key) AS k FROM dirty_orders_once)"
+    q["duplicates_hashed"] = _orders(
+        f"""SELECT 'orders' AS table_name, sum(k - 1)::BIGINT AS copies, (SELECT string_agg(line, chr(10) ORDER BY {", ".join(ORDER_COLUMNS)})
+          FROM (SELECT *, {line} AS line FROM g WHERE k > 1 ORDER BY {", ".join(ORDER_COLUMNS)} LIMIT 3)) AS evidence FROM g
+        UNION ALL SELECT 'ordered', sum(k - 1)::BIGINT, (SELECT string_agg(line, chr(10) ORDER BY order_key)
+          FROM (SELECT *, {line} AS line FROM g WHERE k > 1 ORDER BY order_key LIMIT 3)) FROM g
+        UNION ALL SELECT 'documents', (SELECT sum(k - 1)::BIGINT FROM (SELECT count(*) AS k FROM documents
+          GROUP BY text, lang, source, n_chars)), NULL""",
+        "g AS (SELECT *, count(*) AS k FROM dirty_orders GROUP BY ALL)",
+    )
+    q["drop_copies_hashed_ordered"] = f"""
+        SELECT min(event_id) AS place, CAST(u AS BIGINT) AS user, {said} AS said
+        FROM (SELECT event_id, event_type, CAST(user_id % 40 AS VARCHAR) AS u FROM events) GROUP BY u, event_type"""
+    q["forward_fill_buckets"] = _events(
+        """SELECT * REPLACE (last_value(CASE WHEN event_type <> '' THEN event_type END IGNORE NULLS)
+        OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS event_type) FROM dirty_events"""
+    )
+    q["delimited_fill_and_copies"] = _orders(
+        """SELECT row, order_key, last_value(CASE WHEN discount <> '' THEN discount END IGNORE NULLS)
+          OVER (ORDER BY row ROWS UNBOUNDED PRECEDING) AS discount
+        FROM (SELECT min(row) AS row, order_key, any_value(discount) AS discount FROM
+          (SELECT *, row_number() OVER (ORDER BY order_key) - 1 AS row FROM dirty_orders) GROUP BY order_key)"""
+    )
+    numbers = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    q["median_narrowed"] = " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count({c}) AS n, quantile_cont({c}::DOUBLE, 0.25) AS q1,
+        quantile_cont({c}::DOUBLE, 0.5) AS median, quantile_cont({c}::DOUBLE, 0.75) AS q3 FROM lineitem"""
+        for c in numbers
+    )
+    middle = "(SELECT {f} FROM (SELECT {c} AS v, row_number() OVER (ORDER BY {c}) - 1 AS i, count(*) OVER () AS n FROM w WHERE {c} IS NOT NULL) WHERE i IN ((n - 1) // 2, n // 2))"
+    q["fix_fill_median_wide"] = f"""
+        WITH w AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber > 1 THEN l_orderkey + 9007199254740993 END AS wide,
+          CASE WHEN l_linenumber <> 2 THEN (l_orderkey::HUGEINT + 12345678901234567890) * 125 END AS eighths FROM lineitem)
+        SELECT l_orderkey, l_linenumber, CAST(coalesce(wide::HUGEINT, {middle.format(f="(sum(v) + count(v) - 1) // count(v)", c="wide")}) AS VARCHAR) AS wide,
+          CAST(CAST(coalesce(eighths, {middle.format(f="(sum(v) + count(v) - 1) // count(v)", c="eighths")}) AS DECIMAL(36,0)) * 0.001 AS VARCHAR) AS exact FROM w"""
     q["detect_mixed_types"] = _orders(
         """SELECT 'revenue' AS "column", 'high' AS severity, n AS affected_rows,
         round(100.0 * n / total, 2) AS affected_pct, round(100.0 * (present - n) / present, 2) AS numeric_pct,
@@ -374,12 +443,15 @@ def queries() -> dict[str, str]:
         round(100.0 * n / total, 2) AS affected_pct, 'trim_whitespace' AS default_strategy
         FROM (SELECT count_if(segment LIKE ' %')::BIGINT AS n, count(*) AS total FROM dirty_customers)"""
     )
-    q["detect_inconsistent_casing"] = _customers(
-        """SELECT 'segment' AS "column", 'medium' AS severity, n AS affected_rows,
-        round(100.0 * n / total, 2) AS affected_pct, k AS clashing_groups,
-        (SELECT string_agg(names, '; ' ORDER BY low) FROM (SELECT * FROM groups ORDER BY low LIMIT 3)) AS evidence
-        FROM (SELECT sum(n)::BIGINT AS n, count(*) AS k FROM groups), (SELECT count(*) AS total FROM customer)""",
-        CASING,
+    q["detect_inconsistent_casing"] = _with(DIRTY_CUSTOMERS, DIRTY_DOCUMENTS, DIRTY_ORDERS) + " UNION ALL ".join(
+        _casing(name, source, column)
+        for name, source, columns in (
+            ("customers", "dirty_customers", CUSTOMER_COLUMNS),
+            ("documents", "dirty_documents", ["text", "lang", "source"]),
+            ("orders", "dirty_orders", ORDER_COLUMNS),
+            ("given_orders", "orders", ["o_orderstatus", "o_orderpriority"]),
+        )
+        for column in columns
     )
     q["detect_invalid_format"] = _customers(
         " UNION ALL ".join(

@@ -12,9 +12,11 @@ from qualframe import model as M
 from qualframe.functions import dates as D
 from qualframe.functions import numbers as N
 from qualframe.functions import values as V
-from qualframe.operators import advise, fixes, frequencies, intake, profile, score
+from qualframe.operators import advise, duplicates, fixes, frequencies, intake, profile, score
 from qualframe.operators.detect import detect_issues, sort_issues, with_row_order
 from qualframe.operators.facts import HIDDEN, column_facts
+from qualframe.operators.forward_fill import forward_fill
+from qualframe.operators.quantiles import exact_quantiles
 from qualframe.plans import history, report
 from qualframe.plans.clean import clean
 from qualframe.sources.delimited import DELIMITERS, preview, read_delimited
@@ -153,6 +155,77 @@ def detect_duplicate_rows(spark, sf_dir):
     return _found(spark, M.DUPLICATES, {"orders": W.dirty_orders(spark, sf_dir), "texts": texts})
 
 
+@query
+def detect_duplicates_nested(spark, sf_dir):
+    """Copies among rows with maps inside structs and arrays and with variants, with row order and without."""
+    df = W.nested_events(spark, sf_dir)
+    ordered = with_row_order(df, ["event_id"]).drop("event_id")
+    parts = []
+    for name, table in (("ordered", ordered), ("unordered", df.drop("event_id"))):
+        issues = M.issues_frame(spark, detect_issues(table, kinds=(M.DUPLICATES,)))
+        shown = F.array_join("evidence", "\n") if name == "ordered" else F.lit(None).cast("string")
+        parts.append(issues.select(F.lit(name).alias("table_name"), "affected_rows", shown.alias("evidence")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def duplicates_hashed(spark, sf_dir):
+    """Copies counted by row hashes first, as in tables too large to shuffle: all columns of whole tables."""
+    tables = {
+        "orders": W.dirty_orders(spark, sf_dir),
+        "ordered": with_row_order(W.dirty_orders(spark, sf_dir), ["order_key"]),
+        "documents": W.table(spark, sf_dir, "documents").drop("doc_id"),
+    }
+    found = {name: duplicates.count_copies(df, shuffle_whole=0) for name, df in tables.items()}
+    rows = [(name, n, "\n".join(shown) if name != "documents" else None) for name, (n, shown) in found.items()]
+    return spark.createDataFrame(rows, "table_name string, copies bigint, evidence string")
+
+
+@query
+def drop_copies_hashed_ordered(spark, sf_dir):
+    """The first row of each group of equal rows, only suspects being shuffled; place is its place in row order."""
+    df = W.nested_events(spark, sf_dir)
+    kept = duplicates.drop_copies(with_row_order(df, ["event_id"]).drop("event_id"), shuffle_whole=0)
+    return kept.select(F.col(f"{HIDDEN}.event_id").alias("place"), "user", F.to_json("said").alias("said"))
+
+
+@query
+def forward_fill_buckets(spark, sf_dir):
+    """Forward fill over many buckets of the row order, whole rows of events."""
+    df = with_row_order(W.dirty_events(spark, sf_dir), ["event_id"])
+    return forward_fill(df, "event_type", rows_per_bucket=997).drop(HIDDEN)
+
+
+@query
+def delimited_fill_and_copies(spark, sf_dir):
+    """Orders as delimited text, read back: the first copies and the fills follow the numbers of its rows."""
+    path = work_folder(spark, "orders-text")
+    write_delimited(with_row_order(W.dirty_orders(spark, sf_dir), ["order_key"]), path)
+    read = read_delimited(spark, path + "/").repartition(13)
+    filled = forward_fill(duplicates.drop_copies(read), "discount", rows_per_bucket=1000)
+    return filled.select(F.col(f"{HIDDEN}.row").alias("row"), "order_key", "discount")
+
+
+@query
+def median_narrowed(spark, sf_dir):
+    """Quartiles of all numbers of lineitem, their brackets narrowed scan by scan."""
+    df = W.table(spark, sf_dir, "lineitem")
+    names = [f.name for f in df.schema.fields if V.kind_of(f.dataType) == V.NUMBER]
+    numbers = {n: N.number_of(F.col(n), df.schema[n].dataType) for n in names}
+    found = exact_quantiles(df, numbers, [0.25, 0.5, 0.75], small=0, read_out=64)
+    rows = [(name, n, *values) for name, (n, values) in found.items()]
+    return spark.createDataFrame(rows, "column string, n bigint, q1 double, median double, q3 double")
+
+
+@query
+def fix_fill_median_wide(spark, sf_dir):
+    """Medians of numbers above 2^53 and of long decimals, in their own type."""
+    df = W.wide_lines(spark, sf_dir)
+    for name in ("wide", "exact"):
+        df = _fixed(df, _issue(M.MISSING, name), "fill_median")
+    return df.withColumns({n: F.col(n).cast("string") for n in ("wide", "exact")})
+
+
 @query
 def detect_mixed_types(spark, sf_dir):
     evidence = F.array_join("evidence", " / ").alias("evidence")
@@ -185,10 +258,20 @@ def detect_whitespace(spark, sf_dir):
 
 @query
 def detect_inconsistent_casing(spark, sf_dir):
+    """All text columns of customers, documents and orders, whole texts among them."""
     evidence = F.array_join("evidence", "; ").alias("evidence")
-    issues = detect_issues(W.dirty_customers(spark, sf_dir), kinds=(M.CASING,))
-    return M.issues_frame(spark, issues).select(
-        "column", "severity", "affected_rows", "affected_pct", "clashing_groups", evidence
+    tables = {
+        "customers": W.dirty_customers(spark, sf_dir),
+        "documents": W.dirty_documents(spark, sf_dir),
+        "orders": W.dirty_orders(spark, sf_dir),
+        "given_orders": W.table(spark, sf_dir, "orders"),
+    }
+    parts = []
+    for name, df in tables.items():
+        issues = M.issues_frame(spark, detect_issues(df, kinds=(M.CASING,)))
+        parts.append(issues.withColumn("table_name", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts).select(
+        "table_name", "column", "severity", "affected_rows", "affected_pct", "clashing_groups", evidence
     )
 
 

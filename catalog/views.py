@@ -90,6 +90,48 @@ def dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def nested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each event, copies among them: maps inside structs and arrays, whose entries change places, and variants."""
+    key, user, kind = F.col("event_id"), F.col("user_id") % 40, F.col("event_type")
+    entries = [F.struct(F.lit("type").alias("k"), kind.alias("v")), F.struct(F.lit("user").alias("k"), user.cast("string").alias("v"))]
+    turned = F.when(key % 2 == 0, F.array(*entries)).otherwise(F.array(*reversed(entries)))
+    facts = F.map_from_entries(turned)
+    text = F.format_string('{"user": %d, "type": "%s"}', user, kind)
+    turned_text = F.format_string('{"type": "%s", "user": %d}', kind, user)
+    return table(spark, sf_dir, "events").select(
+        key.alias("event_id"),
+        user.alias("user"),
+        F.struct(F.lit(1).alias("one"), facts.alias("facts")).alias("inside"),
+        F.array(facts, F.when(user % 3 == 0, F.create_map(F.lit("x"), F.lit("y")))).alias("list"),
+        F.parse_json(F.when(key % 3 == 0, text).otherwise(turned_text)).alias("said"),
+    )
+
+
+def wide_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole and decimal numbers that doubles cannot tell apart, with gaps."""
+    key, line = F.col("l_orderkey"), F.col("l_linenumber")
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.when(line > 1, key + F.lit(9007199254740993)).alias("wide"),
+        F.when(line != 2, (key.cast("decimal(30,0)") + F.lit("12345678901234567890").cast("decimal(30,0)")) / 8)
+        .cast("decimal(36,3)")
+        .alias("exact"),
+    )
+
+
+def dirty_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, with languages and hosts in differing capitals and padded."""
+    key, lang, source = F.col("doc_id"), F.col("lang"), F.col("source")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        "text",
+        F.when(key % 5 == 0, F.upper(lang)).when(key % 11 == 0, F.initcap(lang)).otherwise(lang).alias("lang"),
+        F.when(key % 7 == 0, F.upper(source)).when(key % 13 == 0, F.concat(source, F.lit(" "))).otherwise(source).alias("source"),
+        "n_chars",
+    )
+
+
 def issue_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three issues for each of as many runs as there are orders."""
     key, j = F.col("o_orderkey"), F.col("j")

@@ -1,8 +1,12 @@
 """Whole-row duplicates; large tables are not shuffled row by row for them.
 
-A table of moderate size is grouped by all its columns. In a larger one rows are first counted by a 64-bit hash, so 16 bytes per row cross the network, not the row. Only
-rows whose hash occurs more than once can be copies; those alone are compared in full. Every group
-by is preceded by a map-side count, so copies that make up a third of the table stay cheap.
+A table of moderate size is grouped by all its columns. In a larger one rows are first counted by a 64-bit hash, so
+16 bytes per row cross the network, not the row. Only rows whose hash occurs more than once can be copies; those alone
+are compared in full. Every group by is preceded by a map-side count, so copies that make up a third of the table stay
+cheap.
+
+Rows are equal if their cells are: a map by its entries whatever their order, a variant by its type and JSON, and so on
+down through structs and arrays; null equals null, NaN equals NaN.
 """
 
 from __future__ import annotations
@@ -16,25 +20,55 @@ from qualframe.operators.facts import HIDDEN, data_columns
 
 # Repeated hashes up to this many (16 MB as longs) may be sent to every executor.
 BROADCAST_HASHES = 1_000_000
-# The same for hashes that travel with the order key of a row.
-BROADCAST_ORDERS = 100_000
 # Tables up to this size are cheaper to shuffle once than to scan three times.
 SHUFFLE_WHOLE = 1 << 30
 
 
+def is_plain(dtype: T.DataType) -> bool:
+    """Whether Spark compares values of this type as they are."""
+    if isinstance(dtype, (T.MapType, T.VariantType, T.CalendarIntervalType)):
+        return False
+    if isinstance(dtype, T.ArrayType):
+        return is_plain(dtype.elementType)
+    if isinstance(dtype, T.StructType):
+        return all(is_plain(f.dataType) for f in dtype.fields)
+    return True
+
+
 def comparable(c: Column, dtype: T.DataType) -> Column:
-    """Maps cannot be compared, their sorted entries can."""
-    return F.array_sort(F.map_entries(c)) if isinstance(dtype, T.MapType) else c
+    """The value in a form that can be hashed, grouped and sorted; equal values have equal forms."""
+    if is_plain(dtype):
+        return c
+    if isinstance(dtype, T.VariantType):
+        return F.when(c.isNotNull(), F.concat(F.schema_of_variant(c), F.lit(" "), F.coalesce(F.to_json(c), F.lit("null"))))
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(c, lambda x: comparable(x, dtype.elementType))
+    if isinstance(dtype, T.StructType):
+        parts = [comparable(c.getField(f.name), f.dataType).alias(f"f{i}") for i, f in enumerate(dtype.fields)]
+        return F.when(c.isNotNull(), F.struct(*parts))
+    if isinstance(dtype, T.MapType):
+
+        def entry(e: Column) -> Column:
+            return F.struct(comparable(e["key"], dtype.keyType).alias("k"), comparable(e["value"], dtype.valueType).alias("v"))
+
+        return F.array_sort(F.transform(F.map_entries(c), entry))
+    return c.cast("string")
+
+
+def _keys(df: DataFrame) -> list[Column]:
+    return [comparable(V.quoted(f.name), f.dataType).alias(f"k{i}") for i, f in enumerate(data_columns(df))]
 
 
 def _row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[comparable(V.quoted(f.name), f.dataType) for f in data_columns(df)])
 
 
-def _moderate(df: DataFrame) -> bool:
-    """Whether the optimizer's size estimate allows shuffling the whole table."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= SHUFFLE_WHOLE
+def _is_moderate(df: DataFrame, most_bytes: int | None) -> bool:
+    """Whether the optimizer's size estimate, where there is one, allows shuffling the whole table."""
+    most_bytes = SHUFFLE_WHOLE if most_bytes is None else most_bytes
+    if not hasattr(df, "_jdf"):  # Spark Connect keeps its plans to itself
+        return False
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most_bytes
 
 
 def repeated_hashes(df: DataFrame) -> DataFrame:
@@ -52,84 +86,111 @@ def suspects(df: DataFrame, hashes: DataFrame, how_many: int, kind: str = "left_
     """Rows that may have a copy (or with ``left_anti`` those that cannot)."""
     if how_many <= BROADCAST_HASHES:
         hashes = F.broadcast(hashes)
-    return df.withColumn("row_hash", _row_hash(df)).join(hashes, "row_hash", kind).drop("row_hash")
+    return df.withColumn("__hash", _row_hash(df)).join(hashes, F.col("__hash") == F.col("row_hash"), kind).drop("__hash")
 
 
 def copy_groups(rows: DataFrame) -> DataFrame:
-    """The distinct repeated rows, with their number in ``__copies``."""
-    keys = [comparable(V.quoted(f.name), f.dataType).alias(f.name) for f in data_columns(rows)]
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__copies")).where("__copies > 1")
+    """One row for each group of equal rows: the group's cells k0, k1, .. and their number in ``copies``."""
+    return rows.groupBy(*_keys(rows)).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
-def count_copies(df: DataFrame, examples: int = 3) -> tuple[int, list[str]]:
+def count_copies(df: DataFrame, examples: int = 3, shuffle_whole: int | None = None) -> tuple[int, list[str]]:
     """How many rows repeat an earlier row, and the first few of them spelt out.
 
-    Without a known row order the examples are the lowest repeated rows.
+    Without a known row order the examples are the lowest repeated rows. ``shuffle_whole``: the bytes up to which the
+    table is grouped in one go, SHUFFLE_WHOLE unless given.
     """
-    if _moderate(df):
-        return _count_copies(df, df, examples, broadcast=True)
-    # Read by up to three jobs; a lost part is computed again.
-    hashes = repeated_hashes(df).persist()
-    try:
+    rows = df
+    if not _is_moderate(df, shuffle_whole):
+        hashes = repeated_hashes(df)
         how_many = hashes.count()
         if not how_many:
             return 0, []
         rows = suspects(df, hashes, how_many) if how_many <= BROADCAST_HASHES else df
-        return _count_copies(df, rows, examples, how_many <= BROADCAST_ORDERS)
-    finally:
-        hashes.unpersist()
-
-
-def _count_copies(df: DataFrame, rows: DataFrame, examples: int, broadcast: bool) -> tuple[int, list[str]]:
     groups = copy_groups(rows)
-    found = groups.agg(F.sum(F.col("__copies") - 1), F.count(F.lit(1))).first()
-    if not found[0]:
+    found = groups.agg(F.sum(F.col("copies") - 1)).first()[0]
+    if not found:
         return 0, []
-    names = [f.name for f in data_columns(df)]
-    shown = [F.left(V.as_text(V.quoted(n)), F.lit(20)).alias(n) for n in names]
     if HIDDEN in df.columns:
-        hashed = rows.withColumn("row_hash", _row_hash(df))
-        firsts = hashed.groupBy("row_hash").agg(
-            F.min(HIDDEN).alias("__first"), F.count(F.lit(1)).alias("__copies")
-        )
-        firsts = firsts.where("__copies > 1").drop("__copies")
-        if broadcast and found[1] <= BROADCAST_ORDERS:
-            firsts = F.broadcast(firsts)
-        later = hashed.join(firsts, "row_hash").where(F.col(HIDDEN) > F.col("__first"))
-        few = later.orderBy(HIDDEN).limit(examples).select(*shown).collect()
+        few = _first_later(rows, examples)
+        few += _tied(rows, examples - len(few))
     else:
-        few = groups.orderBy(*[V.quoted(n) for n in names]).limit(examples).select(*shown).collect()
-    return found[0], [" | ".join(f"{n}={v}" for n, v in zip(names, row)) for row in few]
+        few = _lowest(rows, examples)
+    names = [f.name for f in data_columns(df)]
+    return found, [" | ".join(f"{n}={v}" for n, v in zip(names, row)) for row in few]
+
+
+def _shown(df: DataFrame) -> list[Column]:
+    return [F.left(V.as_text(V.quoted(f.name)), F.lit(20)).alias(f"s{i}") for i, f in enumerate(data_columns(df))]
+
 
+def _lowest(rows: DataFrame, examples: int) -> list[tuple]:
+    """The lowest repeated rows, each once."""
+    cells = rows.select(*_keys(rows), F.struct(*_shown(rows)).alias("shown"))
+    keys = [c for c in cells.columns if c != "shown"]
+    groups = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"), F.min("shown").alias("shown")).where("copies > 1")
+    return [tuple(r["shown"]) for r in groups.orderBy(*keys).limit(examples).select("shown").collect()]
 
-def drop_copies(df: DataFrame) -> DataFrame:
+
+def _first_later(rows: DataFrame, examples: int) -> list[tuple]:
+    """The first rows in row order that repeat an earlier one.
+
+    Rows behind the first of their hash are candidates; the few that come first are compared in full, and more are
+    fetched only where a hash turned out to belong to different rows.
+    """
+    hashed = rows.select(*_keys(rows), _row_hash(rows).alias("row_hash"), F.struct(*_shown(rows)).alias("shown"), HIDDEN)
+    keys = [c for c in hashed.columns if c not in ("row_hash", "shown", HIDDEN)]
+    firsts = hashed.groupBy("row_hash").agg(F.min(HIDDEN).alias("__first"), F.count(F.lit(1)).alias("copies"))
+    later = hashed.join(firsts.where("copies > 1").drop("copies"), "row_hash").where(F.col(HIDDEN) > F.col("__first"))
+    fetched = examples
+    while True:
+        some = later.orderBy(HIDDEN).limit(fetched).select("row_hash", F.col(HIDDEN).alias("__at"), "shown").collect()
+        if not some:
+            return []
+        groups = hashed.where(F.col("row_hash").isin(*{r["row_hash"] for r in some})).groupBy(*keys)
+        starts = {}
+        for r in groups.agg(F.min(HIDDEN).alias("start"), F.min("row_hash").alias("row_hash")).collect():  # one row a hash, but for collisions
+            starts.setdefault(r["row_hash"], set()).add(r["start"])
+        repeated = [r["shown"] for r in some if r["__at"] not in starts[r["row_hash"]]]
+        if len(repeated) >= examples or len(some) < fetched:
+            return [tuple(r) for r in repeated[:examples]]
+        fetched *= 4
+
+
+def _tied(rows: DataFrame, examples: int) -> list[tuple]:
+    """Copies that share the place of the first one in the row order."""
+    if examples < 1:
+        return []
+    cells = rows.select(*_keys(rows), F.struct(*_shown(rows)).alias("shown"), HIDDEN)
+    keys = [c for c in cells.columns if c not in ("shown", HIDDEN)]
+    places = cells.groupBy(*keys, HIDDEN).agg(F.count(F.lit(1)).alias("n"), F.min("shown").alias("shown"))
+    firsts = places.groupBy(*keys).agg(F.min_by(F.struct(HIDDEN, "n", "shown"), HIDDEN).alias("first")).select("first.*")
+    few = firsts.where("n > 1").orderBy(HIDDEN).limit(examples).select("shown", "n").collect()
+    return [tuple(r["shown"]) for r in few for _ in range(min(r["n"] - 1, examples))][:examples]
+
+
+def drop_copies(df: DataFrame, shuffle_whole: int | None = None) -> DataFrame:
     """Keep one row of each group of equal rows: the first in row order where that is known.
 
-    In a large table rows without a copy skip the shuffle, as long as the repeated hashes fit a
-    broadcast.
+    In a large table rows without a copy skip the shuffle, as long as the repeated hashes fit a broadcast.
     """
-    if _moderate(df):
+    if _is_moderate(df, shuffle_whole):
         return _first_of_each(df)
-    # Stays stored for the plan returned: at most BROADCAST_HASHES longs where it is used.
-    hashes = repeated_hashes(df).persist()
+    hashes = repeated_hashes(df)
     how_many = hashes.count()
     if how_many and how_many <= BROADCAST_HASHES:
         return suspects(df, hashes, how_many, "left_anti").unionByName(
             _first_of_each(suspects(df, hashes, how_many))
         )
-    hashes.unpersist()
     return _first_of_each(df) if how_many else df
 
 
 def _first_of_each(df: DataFrame) -> DataFrame:
-    maps = [f.name for f in data_columns(df) if isinstance(f.dataType, T.MapType)]
-    for name in maps:
-        df = df.withColumn(name, comparable(V.quoted(name), df.schema[name].dataType))
-    if HIDDEN in df.columns:
+    if all(is_plain(f.dataType) for f in data_columns(df)):
+        if HIDDEN not in df.columns:
+            return df.dropDuplicates()
         names = [V.quoted(f.name) for f in data_columns(df)]
-        out = df.groupBy(*names).agg(F.min(HIDDEN).alias(HIDDEN)).select(*[V.quoted(c) for c in df.columns])
-    else:
-        out = df.dropDuplicates()
-    for name in maps:
-        out = out.withColumn(name, F.map_from_entries(V.quoted(name)))
-    return out
+        return df.groupBy(*names).agg(F.min(HIDDEN).alias(HIDDEN)).select(*[V.quoted(c) for c in df.columns])
+    whole = F.struct(*[V.quoted(c) for c in df.columns])
+    one = F.min_by(whole, HIDDEN) if HIDDEN in df.columns else F.first(whole)
+    return df.groupBy(*_keys(df)).agg(one.alias("row")).select("row.*")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from qualframe.functions import values as V
 from qualframe.operators.facts import data_columns, text_cells
 
+# Doubtful hashes up to this many (16 MB with the number of their column) may be sent to every executor.
+BROADCAST_HASHES = 1_000_000
 # Texts longer than this travel as a digest of the same length.
 DIGEST_LENGTH = 64
 
@@ -58,54 +60,70 @@ def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:
     )
 
 
-def case_clashes(df: DataFrame, names: list[str], examples: int = 3) -> DataFrame:
-    """(column, spellings, groups, affected, lows) for text columns.
+def spelling_hashes(df: DataFrame, names: list[str]) -> DataFrame:
+    """(col, low, n, first, last): for each number of a column and 64-bit hash of a value in small letters its rows,
+    and the least and greatest hash of the spellings. No text is exchanged."""
+    numbered = df.select(*[V.quoted(n).cast("string").alias(str(i)) for i, n in enumerate(names)])
+    cells = stripped_cells(numbered, [str(i) for i in range(len(names))])
+    present = lambda c: F.when(~F.col("blank"), F.xxhash64(c))
+    spelt = cells.select(
+        F.col("column").cast("int").alias("col"), present(F.lower("s")).alias("low"), present(F.col("s")).alias("spelt"), "s"
+    )
+    return (
+        spelt.groupBy("col", "low")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("spelt").alias("first"), F.max("spelt").alias("last"))
+        .where("low IS NOT NULL")
+    )
 
-    A group is a set of stripped values that differ in capitals only; it clashes when it has more
-    than one spelling. ``affected`` counts every row of the clashing groups, ``lows`` names the first
-    few of them. Both parts below read the same groups, which are shuffled once.
+
+def case_clashes(
+    df: DataFrame, names: list[str], present: dict[str, int], ratio: float, examples: int = 3, spellings: int = 4
+) -> dict[str, dict]:
+    """{column: groups, affected, examples} of the text columns in which spellings differ in capitals only.
+
+    A group is a set of stripped values that are one in small letters; it clashes with more than one spelling.
+    ``affected`` counts every row of the clashing groups. Columns with more spellings than ``ratio`` of their present
+    values are left out. Values are counted by hash first; only hashes with two spellings and more are fetched as text
+    and compared, so that different values of one hash do not count as a clash.
     """
-    spellings = (
-        stripped_cells(df, names)
-        .groupBy("column", compact(F.lower("s")).alias("low"), compact(F.col("s")).alias("key"))
-        .agg(F.count(F.lit(1)).alias("n"), F.bool_or("blank").alias("blank"))
-        .where("not blank")
+    totals = spelling_hashes(df, names).groupBy("col").agg(
+        F.count(F.lit(1)).alias("lows"), F.count_if(F.col("first") != F.col("last")).alias("doubtful")
     )
-    groups = spellings.groupBy("column", "low").agg(
-        F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("n")
+    told = {names[r["col"]]: r for r in totals.collect()}
+    asked = [n for n, r in told.items() if r["doubtful"] and r["lows"] <= ratio * present[n]]
+    if not asked:
+        return {}
+    doubtful = spelling_hashes(df, asked).where(F.col("first") != F.col("last")).select("col", "low")
+    if sum(told[n]["doubtful"] for n in asked) <= BROADCAST_HASHES:
+        doubtful = F.broadcast(doubtful)
+    numbered = df.select(*[V.quoted(n).cast("string").alias(str(i)) for i, n in enumerate(asked)])
+    cells = stripped_cells(numbered, [str(i) for i in range(len(asked))])
+    cells = cells.select(F.col("column").cast("int").alias("col"), F.when(~F.col("blank"), F.xxhash64(F.lower("s"))).alias("low"), "s")
+    spelt = (
+        cells.join(doubtful, ["col", "low"], "left_semi")
+        .groupBy("col", F.lower("s").alias("value"), "s")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
+    groups = spelt.groupBy("col", "value").agg(F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("n"))
     clash = F.col("spellings") > 1
-    counts = groups.groupBy("column").agg(
+    counts = groups.groupBy("col").agg(
         F.sum("spellings").alias("spellings"),
         F.count_if(clash).alias("groups"),
-        F.coalesce(F.sum(F.when(clash, F.col("n"))), F.lit(0)).alias("affected"),
-    )
-    nth = F.row_number().over(Window.partitionBy("column").orderBy("low"))
-    first = groups.where(clash & (F.col("n") > 0)).withColumn("nth", nth).where(F.col("nth") <= examples)
-    lows = first.groupBy("column").agg(F.array_sort(F.collect_list("low")).alias("lows"))
-    # One row per column on either side.
-    return counts.join(F.broadcast(lows), "column", "left")
-
-
-def clash_examples(df: DataFrame, lows: dict[str, list[str]], spellings: int = 4) -> DataFrame:
-    """(column, low, example): the first spellings of the few named groups of each column."""
-    low = compact(F.lower("s"))
-    wanted = reduce(
-        Column.__or__, [(F.col("column") == name) & low.isin(*some) for name, some in lows.items()]
-    )
-    counted = (
-        stripped_cells(df, list(lows))
-        .where(wanted)
-        .groupBy("column", low.alias("low"), F.col("s").alias("spelling"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    nth = F.row_number().over(Window.partitionBy("column", "low").orderBy("spelling"))
-    few = counted.withColumn("nth", nth).where(F.col("nth") <= spellings)
-    return (
-        few.groupBy("column", "low")
-        .agg(F.array_join(F.array_sort(F.collect_list("spelling")), " / ").alias("example"))
-        .orderBy("column", "low")
+        F.sum(F.when(clash, F.col("n"))).alias("affected"),
     )
+    nth = F.row_number().over(Window.partitionBy("col").orderBy("value"))
+    shown = groups.where(clash).withColumn("nth", nth).where(F.col("nth") <= examples).select("col", "value")
+    nth = F.row_number().over(Window.partitionBy("col", "value").orderBy("s"))
+    few = spelt.join(F.broadcast(shown), ["col", "value"]).withColumn("nth", nth).where(F.col("nth") <= spellings)
+    few = few.groupBy("col", "value").agg(F.array_join(F.array_sort(F.collect_list("s")), " / ").alias("example"))
+    few = few.groupBy("col").agg(F.array_sort(F.collect_list(F.struct("value", "example"))).alias("examples"))
+    out = {}
+    for r in counts.join(F.broadcast(few), "col", "left").collect():
+        name = asked[r["col"]]
+        everything = told[name]["lows"] - told[name]["doubtful"] + r["spellings"]
+        if r["groups"] and everything <= ratio * present[name]:
+            out[name] = {"groups": r["groups"], "affected": r["affected"], "examples": [e["example"] for e in r["examples"]]}
+    return out
 
 
 def date_shapes(df: DataFrame, names: list[str]) -> DataFrame:

@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from decimal import ROUND_FLOOR, Decimal, localcontext
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Up to this many values the built-in aggregate holds them all in one buffer.
 SMALL_COLUMN = 500_000
@@ -94,7 +96,37 @@ def exact_quantiles(
     return out
 
 
-def _narrow(cells: DataFrame, ids: dict[str, str], searches: list[_Search], read_out: int) -> None:
+def exact_medians(df: DataFrame, columns: dict[str, Column], read_out: int = READ_OUT) -> dict[str, Decimal]:
+    """{name: median} of columns of whole or decimal numbers, ranked and halved in their own digits.
+
+    Nothing goes through a double, so neighbours above 2^53 stay apart; columns without values are left out.
+    """
+    if not columns:
+        return {}
+    ids = {name: f"x{i}" for i, name in enumerate(columns)}
+    whole = {f.name for f in df.select(*columns.values()).schema.fields if isinstance(f.dataType, T.IntegralType)}
+    wide = [c.cast("decimal(20,0)") if n in whole else c for n, c in columns.items()]
+    cells = df.select(*[c.alias(x) for c, x in zip(wide, ids.values())])
+    ends = cells.agg(
+        *[f(x).alias(f"{n}_{x}") for x in ids.values() for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
+    ).first()
+    searches: dict[tuple[str, int], _Search] = {}
+    for name, x in ids.items():
+        n, low, high = ends[f"n_{x}"], ends[f"lo_{x}"], ends[f"hi_{x}"]
+        for rank in {(n - 1) // 2, n // 2} if n else ():
+            searches[name, rank] = _Search(name, rank, low, high, low, high)
+    out: dict[str, Decimal] = {}
+    with localcontext(prec=60):
+        _narrow(cells, ids, list(searches.values()), read_out, exact=True)
+        for name in columns:
+            found = [Decimal(s.value) for (owner, _), s in searches.items() if owner == name]
+            if found:
+                out[name] = sum(found) / len(found)
+    return out
+
+
+def _narrow(cells: DataFrame, ids: dict[str, str], searches: list[_Search], read_out: int, exact: bool = False) -> None:
+    """Settle all searches. exact: the sketch, which counts in doubles, sees distances from the bracket's low end."""
     grid = F.array(*[F.lit(i / SKETCH_POINTS) for i in range(SKETCH_POINTS + 1)])
     open_ones = searches
     while open_ones:
@@ -107,14 +139,17 @@ def _narrow(cells: DataFrame, ids: dict[str, str], searches: list[_Search], read
                 F.count_if(x <= low).alias(f"to_low_{i}"),
                 F.count_if(x < high).alias(f"under_high_{i}"),
                 F.count_if(x <= high).alias(f"to_high_{i}"),
-                F.percentile_approx(F.when((x > low) & (x < high), x), grid, SKETCH_ACCURACY).alias(
-                    f"grid_{i}"
-                ),
+                F.percentile_approx(
+                    F.when((x > low) & (x < high), x - F.lit(low) if exact else x), grid, SKETCH_ACCURACY
+                ).alias(f"grid_{i}"),
             ]
         row = cells.agg(*aggregates).first()
         for s in open_ones:
             i = brackets.index((s.name, s.low, s.high))
-            _settle(s, *[row[f"{k}_{i}"] for k in ("below", "to_low", "under_high", "to_high", "grid")])
+            points = row[f"grid_{i}"]
+            if exact and points:
+                points = [s.low + p for p in points]
+            _settle(s, *[row[f"{k}_{i}"] for k in ("below", "to_low", "under_high", "to_high")], points)
         open_ones = [s for s in open_ones if s.value is None]
         short = [s for s in open_ones if s.inside is not None and s.inside <= read_out]
         if short:
@@ -142,6 +177,21 @@ def _settle(s: _Search, below: int, to_low: int, under_high: int, to_high: int,
         margin = 1 + SKETCH_POINTS * 2 / SKETCH_ACCURACY
         s.low = grid[max(0, math.floor(place - margin))]
         s.high = grid[min(SKETCH_POINTS, math.ceil(place + margin))]
+        # a sketch of exact numbers may round out of the bracket, which would not narrow it
+        low_in, high_in = s.floor < s.low < s.ceiling, s.floor < s.high < s.ceiling
+        if not low_in and not high_in:
+            s.low = s.high = _middle(s.floor, s.ceiling)
+        elif not (low_in and high_in):
+            s.low = s.high = s.low if low_in else s.high
+
+
+def _middle(floor: Decimal | float, ceiling: Decimal | float) -> Decimal | float:
+    """A number between two that have others between them, with no more digits than these."""
+    middle = (floor + ceiling) / 2
+    if isinstance(middle, Decimal):
+        unit = Decimal(1).scaleb(min(floor.as_tuple().exponent, ceiling.as_tuple().exponent))
+        middle = middle.quantize(unit, ROUND_FLOOR)
+    return middle
 
 
 def _read_out(cells: DataFrame, ids: dict[str, str], searches: list[_Search]) -> None:

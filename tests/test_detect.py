@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +7,7 @@ from qualframe import model as M
 from qualframe.model import Thresholds, issues_frame
 from qualframe.operators import detect as D
 from qualframe.operators.detect import detect_issues
+from qualframe.operators.frequencies import case_clashes, spelling_hashes
 from qualframe.operators.profile import profile_columns, profile_table, sample_values
 from qualframe.operators.score import grade, score_issues
 
@@ -163,3 +166,31 @@ def test_samples_do_not_depend_on_partitions(spark):
     lowest = sorted(str(9999 - i) for i in range(5000))[:5]
     for n in (1, 7):
         assert sample_values(df.repartition(n)).first()["sample_values"] == lowest
+
+
+def casing_by_hand(cells, ratio):
+    spelt = [c.strip() for c in cells if c is not None and c.strip() not in ("", "N/A")]
+    groups = {}
+    for c in spelt:
+        groups.setdefault(c.lower(), []).append(c)
+    clash = {low: found for low, found in groups.items() if len(set(found)) > 1}
+    if not clash or len(set(spelt)) > ratio * len(spelt):
+        return None
+    shown = [" / ".join(sorted(set(clash[low]))[:4]) for low in sorted(clash)[:3]]
+    return len(clash), sum(map(len, clash.values())), shown
+
+
+def test_case_clashes_by_hand(table):
+    rng = random.Random(6)
+    words = ["rome", "Rome", " ROME", "rOme", "romE", "bari", "Bari ", "é" * 90 + "x", "É" * 90 + "X", "pisa", "", "N/A", None, "Straße", "STRASSE"]
+    columns = {f"c{k}": [rng.choice(words[k:]) for _ in range(300)] for k in range(0, 12, 3)}
+    columns["unique"] = [f"Value {i // 2}".upper() if i % 2 else f"value {i // 2}" for i in range(300)]
+    present = {n: sum(c is not None and c.strip() not in ("", "N/A") for c in cells) for n, cells in columns.items()}
+    for ratio in (0.5, 1.0):
+        got = case_clashes(table(columns).repartition(4), list(columns), present, ratio)
+        want = {n: casing_by_hand(cells, ratio) for n, cells in columns.items()}
+        assert {n: (r["groups"], r["affected"], r["examples"]) for n, r in got.items()} == {n: w for n, w in want.items() if w}
+
+
+def test_spellings_are_counted_by_hashes(table):
+    assert {f.dataType.simpleString() for f in spelling_hashes(table({"a": ["x"]}), ["a"]).schema} == {"int", "bigint"}

@@ -1,3 +1,6 @@
+import random
+from decimal import Decimal
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +12,7 @@ from qualframe.operators.detect import detect_issues
 from qualframe.operators.facts import HIDDEN
 from qualframe.operators.fixes import FixRejected, apply_all, apply_fix
 from qualframe.operators.forward_fill import forward_fill
+from qualframe.operators.quantiles import exact_medians
 from qualframe.operators.score import score_issues
 
 
@@ -77,6 +81,58 @@ def test_duplicates_with_maps(spark):
     assert DUP.drop_copies(df).count() == 2
 
 
+@pytest.mark.parametrize("whole", [1 << 30, 0])
+def test_copies_of_nested_rows(spark, whole):
+    """Maps inside structs and arrays and variants, in any order of their entries; null and empty differ."""
+    texts = ['{"a": 1, "b": [1, null]}', '{"b": [1, null], "a": 1}', '{"a": "1"}', "1", '"1"', None]
+    rows = [(k, {"x": 1, "y": None}, [{"p": "q"}, None]) for k in range(6)] + [(k, {"y": None, "x": 1}, [{"p": "q"}, None]) for k in range(6)]
+    df = spark.createDataFrame(rows, "k int, m map<string,int>, l array<map<string,string>>")
+    said = F.element_at(F.array(*[F.lit(t) for t in texts]), F.col("k") + 1)
+    df = df.select(F.struct(F.col("m").alias("inside"), F.lit(1).alias("one")).alias("s"), "l", F.parse_json(said).alias("v"), F.col("k").alias("at"))
+    # the two spellings of one object are equal: k 0 and 1
+    assert DUP.count_copies(df.drop("at"), shuffle_whole=whole)[0] == 12 - 5
+    kept = DUP.drop_copies(df.drop("at"), shuffle_whole=whole)
+    assert kept.count() == 5 and dict(kept.dtypes)["v"] == "variant"
+    ordered = df.withColumn(HIDDEN, F.struct("at")).drop("at")
+    count, examples = DUP.count_copies(ordered, shuffle_whole=whole)
+    assert count == 7 and len(examples) == 3 and all(x.startswith("s={") for x in examples)
+    firsts = DUP.drop_copies(ordered, shuffle_whole=whole)
+    assert sorted(r[0] for r in firsts.select(f"{HIDDEN}.at").collect()) == [0, 2, 3, 4, 5]
+    empties = spark.createDataFrame([(None, None), ({}, []), (None, None)], "m map<string,int>, l array<map<string,int>>")
+    assert DUP.count_copies(empties, shuffle_whole=whole)[0] == 1
+
+
+def test_ordered_examples_are_compared_in_full(spark, monkeypatch):
+    """With one hash for several rows only true copies are shown, in row order; ties with the first copy come last."""
+    monkeypatch.setattr(DUP, "_row_hash", lambda df: F.xxhash64(F.length("v")))
+    cells = ["a", "b", "c", "d", "a", "e", "b", "ff", "g", "ff", "c"]
+    df = spark.createDataFrame(list(enumerate(cells)), "i int, v string").select(F.struct("i").alias(HIDDEN), "v")
+    for whole in (1 << 30, 0):
+        assert DUP.count_copies(df, shuffle_whole=whole) == (4, ["v=a", "v=b", "v=ff"])
+        assert DUP.count_copies(df, 1, shuffle_whole=whole) == (4, ["v=a"])
+    tied = df.withColumn(HIDDEN, F.struct((F.col(f"{HIDDEN}.i") * 0).alias("i")))
+    count, shown = DUP.count_copies(tied)
+    assert count == 4 and len(set(shown)) == 3 and set(shown) <= {"v=a", "v=b", "v=c", "v=ff"}
+
+
+def test_medians_keep_their_digits(spark):
+    big = [9007199254740993, 9007199254740995, 9007199254740995, None, -(2**62), 2**62]
+    df = spark.createDataFrame([(b, None if b is None else Decimal(b) / 1000) for b in big], "b bigint, d decimal(38,3)")
+    found = exact_medians(df, {"b": F.col("b"), "d": F.col("d")}, read_out=0)
+    assert found == {"b": 9007199254740995, "d": Decimal("9007199254740.995")}
+    out, record = fix(df, made(M.MISSING, "b", numeric=True), "fill_median")
+    assert sorted(r.b for r in out.collect())[2:5] == [9007199254740995] * 3 and "9007199254740995 (median)" in record.detail
+    rng = random.Random(1)
+    values = [rng.choice([rng.randrange(-(2**63), 2**63), 2**53 + rng.randrange(9), 7]) for _ in range(999)]
+    df = spark.createDataFrame([(v,) for v in values], "b bigint")
+    for n in (999, 998, 1, 2):
+        some = sorted(values[:n])
+        want = Decimal(some[(n - 1) // 2] + some[n // 2]) / 2
+        df = spark.createDataFrame([(v,) for v in values[:n]], "b bigint")
+        assert exact_medians(df, {"b": F.col("b")}, read_out=5)["b"] == want
+    assert exact_medians(df.limit(0), {"b": F.col("b")}) == {}
+
+
 def test_dates(flawed, table):
     out, record = fix(flawed, issue_of(flawed, M.DATES), "normalize_dates")
     assert cells(out, "Opened")[1] == "2026-03-02" and "month/day/year" in record.detail
