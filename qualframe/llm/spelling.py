@@ -39,6 +39,7 @@ LEAST_COUNT = 5
 RATIO = 5
 SHARED = 3  # letters that near words share at one of their ends; at most (LEAST_LETTERS - 1) // 2 rounded up
 TILE = 4096
+PAIRS_PER_TASK = 8
 PIECE = 1_000_000
 HELD = 150_000  # words counted in a task before they are handed on
 SHOWN = 16  # letters of a tile's common prefix that the plan of tile pairs looks at
@@ -239,7 +240,9 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
     placed = numbered(lists, ["side", "key"], "lists").withColumn("tile", F.expr(f"at div {TILE}")).drop("at")
     pairs = store(tile_pairs(placed), "tile-pairs")
     uses = pairs.select("side", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("tile"))
-    dealt = placed.join(small(uses), ["side", "tile"])
+    # little to read and much to compute: as many tasks as tile pairs allow, not as few as bytes suggest
+    tasks = max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.count() // PAIRS_PER_TASK)
+    dealt = placed.join(small(uses), ["side", "tile"]).repartition(tasks, "side", "a", "b")
     return dealt.groupBy("side", "a", "b").applyInArrow(_finder("r"), "word string, near string, near_n long")
 
 
