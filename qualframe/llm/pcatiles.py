@@ -37,6 +37,7 @@ THRESHOLD = 0.9
 BLOCK_BYTES = 4_000_000  # of doubles, in one block
 MOST_ROWS = 8192  # of a block
 TILE = 1024
+PAIRS_PER_TASK = 4
 AXES = 4  # leading components that sort and box the blocks
 ENERGY = (0.35, 0.65)  # a stage ends where the leading axes hold this part of all squares
 MARGIN = 1e-9
@@ -242,7 +243,10 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     ends = [f(f"z{i}").alias(f"{n}{i}") for n, f in (("low", F.min), ("high", F.max)) for i in range(AXES)]
     pairs = store(block_pairs(store(placed.groupBy("dim", "block").agg(*ends), "blocks"), threshold), "pairs")
     sides = pairs.select("dim", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    # little to read and much to compute: as many tasks as block pairs allow, not as few as bytes suggest
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.count() // PAIRS_PER_TASK)
     dealt = placed.select("dim", "block", "c", "vec_id", "weight", "vector").join(small(sides), ["dim", "block"])
+    dealt = dealt.repartition(tasks, "dim", "a", "b")
     id_type = df.schema[vec_id].dataType.simpleString()
     told = dealt.groupBy("dim", "a", "b").applyInArrow(
         _comparer(axes, threshold), f"c long, vec_id {id_type}, links long, root_c long, root_id {id_type}"
