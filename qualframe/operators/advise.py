@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qualframe import model as M
+from qualframe import registry
 from qualframe.operators.score import weight
 
 # Fixed values of the built-in advice.
@@ -54,6 +55,8 @@ def rule_strategy() -> Column:
     )
     for kind, strategy in PLAIN_ADVICE.items():
         out = out.when(F.col("issue_type") == kind, strategy)
+    for kind, detector in registry.DETECTORS.items():
+        out = out.when(F.col("issue_type") == kind, detector.advice)
     return out.otherwise("none")
 
 
@@ -82,6 +85,8 @@ def _rule_reason() -> Column:
     )
     for kind, reason in REASONS.items():
         out = out.when(F.col("issue_type") == kind, reason)
+    for kind, detector in registry.DETECTORS.items():
+        out = out.when(F.col("issue_type") == kind, detector.reason)
     return out.otherwise("No rule covers this type of issue.")
 
 

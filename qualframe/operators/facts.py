@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from qualframe import registry
 from qualframe.functions import values as V
 from qualframe.functions.numbers import number_of, plain_spelling
 from qualframe.model import EMAIL
@@ -34,9 +35,8 @@ FACT_FIELDS = (
     ("strict_numbers", "bigint"),
     ("bytes", "bigint"),
     ("one_value", "boolean"),
-    ("min_number", "double"),
-    ("max_number", "double"),
-    ("mean_number", "double"),
+    # of registered detectors: "kind name" -> value
+    ("extra", "map<string,double>"),
 )
 
 # Name of the column that carries row order and belongs to no table.
@@ -61,6 +61,12 @@ def _shaped(known: dict[str, Column]) -> list[Column]:
     return [known.get(name, F.lit(None)).cast(dtype).alias(name) for name, dtype in FACT_FIELDS]
 
 
+def _extra(values: dict[tuple[str, str], Column]) -> Column:
+    """The aggregates of registered detectors as one map; null without any."""
+    entries = [x for (kind, name), c in values.items() for x in (F.lit(f"{kind} {name}"), c.cast("double"))]
+    return F.create_map(*entries) if entries else F.lit(None)
+
+
 def _text_facts(df: DataFrame, names: list[str]) -> DataFrame:
     value, s, blank = F.col("value"), F.col("s"), F.col("blank")
     cells = V.with_stripped(text_cells(df, names)).withColumn(
@@ -76,7 +82,18 @@ def _text_facts(df: DataFrame, names: list[str]) -> DataFrame:
     if phones:
         invalid = invalid | (F.col("column").isin(*phones) & ~s.rlike(V.PHONE_LAYOUT))
     print_of = F.when(~blank, F.xxhash64(value))
+    fields = [f for f in data_columns(df) if f.name in names]
+    mine = {f.name: registry.aggregates_for(f, value, blank) for f in fields}
+    own = {}
+    for key in dict.fromkeys(key for found in mine.values() for key in found):
+        # one aggregate for all columns the detector looks at
+        looked_at = [name for name in names if key in mine[name]]
+        of_these = F.col("column").isin(*looked_at)
+        cell, empty = F.when(of_these, value), F.when(of_these, blank)
+        field = next(f for f in fields if f.name == looked_at[0])
+        own[key] = registry.aggregates_for(field, cell, empty)[key]
     totals = flagged.groupBy("column").agg(
+        _extra(own).alias("extra"),
         F.count(F.lit(1)).alias("rows"),
         F.count_if(blank).alias("blanks"),
         F.count_if(blank & (s != "")).alias("placeholders"),
@@ -107,14 +124,15 @@ def _typed_facts(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
                 "strict_numbers": F.count(n),
                 "bytes": F.count(n) * 8,
                 "one_value": F.min(n) == F.max(n),
-                "min_number": F.min(n),
-                "max_number": F.max(n),
-                "mean_number": F.avg(n),
             }
         elif kind == V.OTHER:
             c = F.col(f"c{i}")
             cells.append(V.quoted(f.name).alias(f"c{i}"))
             facts |= {"one_value": F.min(c) == F.max(c), "bytes": F.count(c) * 8}
+        extra = registry.aggregates_for(f, F.col(f"u{i}"), blank)
+        if extra:
+            cells.append(V.quoted(f.name).alias(f"u{i}"))
+        facts["extra"] = _extra(extra)
         aggregates += [col.alias(f"{name}_{i}") for name, col in facts.items()]
         known = {name: F.col(f"{name}_{i}") for name in facts}
         known |= {"column": F.lit(f.name), "kind": F.lit(kind), "rows": F.col("rows")}

@@ -6,9 +6,10 @@ A run's rows are replaced as a whole by overwriting its partition; the audit log
 from __future__ import annotations
 
 import re
+import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,10 +46,12 @@ RUN_SCHEMA = (
     .add("warnings", T.ArrayType(_TEXT))
     .add("error", _TEXT)
 )
+# As stored: events of one call share a batch and are numbered in it, so that writers need not know of each other.
 AUDIT_SCHEMA = (
     T.StructType()
     .add("run_id", _TEXT)
-    .add("seq", _LONG)
+    .add("batch", _TEXT)
+    .add("place", _LONG)
     .add("at", _TEXT)
     .add("actor", _TEXT)
     .add("event", _TEXT)
@@ -95,10 +98,15 @@ class History:
     def read(self, table: str, run_id: str | None = None) -> DataFrame:
         """One table; with ``run_id`` only that partition is listed and read."""
         schema = self._schema(table)
-        if not self._exists(self.path(table)):
-            return self.spark.createDataFrame([], schema)
-        df = self.spark.read.schema(schema).parquet(self.path(table))
+        if self._exists(self.path(table)):
+            df = self.spark.read.schema(schema).parquet(self.path(table))
+        else:
+            df = self.spark.createDataFrame([], schema)
         df = df.select(*schema.names)
+        if table == "audit":
+            in_order = Window.partitionBy("run_id").orderBy("at", "batch", "place")
+            seq = (F.row_number().over(in_order) - 1).cast("long")
+            df = df.select("run_id", seq.alias("seq"), "at", "actor", "event", "detail")
         return df if run_id is None else df.where(F.col("run_id") == run_id)
 
     def _replace(self, table: str, df: DataFrame, partitions: list[str], folder: str) -> None:
@@ -172,15 +180,16 @@ class History:
         self._replace("applied_fixes", self.spark.createDataFrame(rows, schema), ["run_id"], f"run_id={run_id}")
 
     def add_events(self, run_id: str, events: list[tuple[str, str, str]]) -> None:
-        """Append (actor, event, detail) entries to the audit log, in order."""
-        last = self.read("audit", checked_id(run_id)).agg(F.max("seq")).first()[0]
-        start = 0 if last is None else last + 1
-        at = now()
+        """Append (actor, event, detail) entries to the audit log, in order.
+
+        ``seq`` is given when the log is read: by time, then by batch, so two writers never share a number.
+        """
+        at, batch = now(), uuid.uuid4().hex
         rows = [
-            (run_id, start + i, at, actor, event, detail[:DETAIL_LENGTH])
+            (checked_id(run_id), batch, i, at, actor, event, detail[:DETAIL_LENGTH])
             for i, (actor, event, detail) in enumerate(events)
         ]
-        if any(r[3] not in ACTORS for r in rows):
+        if any(r[4] not in ACTORS for r in rows):
             raise ValueError("unknown actor")
         df = self.spark.createDataFrame(rows, AUDIT_SCHEMA)
         df.coalesce(1).write.mode("append").partitionBy("run_id").parquet(self.path("audit"))

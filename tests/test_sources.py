@@ -10,6 +10,7 @@ from pyspark.errors import PySparkException
 import qualframe as qf
 
 from qualframe.operators.facts import HIDDEN
+from qualframe.plans import history as history_module
 from qualframe.plans.clean import analyze, clean
 from qualframe.plans.history import History, run_list
 from qualframe.plans.report import audit_report
@@ -135,6 +136,19 @@ def test_history_takes_safe_ids_and_empty_lists(spark, folder):
     assert [r.run_id for r in history.read("decisions").collect()] == ["r2"]
 
 
+def test_two_writers_share_no_number(spark, folder, monkeypatch):
+    monkeypatch.setattr(history_module, "now", lambda: "2026-01-01T00:00:00+00:00")
+    one, two = History(spark, folder), History(spark, folder)
+    for k in range(2):
+        for writer, name in ((one, "a"), (two, "b")):
+            writer.add_events("r", [("system", f"{name}{k}.{i}", "x") for i in range(3)])
+    log = one.audit_log("r").collect()
+    assert [r["seq"] for r in log] == list(range(12))
+    for k in range(0, 12, 3):  # the events of a call stay together and in order
+        events = [r["event"] for r in log[k : k + 3]]
+        assert [e[-1] for e in events] == ["0", "1", "2"] and len({e[:2] for e in events}) == 1
+
+
 def test_run_list_honours_its_limit(spark):
     runs = spark.range(300).selectExpr("CAST(id AS STRING) AS run_id", "CAST(id AS STRING) AS created_at")
     assert run_list(runs, 250).count() == 250
