@@ -149,6 +149,7 @@ cells AS (
   FROM (SELECT col, v, {_strip('v')} AS s, {_blank('v')} AS blank FROM ({parts})))"""
 
 
+LINE_NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
 ORDER_COLUMNS = ["order_key", "order_date", "revenue", "discount", "notes", "currency", "unit_price"]
 CUSTOMER_COLUMNS = ["cust_key", "segment", "email", "phone", "name"]
 
@@ -211,7 +212,8 @@ DUPLICATE_ROWS = """SELECT 'orders' AS table_name, CAST(NULL AS VARCHAR) AS "col
   (SELECT sum(k - 1)::BIGINT AS n, sum(k)::BIGINT AS total FROM
     (SELECT *, count(*) AS k FROM dirty_orders GROUP BY ALL))
  UNION ALL SELECT 'texts', NULL, n, total FROM
-  (SELECT (count(*) - count(DISTINCT text))::BIGINT AS n, count(*) AS total FROM documents)"""
+  (SELECT sum(k - 1)::BIGINT AS n, sum(k)::BIGINT AS total FROM
+    (SELECT count(*) AS k FROM documents GROUP BY text, lang, source, n_chars))"""
 
 CASING = """
 groups AS (
@@ -397,11 +399,10 @@ def queries() -> dict[str, str]:
         FROM (SELECT min(row) AS row, order_key, any_value(discount) AS discount FROM
           (SELECT *, row_number() OVER (ORDER BY order_key) - 1 AS row FROM dirty_orders) GROUP BY order_key)"""
     )
-    numbers = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     q["median_narrowed"] = " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count({c}) AS n, quantile_cont({c}::DOUBLE, 0.25) AS q1,
         quantile_cont({c}::DOUBLE, 0.5) AS median, quantile_cont({c}::DOUBLE, 0.75) AS q3 FROM lineitem"""
-        for c in numbers
+        for c in LINE_NUMBERS
     )
     middle = "(SELECT {f} FROM (SELECT {c} AS v, row_number() OVER (ORDER BY {c}) - 1 AS i, count(*) OVER () AS n FROM w WHERE {c} IS NOT NULL) WHERE i IN ((n - 1) // 2, n // 2))"
     q["fix_fill_median_wide"] = f"""
@@ -423,19 +424,21 @@ def queries() -> dict[str, str]:
           (SELECT count(*) AS k FROM dirty_orders
            GROUP BY regexp_replace(regexp_replace(order_date, '\\d+', '#', 'g'), '[A-Za-z]+', 'A', 'g')))"""
     )
+    written = "CASE WHEN regexp_matches({c}, '^-?\\d+(\\.\\d+)?$') THEN CAST({c} AS DOUBLE) END"
+    numbers = {
+        "orders": ("o_orderkey", "o_custkey", "o_totalprice"),
+        "events": ("event_id", "user_id", "value"),
+        "documents": ("doc_id", "n_chars"),
+        "lineitem": LINE_NUMBERS,
+        "supplier": ("s_suppkey", "s_nationkey", "s_acctbal"),
+        "part": ("p_partkey", "p_size", "p_retailprice"),
+    }
     q["detect_outliers"] = _with(DIRTY_ORDERS) + " UNION ALL ".join(
-        [
-            _outliers("orders", "dirty_orders", "unit_price", UNIT_PRICE),
-            _outliers(
-                "orders",
-                "dirty_orders",
-                "revenue",
-                f"CASE WHEN regexp_matches(revenue, {PLAIN}) THEN CAST(revenue AS DOUBLE) END",
-            ),
-            _outliers("events", "events", "value", "value"),
-            _outliers("documents", "documents", "n_chars", "CAST(n_chars AS DOUBLE)"),
-            _outliers("lineitem", "lineitem", "l_quantity", "l_quantity"),
-            _outliers("lineitem", "lineitem", "l_extendedprice", "l_extendedprice"),
+        [_outliers("orders", "dirty_orders", c, written.format(c=c)) for c in ("order_key", "revenue", "discount", "unit_price")]
+        + [
+            _outliers("given_orders" if t == "orders" else t, t, c, f"CAST({c} AS DOUBLE)")
+            for t, columns in numbers.items()
+            for c in columns
         ]
     )
     q["detect_whitespace"] = _customers(
@@ -493,7 +496,7 @@ def queries() -> dict[str, str]:
           100.0 * count_if(is_date) / count_if(NOT blank) AS date_like_pct,
           min(v) FILTER (NOT blank) AS min_value, max(v) FILTER (NOT blank) AS max_value,
           sum(strlen(v))::BIGINT AS bytes FROM cells GROUP BY col"""
-    q["profile_documents"] = _with(_cells("documents", ["doc_id", "text", "lang", "n_chars"])) + """
+    q["profile_documents"] = _with(_cells("documents", ["doc_id", "text", "lang", "source", "n_chars"])) + """
         SELECT col AS name, count_if(NOT blank)::BIGINT AS non_null, count_if(blank)::BIGINT AS null_count,
           count(DISTINCT v) FILTER (NOT blank) AS unique_count,
           100.0 * count_if(is_number) / count_if(NOT blank) AS numeric_like_pct,
@@ -504,15 +507,15 @@ def queries() -> dict[str, str]:
           unnest(['cust_key', 'segment', 'email', 'phone', 'name']) AS col FROM dirty_customers) GROUP BY col"""
     q["value_range_lineitem"] = " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value,
-        {f'avg({c})' if c in ('l_orderkey', 'l_linenumber') else 'CAST(NULL AS DOUBLE)'} AS mean_value FROM lineitem"""
-        for c in ("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+        {f'avg({c})' if c in LINE_NUMBERS else 'CAST(NULL AS DOUBLE)'} AS mean_value FROM lineitem"""
+        for c in (*LINE_NUMBERS, "l_returnflag", "l_linestatus", "l_shipdate")
     )
     q["profile_table_orders"] = _with(DIRTY_ORDERS, _cells("dirty_orders", ORDER_COLUMNS)) + """
         SELECT (SELECT count(*) FROM dirty_orders) AS rows, count(DISTINCT col) AS columns,
         sum(strlen(v))::BIGINT AS bytes FROM cells"""
-    q["context_line_orders"] = """SELECT '''orders'' with ' || format('{:,}', count(*)) || ' rows and 5 columns: '
+    q["context_line_orders"] = """SELECT '''orders'' with ' || format('{:,}', count(*)) || ' rows and 6 columns: '
         || 'o_orderkey (bigint), o_custkey (bigint), o_orderstatus (string), o_totalprice (double), '
-        || 'o_orderpriority (string).' AS context FROM orders"""
+        || 'o_orderdate (timestamp_ntz), o_orderpriority (string).' AS context FROM orders"""
     q["score_orders"] = _orders(
         _scores("pointed", "", (1, 2)),
         BOUNDS,
@@ -567,7 +570,7 @@ def queries() -> dict[str, str]:
         "FROM dirty_orders, bounds",
         BOUNDS,
     )
-    q["fix_clip_outliers_typed"] = """SELECT event_id, greatest(least(value, hi), lo) AS value FROM events,
+    q["fix_clip_outliers_typed"] = """SELECT events.* EXCLUDE (value), greatest(least(value, hi), lo) AS value FROM events,
         (SELECT round(q1 - 3 * (q3 - q1), 4) AS lo, round(q3 + 3 * (q3 - q1), 4) AS hi
          FROM (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events))"""
     q["fix_remove_outlier_rows"] = _orders(

@@ -151,7 +151,7 @@ def detect_missing_values(spark, sf_dir):
 
 @query
 def detect_duplicate_rows(spark, sf_dir):
-    texts = W.table(spark, sf_dir, "documents").select("text")
+    texts = W.table(spark, sf_dir, "documents").drop("doc_id")
     return _found(spark, M.DUPLICATES, {"orders": W.dirty_orders(spark, sf_dir), "texts": texts})
 
 
@@ -243,10 +243,13 @@ def detect_inconsistent_dates(spark, sf_dir):
 @query
 def detect_outliers(spark, sf_dir):
     tables = {
-        "orders": W.dirty_orders(spark, sf_dir).select("unit_price", "revenue"),
-        "events": W.table(spark, sf_dir, "events").select("value"),
-        "documents": W.table(spark, sf_dir, "documents").select("n_chars"),
-        "lineitem": W.table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice"),
+        "orders": W.dirty_orders(spark, sf_dir),
+        "given_orders": W.table(spark, sf_dir, "orders"),
+        "events": W.table(spark, sf_dir, "events"),
+        "documents": W.table(spark, sf_dir, "documents"),
+        "lineitem": W.table(spark, sf_dir, "lineitem"),
+        "supplier": W.table(spark, sf_dir, "supplier"),
+        "part": W.table(spark, sf_dir, "part"),
     }
     return _found(spark, M.OUTLIERS, tables, "lower_bound", "upper_bound")
 
@@ -322,12 +325,12 @@ def issues_to_ask_about(spark, sf_dir):
 
 @query
 def profile_orders(spark, sf_dir):
-    return profile.profile_columns(W.dirty_orders(spark, sf_dir), samples=False).drop("mean_value")
+    return profile.profile_columns(W.dirty_orders(spark, sf_dir), samples=False).drop("mean_value", "position")
 
 
 @query
 def profile_documents(spark, sf_dir):
-    df = W.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+    df = W.table(spark, sf_dir, "documents")
     columns = profile.profile_columns(df)
     return columns.select("name", "non_null", "null_count", "unique_count", "numeric_like_pct", "date_like_pct")
 
@@ -340,8 +343,7 @@ def profile_samples(spark, sf_dir):
 
 @query
 def value_range_lineitem(spark, sf_dir):
-    df = W.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
-    return profile.value_range(df)
+    return profile.value_range(W.table(spark, sf_dir, "lineitem"))
 
 
 @query
@@ -351,7 +353,7 @@ def profile_table_orders(spark, sf_dir):
 
 @query
 def context_line_orders(spark, sf_dir):
-    columns = profile.profile_columns(W.table(spark, sf_dir, "orders").drop("o_orderdate"), samples=False)
+    columns = profile.profile_columns(W.table(spark, sf_dir, "orders"), samples=False)
     return profile.context_line(columns, "orders")
 
 
@@ -479,7 +481,7 @@ def fix_clip_outliers(spark, sf_dir):
 
 @query
 def fix_clip_outliers_typed(spark, sf_dir):
-    df = W.table(spark, sf_dir, "events").select("event_id", "value")
+    df = W.table(spark, sf_dir, "events")
     return _fixed(df, _bounds(df, "value"), "clip_outliers")
 
 

@@ -103,6 +103,7 @@ def profile_columns(df: DataFrame, approx: bool = False, samples: bool = True) -
         parts.append(sample_values(df))
     joined = reduce(lambda a, b: a.join(F.broadcast(b), "column", "left"), parts)
     return joined.orderBy("position").select(
+        "position",
         F.col("column").alias("name"),
         "dtype",
         present.alias("non_null"),
@@ -135,7 +136,7 @@ def context_line(columns: DataFrame, table_name: str, shown: int = 12) -> DataFr
         F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]
     )
     numbered = columns.select(
-        F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).alias("position"),
+        "position",
         F.concat("name", F.lit(" ("), "dtype", F.lit(")")).alias("text"),
         (F.col("non_null") + F.col("null_count")).alias("rows"),
     )
