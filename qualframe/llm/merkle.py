@@ -9,7 +9,7 @@ turned round they are the proof.
 
 Defined cases: null values count as `-` in a leaf, null groups and keys come first, rows that repeat are leaves of
 their own (equal subtrees share one pack), an empty table has no root and no proofs, texts of any length are hashed
-where they lie and never moved. Columns of other names are carried; g, n and rank are refused.
+where they lie and never moved. Input columns are carried in a struct, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -64,7 +64,8 @@ class Forest:
 
 @dataclass
 class Manifest:
-    """leaves: the rows with g, n, rank, leaf; groups: (group, g, n); trees: a tree a group; top: the tree of their roots."""
+    """leaves: (row, group, leaf, g, n, rank), row being the input row; groups: (group, g, n); trees: a tree a group;
+    top: the tree of their roots."""
 
     leaves: DataFrame
     groups: DataFrame
@@ -167,18 +168,23 @@ def descend(forest: Forest, starts: DataFrame, requests: DataFrame, name: str) -
 
 def build_manifest(df: DataFrame, group: str, keys: list[str], leaf: str, width: int = WIDTH, depth: int = DEPTH) -> Manifest:
     """The manifest of df: a tree for each value of group, its leaves in the order of keys, then of the leaf digests."""
-    clash = {"g", "n", "rank", "part", "nth", "copy_"} & set(df.columns)
-    if clash:
-        raise ValueError(f"rename {sorted(clash)}: the manifest uses these names")
-    told = store(df.withColumn("copy_", F.monotonically_increasing_id()), "leaves")  # tells equal rows apart
-    leaves, groups = numbered_by_group(told, group, [*keys, leaf, "copy_"], "leaves")
+    order = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    told = df.select(
+        F.struct("*").alias("row"),
+        F.col(group).alias("group"),
+        F.col(leaf).alias("leaf"),
+        *order,
+        F.monotonically_increasing_id().alias("copy"),  # tells equal rows apart
+    )
+    by = [*(f"k{i}" for i in range(len(keys))), "leaf", "copy"]
+    leaves, groups = numbered_by_group(store(told, "leaves"), "group", by, "leaves")
     most = groups.agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("groups")).first()
-    trees = build_forest(leaves.select("g", "rank", "n", F.col(leaf).alias("digest")), most.most or 0, "trees", width, depth)
+    trees = build_forest(leaves.select("g", "rank", "n", F.col("leaf").alias("digest")), most.most or 0, "trees", width, depth)
     subroots = trees.roots.select(
         F.lit(0).cast("long").alias("g"), F.col("g").alias("rank"), F.lit(most.groups).cast("long").alias("n"), "digest"
     )
     top = build_forest(subroots, most.groups, "top", width, depth)
-    return Manifest(leaves.drop("copy_"), groups, trees, top)
+    return Manifest(leaves.select("row", "group", "leaf", "g", "n", "rank"), groups, trees, top)
 
 
 def root_of(manifest: Manifest) -> DataFrame:

@@ -152,10 +152,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "lang", leaf(F.col("n_chars")).alias("leaf"), F.when(altered, leaf(F.col("n_chars") + 1)).alias("altered")
     )
     manifest = merkle.build_manifest(rows, "lang", ["doc_id"], "leaf")
-    proofs = merkle.prove(manifest, manifest.leaves).drop("leaf")
+    leaves = manifest.leaves.select("g", "rank", "leaf", "row.doc_id", "row.altered")
+    proofs = merkle.prove(manifest, leaves).drop("leaf")
     root = manifest.top.roots.select(F.col("digest").alias("root"))
     subroots = manifest.trees.roots.select("g", F.col("digest").alias("subroot"))
-    found = manifest.leaves.join(proofs, ["g", "rank"]).join(scratch.small(subroots), "g").join(F.broadcast(root))
+    found = leaves.join(proofs, ["g", "rank"]).join(scratch.small(subroots), "g").join(F.broadcast(root))
     folded = merkle.fold(F.coalesce("altered", "leaf"), F.col("proof"))
     return found.select(
         "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root")
