@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from qualframe.llm.components import components
 from qualframe.llm.scratch import small, store
-from qualframe.llm.words import mix, run_hashes, text_batches, word_hashes
+from qualframe.llm.words import WordHashes, give_back, mix, run_hashes, text_batches, word_hashes
 
 BANDS, ROWS = 25, 5  # at similarity 0.8 a pair meets in some bucket with probability 0.99995
 RUN_WORDS, SIMILARITY = 5, 0.8
@@ -101,9 +101,10 @@ def sign(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
             for start, texts in text_batches(batch.column(2)):
-                words = [word_hashes(t) for t in texts]
+                words = [word_hashes(t, known) for t in texts]
                 entities = [hashlib.blake2b(w.tobytes(), digest_size=16).digest() if len(w) else None for w in words]
                 fresh = {e: i for i, e in enumerate(entities) if e}  # copies in one batch are signed once
                 keys, low = {}, {}
@@ -124,6 +125,8 @@ def sign(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                     ],
                     ["doc", "text_hash", "entity", "n_words", "bands", "sketch"],
                 )
+        known.clear()
+        give_back()
 
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     chosen = docs.select(F.col(id_col).alias("doc"), F.xxhash64(body).alias("text_hash"), body.alias("body"))
@@ -135,9 +138,10 @@ def contents(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> Data
     """(entity, runs, weights) of the documents (doc, text_hash, entity) in wanted, read from the texts again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
             for start, texts in text_batches(batch.column(1)):
-                both = [weighted_runs(word_hashes(t)) for t in texts]
+                both = [weighted_runs(word_hashes(t, known)) for t in texts]
                 # all weights 1 need no bytes
                 weights = [w.astype(np.float64).tobytes() if w.max(initial=1) > 1 else b"" for _, w in both]
                 yield pa.RecordBatch.from_arrays(
@@ -148,6 +152,8 @@ def contents(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> Data
                     ],
                     ["entity", "runs", "weights"],
                 )
+        known.clear()
+        give_back()
 
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     chosen = docs.select(F.col(id_col).alias("d"), F.xxhash64(body).alias("h"), body.alias("body"))
