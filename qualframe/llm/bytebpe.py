@@ -4,7 +4,7 @@ Every byte stands for one printable character (the byte table), so that the libr
 turned back by reversing the table, and bytes that are no whole character are kept or shown as U+FFFD.
 
 Text is cut before single spaces and single line breaks between two non-blank characters. No match of the split
-pattern crosses such a place, so pieces are encoded alone with the same ids as the whole text, and a worker encodes a
+pattern crosses such a place, so pieces are encoded alone with the same ids as the whole text, and a task encodes a
 piece once as long as it remembers it. Tokenizers that change the text first or split it by other rules get whole
 texts instead. Added tokens of the description that the library finds in a text are taken out first, where it would
 find them, and what lies between them is cut.
@@ -25,11 +25,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from qualframe.llm.words import text_batches
+from qualframe.llm.words import give_back, text_batches
 
 # Fixed value: the byte-level split pattern, with which cuts before single blanks agree.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-KEPT_PIECES = 1_000_000  # per Python worker, about 200 MB
+KEPT_PIECES = 600_000  # in one task, about 90 MB; a fuller memory starts anew
 LONGEST_KEPT = 64  # characters; longer pieces are encoded each time
 KEPT_MARKS = 10_000
 
@@ -131,7 +131,11 @@ class Encoder:
         self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         wide = any(t.get(k) for t in found for k in ("lstrip", "rstrip", "single_word"))
         self.cuts = can_cut(json.loads(description)) and not wide
-        self.cache = PieceIds(self._learn)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the pieces learned so far; what stays is the tokenizer."""
+        self.cache = PieceIds(self._learn, self._word)
         self.marks = Memo(KEPT_MARKS)
 
     def _ids(self, text: str) -> bytes:
@@ -161,6 +165,11 @@ class Encoder:
             known = [self.cache[p] if stands_alone(p) else self._ids(written(p)) for p in rest]
         return b"".join([self._learn(first.replace(" \n", "\n")), *known])
 
+    def _word(self, letters: str) -> bytes:
+        """Ids of a space and letters, which are one match of the pattern."""
+        body = letters if letters.isascii() else "".join([BYTES[b] for b in letters.encode()])
+        return array("I", [t.id for t in self.model.tokenize(BYTES[32] + body)]).tobytes()
+
     def _learn(self, piece: str) -> bytes:
         """A word is one match of the pattern and goes to the model at once, marks or a line break beside it likewise."""
         if piece[0] == "\n" and len(piece) > 1 and not piece[1].isspace():
@@ -216,21 +225,21 @@ def joined_at_blanks(parts: list[str]) -> list[str]:
 
 
 class PieceIds(dict):
-    """Ids of pieces, learned on demand; the half that was not asked for lately is forgotten when it is full."""
+    """Ids of pieces, learned on demand; starts anew when it is full."""
 
-    def __init__(self, learn):
+    def __init__(self, learn, learn_word):
         super().__init__()
-        self.learn, self.old = learn, {}
+        self.learn, self.learn_word = learn, learn_word
 
     def __missing__(self, piece: str) -> bytes:
-        if not stands_alone(piece):
-            raise KeyError(piece)
-        ids = self.old.get(piece)
-        if ids is None:
+        if piece.isalpha() and (piece.isascii() or max(piece) <= "\u024f"):
+            ids = self.learn_word(piece)
+        elif stands_alone(piece):
             ids = self.learn(written(piece))
+        else:
+            raise KeyError(piece)
         if len(piece) <= LONGEST_KEPT:
-            if len(self) >= KEPT_PIECES // 2:
-                self.old = dict(self)
+            if len(self) >= KEPT_PIECES:
                 self.clear()
             self[piece] = ids
         return ids
@@ -253,7 +262,7 @@ _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def encoder(description: str, specials: bool = False) -> Encoder:
-    """The worker's encoder for this description."""
+    """The worker's encoder for this description; tasks tell it to forget the pieces they made it learn."""
     key = hashlib.md5(description.encode()).hexdigest(), specials
     if key not in _encoders:
         _encoders.clear()
@@ -275,19 +284,23 @@ def encode_documents(docs, description: str, id_col: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(shared.value)
         names = [str(i) for i in range(len(own.bytes_of))]
-        for batch in batches:
-            for start, texts in text_batches(batch.column(1)):
-                found = own.encode_batch(texts)
-                columns = [batch.column(0).slice(start, len(texts)), pa.array([len(x) for x in found], pa.int64())]
-                if ids:
-                    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                    flat = np.concatenate([*found, np.empty(0, np.uint32)]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(ends, flat))
-                if digests:
-                    listed = (",".join(map(names.__getitem__, x.tolist())) for x in found)
-                    columns.append(pa.array([hashlib.sha256(s.encode()).hexdigest() for s in listed]))
-                    columns.append(pa.array([hashlib.sha256(own.decode_bytes(x)).hexdigest() for x in found]))
-                yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
+        try:
+            for batch in batches:
+                for start, texts in text_batches(batch.column(1)):
+                    found = own.encode_batch(texts)
+                    columns = [batch.column(0).slice(start, len(texts)), pa.array([len(x) for x in found], pa.int64())]
+                    if ids:
+                        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                        flat = np.concatenate([*found, np.empty(0, np.uint32)]).astype(np.int32)
+                        columns.append(pa.ListArray.from_arrays(ends, flat))
+                    if digests:
+                        listed = (",".join(map(names.__getitem__, x.tolist())) for x in found)
+                        columns.append(pa.array([hashlib.sha256(s.encode()).hexdigest() for s in listed]))
+                        columns.append(pa.array([hashlib.sha256(own.decode_bytes(x)).hexdigest() for x in found]))
+                    yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
+        finally:
+            own.forget()
+            give_back()
 
     chosen = docs.select(F.col(id_col), F.col(text).cast("string").alias("__text"))
     return chosen.mapInArrow(run, schema)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from qualframe.llm.bytebpe import encoder
 from qualframe.llm.scratch import small, store
-from qualframe.llm.words import text_batches
+from qualframe.llm.words import give_back, text_batches
 
 BLOCK_IDS = 1 << 18
 END_ID = 0
@@ -57,18 +57,22 @@ def encoded(docs: DataFrame, description: str, id_col: str, text: str, specials:
         own = encoder(shared.value, specials)
         narrow = id_type(len(own.bytes_of))
         end = np.array([END_ID], np.uint32)
-        for batch in batches:
-            for start, texts in text_batches(batch.column(1)):
-                ids = [np.concatenate([x, end]) for x in own.encode_batch(texts)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(start, len(texts)),
-                        pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
-                        pa.array([x.astype(narrow).tobytes() for x in ids], pa.binary()),
-                    ],
-                    ["doc", "n", "crc", "ids"],
-                )
+        try:
+            for batch in batches:
+                for start, texts in text_batches(batch.column(1)):
+                    ids = [np.concatenate([x, end]) for x in own.encode_batch(texts)]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).slice(start, len(texts)),
+                            pa.array([len(x) for x in ids], pa.int64()),
+                            pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
+                            pa.array([x.astype(narrow).tobytes() for x in ids], pa.binary()),
+                        ],
+                        ["doc", "n", "crc", "ids"],
+                    )
+        finally:
+            own.forget()
+            give_back()
 
     chosen = docs.select(F.col(id_col).alias("doc"), F.col(text).cast("string").alias("body"))
     kind = dict(chosen.dtypes)["doc"]
