@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 LABELS = {"user": "User", "assistant": "Assistant", "system": "System", "tool": "Tool"}
 HEAD, MID, END = "### ", ": ", "</turn>"
 LEARNED = "assistant"
+CHUNK = 4096  # code points
 BLOCK = 64  # turns joined in a first step, so that a long conversation is not gathered turn by turn
 
 
@@ -143,6 +144,21 @@ def format_chats(rows: DataFrame) -> DataFrame:
     return chats.select("conv_id", checked.alias("formatted"), "turns", "spans")
 
 
+def under_mask(formatted: Column, spans: Column) -> Column:
+    """The text under the loss mask: what `formatted` holds at each span, unescaped, joined with nothing between.
+
+    A span is cut from the few chunks that it touches, not from the start of a long conversation.
+    """
+    chunks = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{CHUNK}}}"), 0)
+
+    def cut(span: Column) -> Column:
+        first = F.floor(span.start / CHUNK).cast("int")
+        touched = F.slice(chunks, first + 1, F.floor(span.end / CHUNK).cast("int") - first + 1)
+        return F.substr(F.array_join(touched, ""), (span.start % CHUNK + 1).cast("int"), (span.end - span.start).cast("int"))
+
+    return F.array_join(F.transform(spans, lambda s: unescape(cut(s))), "")
+
+
 def running_starts(items: str, size) -> Column:
     """Sum of the sizes before each item."""
     empty = F.array().cast("array<bigint>")

@@ -38,14 +38,12 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], rows.schema)
     chats = chat.format_chats(rows.union(planted))
     line = lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))
-    learned = F.filter("turns", lambda t: t.role == chat.LEARNED)
-    loss = F.array_join(F.transform(learned, lambda t: t.text), "")
-    return chats.select(
+    return chats.withColumn("loss", chat.under_mask(F.col("formatted"), F.col("spans"))).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", line), ""), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
 

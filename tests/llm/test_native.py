@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from qualframe.llm import chat, hostrules, ring, winnow
 
@@ -17,7 +18,8 @@ def test_chats_read_back(spark):
     rows = [(c, t, rng.choice(roles), "".join(rng.choice(HARD) or "" for _ in range(3))) for c in range(20) for t in range(5)]
     rows += [(99, t, "assistant", text) for t, text in enumerate(HARD)] + [(None, None, None, None)] * 2
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r.conv_id: r for r in chat.format_chats(df).collect()}
+    loss = chat.under_mask(F.col("formatted"), F.col("spans")).alias("loss")
+    got = {r.conv_id: r for r in chat.format_chats(df).select("*", loss).collect()}
     want = defaultdict(list)
     for c, t, role, text in rows:
         want[c].append((t or 0, role or "", text or ""))
@@ -28,6 +30,7 @@ def test_chats_read_back(spark):
         whole, undo = got[c].formatted, {"\\b": "\\", "\\h": "###", "\\t": "</turn>"}
         masked = [re.sub(r"\\[bht]", lambda m: undo[m[0]], whole[s.start : s.end]) for s in got[c].spans]
         assert masked == [x[2] for x in turns if x[1] == "assistant"]
+        assert got[c].loss == "".join(masked)
         assert whole.count("</turn>") == len(turns)
 
 
@@ -38,6 +41,16 @@ def test_chats_with_many_turns_and_none(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [3, 7, 4096])
+def test_long_texts_under_the_mask(spark, monkeypatch, chunk):
+    monkeypatch.setattr(chat, "CHUNK", chunk)
+    rows = [(1, i, r, t) for i, (r, t) in enumerate([("user", "é👍" * 900), ("assistant", "世###" * 2000), ("user", "x"), ("assistant", "👍\n</turn>\\" * 700)])]
+    df = spark.createDataFrame([*rows, (2, 0, "user", "no answer")], "conv_id long, turn long, role string, text string")
+    loss = chat.under_mask(F.col("formatted"), F.col("spans")).alias("loss")
+    got = {r.conv_id: r.loss for r in chat.format_chats(df).select("conv_id", loss).collect()}
+    assert got == {1: rows[1][3] + rows[3][3], 2: ""}
+
+
 def measures(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
     runs = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
@@ -120,7 +133,9 @@ def test_winnowing_misses_nothing(spark):
 def test_ring_is_the_one_by_one_insertion(spark, slack):
     df = spark.range(1000).selectExpr("id AS doc_id", "id % 7 AS size", "'x' AS shard")
     df = df.union(df.filter("doc_id < 300")).union(df.limit(1).selectExpr("NULL", "size", "shard"))
-    placed = ring.shard_rows(df.select("doc_id", "size"), "doc_id", ["size"], 5, slack, points=16).collect()
+    placed = ring.shard_rows(df, "doc_id", ["size"], 5, slack, points=16)
+    assert placed.columns == ["doc_id", "size", "shard", "slot"]
+    placed = placed.collect()
     by_shard = defaultdict(list)
     for r in placed:
         by_shard[r.shard].append(r.slot)
@@ -129,14 +144,27 @@ def test_ring_is_the_one_by_one_insertion(spark, slack):
     assert sum(counts) == 1301 and (slack or max(counts) - min(counts) <= 1)
     places, room = ring.ring_places(spark, 5, 16), ring.bounds(1301, 5, slack)
     hashes = sorted(r.h for r in df.selectExpr("xxhash64('key', doc_id) AS h").collect())
-    order, at, used = [i for i, _ in places], 0, [0] * 5
+    order, at, used, want = [i for i, _ in places], 0, [0] * 5, Counter()
     arc = lambda h: next((i for i, e in enumerate(order) if e >= h), 0)
     for h in sorted(hashes, key=lambda h: (arc(h), h)):
         at = arc(h)
         while used[places[at % len(places)][1]] >= room[places[at % len(places)][1]]:
             at += 1
-        used[places[at % len(places)][1]] += 1
+        shard = places[at % len(places)][1]
+        want[h, shard, used[shard]] += 1
+        used[shard] += 1
     assert used == counts
+    by_id = {r.doc_id: r.h for r in df.selectExpr("doc_id", "xxhash64('key', doc_id) AS h").collect()}
+    assert Counter((by_id[r.doc_id], r.shard, r.slot) for r in placed) == want
+
+
+def test_ring_does_not_know_files_or_partitions(spark):
+    df = spark.range(1000).selectExpr("id AS doc_id", "id % 7 AS size", "'a' AS `Slot`")
+    df = df.union(spark.range(500).selectExpr("5L", "5L", "'a'"))  # one row holds a third of all
+    found = [
+        Counter(tuple(r) for r in ring.shard_rows(df.repartition(n, "size"), "doc_id", ["size"], 8).collect()) for n in (1, 3, 7)
+    ]
+    assert found[0] == found[1] == found[2] and sum(found[0].values()) == 1500
 
 
 def test_ring_moves_few_keys(spark):
@@ -144,6 +172,10 @@ def test_ring_moves_few_keys(spark):
     shards = lambda n: {r.doc_id: r.shard for r in ring.shard_rows(df, "doc_id", [], n, 0.25).collect()}
     a, b = shards(8), shards(9)
     assert sum(a[k] != b[k] for k in a) < 0.35 * len(a)
+    exact = lambda n: {r.doc_id: r.shard for r in ring.shard_rows(df, "doc_id", [], n).collect()}
+    a, b = exact(8), exact(9)
+    assert len(a) / 9 - 1 < sum(a[k] != b[k] for k in a) < 0.25 * len(a)
+    assert sum(a[k] != b[k] and b[k] != 8 for k in a) < 0.14 * len(a)
     assert ring.shard_rows(df.limit(0), "doc_id", []).count() == 0
 
 
