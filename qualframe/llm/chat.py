@@ -149,14 +149,15 @@ def under_mask(formatted: Column, spans: Column) -> Column:
 
     A span is cut from the few chunks that it touches, not from the start of a long conversation.
     """
-    chunks = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{CHUNK}}}"), 0)
 
-    def cut(span: Column) -> Column:
+    def cut(chunks: Column, span: Column) -> Column:
         first = F.floor(span.start / CHUNK).cast("int")
         touched = F.slice(chunks, first + 1, F.floor(span.end / CHUNK).cast("int") - first + 1)
         return F.substr(F.array_join(touched, ""), (span.start % CHUNK + 1).cast("int"), (span.end - span.start).cast("int"))
 
-    return F.array_join(F.transform(spans, lambda s: unescape(cut(s))), "")
+    joined = lambda chunks: F.array_join(F.transform(spans, lambda s: unescape(cut(chunks, s))), "")
+    # an array of one, so that the conversation is divided once and not for each span
+    return F.get(F.transform(F.array(F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{CHUNK}}}"), 0)), joined), 0)
 
 
 def running_starts(items: str, size) -> Column:

@@ -1,13 +1,16 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k.
 
 Words and their shapes (capitals, digits, marks around them), alone and in pairs, are counted in hashed buckets:
-once over all documents, once over the target, the documents labelled good. The log-ratio of the two models,
-averaged over a document's n-grams and scaled to LENGTH of them so that length alone gives no weight, is its
-log-importance. A Gumbel number from the hash of id and text is added, and the documents with the greatest sums
-are the sample: a draw without replacement in proportion to importance.
-
-Defined cases: null and empty texts have no n-grams and log-importance 0; rows that tie with the last of the
-sample are all in it; rows that repeat id and text get the same number; no good labels make the models equal.
+once over all documents, once over the target, the documents labelled good. The target's documents are raw
+documents too and stay in the raw model. The log-ratio of the two models, summed over a document's n-grams, is its
+log-importance: the likelihood ratio of the text. A Gumbel number from the hash of id and text is added, and the
+documents with the greatest sums are the sample: a draw without replacement in proportion to importance.
+The ratio of a long text is far from 1, so length has its weight; `length` scales the sum to so many n-grams
+instead, and the draw is then no longer in proportion to the ratio of the whole texts.
+
+Defined cases: null and empty texts have no n-grams and log-importance 0; a very long text is one Python string while
+it is counted; rows that tie with the last of the sample are all in it; rows that repeat id and text get the same
+number; no good labels make the models equal; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -24,9 +27,8 @@ from qualframe.llm.scratch import small, store
 from qualframe.llm.words import EDGES, mix, text_batches
 
 BUCKETS = 1 << 16  # a power of two
-LENGTH = 64
 KEPT_WORDS = 500_000
-FINE = 1 << 32  # steps a unit in the order of the sums
+FINE = 1 << 24  # steps a unit in the order of the sums
 
 
 class WordsAndShapes(dict):
@@ -105,11 +107,17 @@ def log_ratios(raw: np.ndarray, good: np.ndarray) -> np.ndarray:
 
 
 def resample(
-    docs: DataFrame, good: DataFrame, share: float = 0.8, id_col: str = "doc_id", text: str = "text", seed: int = 1
+    docs: DataFrame,
+    good: DataFrame,
+    share: float = 0.8,
+    id_col: str = "doc_id",
+    text: str = "text",
+    seed: int = 1,
+    length: int | None = None,
 ) -> DataFrame:
     """(id, n_ngrams, log_importance, gumbel_sum, kept): kept marks the sample, `share` of all rows.
 
-    good: (id) of the documents that stand for the target.
+    good: (id) of the documents that stand for the target. length: n-grams to scale log_importance to, none by default.
     """
     wanted = small(store(good.select(F.col(id_col).alias("g_id")).distinct().withColumn("good", F.lit(True)), "good"))
     marked = docs.select(F.col(id_col).alias("id"), F.col(text).alias("body")).join(wanted, F.col("id") == F.col("g_id"), "left")
@@ -121,7 +129,7 @@ def resample(
         for batch in batches:
             for start, texts in text_batches(batch.column(2)):
                 found = [features.of(t) for t in texts]
-                scores = [LENGTH * float(ratio[f].mean()) if len(f) else 0.0 for f in found]
+                scores = [float(ratio[f].sum()) * (length / len(f) if length and len(f) else 1.0) for f in found]
                 kept = [batch.column(i).slice(start, len(texts)) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
                     [*kept, pa.array([len(f) for f in found], pa.int64()), pa.array(scores, pa.float64())],

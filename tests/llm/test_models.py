@@ -1,16 +1,18 @@
 """Operators that run numpy or the tokenizers library inside tasks, against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 import textwrap
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from tokenizers import AddedToken, Tokenizer
 
 from qualframe.llm import bytebpe, licenses, probminhash, queries, resample, scratch, tokenfile, toxicity, words
@@ -249,7 +251,9 @@ def test_resampling_prefers_the_target(spark):
     counts = resample.counts(df.withColumn("t", df.doc_id < 60), "t", "text")
     ratio, features = resample.log_ratios(*counts), resample.Features()
     for i, t in rows[:5]:
-        assert got[i].log_importance == pytest.approx(resample.LENGTH * ratio[features.of(t)].mean())
+        assert got[i].log_importance == pytest.approx(ratio[features.of(t)].sum())
+    scaled = {r.doc_id: r.log_importance for r in resample.resample(df, good, 0.5, length=64).collect()}
+    assert scaled == pytest.approx({i: r.log_importance * 64 / max(r.n_ngrams, 1) for i, r in got.items()})
     assert counts[0].sum() == sum(len(features.of(t or "")) for _, t in rows)
     same = df.filter("doc_id = 3")
     twice = {r.kept for r in resample.resample(df.union(same).union(same), good, 0.5).filter("doc_id = 3").collect()}
@@ -257,6 +261,60 @@ def test_resampling_prefers_the_target(spark):
     assert resample.resample(df.limit(0), good).count() == 0
 
 
+def shape_of(word):
+    core = word.strip(words.EDGES)
+    kind = "".join("X" if c.isupper() else "9" if c.isdigit() else "x" if c.isalpha() else c for c in (core[:1], core[-1:]))
+    return f"{kind} {word.replace(core, '~', 1) if core else word}"
+
+
+def buckets_by_hand(text):
+    """n-grams written out one by one."""
+    whole = 1 << 64
+
+    def mixed(x):
+        x = [x % whole]
+        return int(words.mix(np.array(x, np.uint64))[0])
+
+    of = lambda t: xxhash.xxh3_64_intdigest(t)
+    plain = [of(w.strip(words.EDGES).lower()) for w in (text or "").split()]
+    shapes = [of(shape_of(w)) for w in (text or "").split()]
+    out = [*plain, *shapes]
+    out += [1 if a == b else mixed(3 * a + b) for a, b in zip(plain, plain[1:])]
+    out += [mixed(5 * a + b + 7) for a, b in zip(shapes, shapes[1:])]
+    return [x % resample.BUCKETS for x in out]
+
+
+def test_the_whole_draw_by_hand(spark):
+    rng = random.Random(12)
+    vocabulary = ["Alpha", "beta,", "(gamma)", "x1", "9", "...", "Éa", "%%"]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(40)))) for i in range(120)]
+    rows += [(200, None), (201, ""), (202, "beta, " * 50_000), (7, rows[7][1]), (None, "Alpha x1")]
+    df = spark.createDataFrame([(*r, "q") for r in rows], "doc_id long, text string, good string").repartition(5)
+    good = spark.createDataFrame([(i,) for i in range(0, 60, 2)] + [(None,), (4,), (999,)], "doc_id long")
+    found = [buckets_by_hand(t) for _, t in rows]
+    raw, target = Counter(), Counter()
+    for (i, _), f in zip(rows, found):
+        raw.update(f)
+        if i is not None and i < 60 and i % 2 == 0:
+            target.update(f)
+    size = resample.BUCKETS
+    q = {b: (raw[b] + 1) / (sum(raw.values()) + size) for b in raw}
+    log_ratio = {b: math.log((target[b] + size * q[b]) / (sum(target.values()) + size) / q[b]) for b in raw}
+    numbers = {
+        (r.doc_id, r.text): r.h for r in df.selectExpr("doc_id", "text", "xxhash64(1, doc_id, coalesce(text, '')) AS h").collect()
+    }
+    want = []
+    for (i, t), f in zip(rows, found):
+        importance = math.fsum(log_ratio[b] for b in f)
+        uniform = (((numbers[i, t] % (1 << 64)) >> 11) + 0.5) / (1 << 53)
+        want.append((i, len(f), importance, importance - math.log(-math.log(uniform))))
+    last = sorted((w[3] for w in want), reverse=True)[round(0.5 * len(rows)) - 1]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    got = sorted((tuple(r) for r in resample.resample(df, good, 0.5).collect()), key=key)
+    for g, w in zip(got, sorted(want, key=key), strict=True):
+        assert g[:2] == w[:2] and g[2:4] == pytest.approx(w[2:4]) and g[4] == (w[3] >= last), (g, w)
+
+
 def test_license_blocks(spark):
     mit = licenses.TEMPLATES["MIT"][2]
     rows = [
