@@ -1,14 +1,16 @@
 """License scans by conditional compression.
 
-Sentences and lines with the words of licences are candidates. Each template is aligned with the words around
-them, as far as it may reach: the span that differs from it in nothing but few words, none of them a number or a name of
-another licence, is confirmed, with the differing words. Of spans that overlap, the one that shares most words with its
-template is kept, then the one that a template as raw dictionary shrinks most. What a confirmed span does not cover stays a
-candidate, a block for each run of such units. Blocks are compressed alone and once with each template as raw dictionary.
+Sentences and lines with the words of licences, runs of them, and what is next to such a word are candidate blocks. Each block is compressed alone and
+once with each template as raw dictionary; templates are ranked by the bytes that they save. Only those that come
+first for some block are looked at further: each is aligned with the words around the block, as far as it may reach, and
+confirmed where the span differs from it in nothing but few words, none of them a number or a name of another licence.
+Of confirmed spans that overlap, the one that its template shrinks by most bytes is kept, then the one with fewest
+differences. What a confirmed span does not cover stays a candidate, a block for each run of such units.
 An SPDX identifier is confirmed as the licence it names, each one of an expression.
 
 Defined cases: null and empty texts have no blocks; a block without a confirmed template counts as candidate only;
-SPDX identifiers that are not listed here do too; repeated rows are each answered.
+SPDX identifiers that are not listed here do too; repeated rows are each answered; other columns, whatever their names,
+are left out. A very long text is one Python string; what is compressed is a sentence, a line or a run of them.
 """
 
 from __future__ import annotations
@@ -28,6 +30,10 @@ from qualframe.llm.words import text_batches
 CUES = r"(?i)licen[sc]e|copyright|permission|warrant|redistribut|spdx|\brights\s+reserved|\brights\s*:"
 GAP = 2
 MOST_DIFFERENT = 0.1
+FIRST = 6  # templates of a block that are aligned, and those that save as much as the last of them
+NEAR = 60  # characters on both sides of a cue, so that a short notice in a long sentence comes first for a block
+KEPT_BLOCKS = 4096  # ranked blocks that a task remembers
+LONG_BLOCK = 4096  # characters of a block that is remembered
 NEVER = 1 << 20  # more than any number of differences
 # Words that make another licence of a notice.
 TELLING = {"lesser", "affero"}
@@ -195,31 +201,54 @@ def differing(expected: list[str], words: list[str], extra: list[int]) -> tuple[
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, list[str]] = TEMPLATES):
+    def __init__(self, templates: dict[str, list[str]] = TEMPLATES, kept: int = FIRST):
+        self.kept = kept
         self.plain = zstandard.ZstdCompressor(level=3)
         self.number: dict[str, int] = {}  # of each word of a template
         self.templates = []
         for name, texts in templates.items():
             for t in texts:
                 given = zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                given.precompute_compress(level=3)
                 expected = plain_words(t)
                 ids = np.array([self.number.setdefault(w, len(self.number)) for w in expected])
                 removal = np.array([NEVER if is_fixed(w) else 1 for w in expected])
                 self.templates.append((name, expected, ids, removal, zstandard.ZstdCompressor(level=3, dict_data=given)))
         self.reach = max(len(t[1]) + int(MOST_DIFFERENT * len(t[1])) for t in self.templates)
         self.spdx = {n.lower(): n for n in SPDX_NAMES}
-
-    def reduction(self, block: str, compressor: zstandard.ZstdCompressor | None = None) -> float:
-        """How much smaller a block gets with a template, the best one if none is given."""
-        raw = " ".join(block.lower().split()).encode()
-        alone = len(self.plain.compress(raw))
-        return max(1 - len(c.compress(raw)) / alone for c in ([compressor] if compressor else [t[4] for t in self.templates]))
-
-    def aligned(self, ids: np.ndarray, extra: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """Template, first word, word after the last, and differences, of spans of one template that do not overlap."""
+        self.known: dict[str, tuple[int, list[int]]] = {}
+
+    def savings(self, block: str) -> tuple[int, list[int]]:
+        """Bytes of the compressed block, and how many fewer they are with each template."""
+        raw = " ".join(block.lower().split())
+        found = self.known.get(raw)
+        if found is None:
+            coded = raw.encode()
+            alone = len(self.plain.compress(coded))
+            found = alone, [alone - len(t[4].compress(coded)) for t in self.templates]
+            if len(raw) <= LONG_BLOCK:
+                if len(self.known) >= KEPT_BLOCKS:
+                    self.known.clear()
+                self.known[raw] = found
+        return found
+
+    def reduction(self, block: str) -> float:
+        """By what share the best template makes a block smaller."""
+        alone, saved = self.savings(block)
+        return max(saved) / alone
+
+    def first(self, block: str) -> set[int]:
+        """The templates that save most of a block."""
+        saved = self.savings(block)[1]
+        least = sorted(saved, reverse=True)[: self.kept][-1]
+        return {k for k, n in enumerate(saved) if n >= least}
+
+    def aligned(self, ids: np.ndarray, extra: np.ndarray, chosen: set[int]) -> Iterator[tuple[int, int, int, int]]:
+        """Template, first word, word after the last, and differences, of spans of one chosen template that do not overlap."""
         present = np.zeros(len(self.number), bool)
         present[ids[ids >= 0]] = True
-        for k, (_, expected, wanted, removal, _) in enumerate(self.templates):
+        for k in sorted(chosen):
+            _, expected, wanted, removal, _ = self.templates[k]
             most = int(MOST_DIFFERENT * len(expected))
             if removal[~present[wanted]].sum() > most:
                 continue
@@ -249,36 +278,39 @@ class Scanner:
             out.append((m.start(), m.end(), word))
         return out
 
-    def notices(self, text: str, found: list[tuple[int, int]]) -> list[Found]:
-        """Confirmed templates around the runs found."""
+    def notices(self, text: str, cues: list[tuple[int, int, int]]) -> list[Found]:
+        """Confirmed templates around the candidate units."""
         spans = self.words(text)
         words = [w for _, _, w in spans]
         starts = np.array([a for a, _, _ in spans], np.int64)
         markers = {m.start(1) for m in MARKER.finditer(text)}
         ids = np.array([self.number.get(w, -1) for w in words], np.int64)
         extra = np.array([NEVER if is_fixed(w) and a not in markers else 1 for w, a in zip(words, starts.tolist())], np.int64)
-        regions: list[list[int]] = []
-        for a, b in found:
+        near = ((max(0, m.start() - NEAR), min(len(text), m.end() + NEAR)) for m in re.finditer(CUES, text))
+        blocks = sorted({*runs(cues), *((a, b) for _, a, b in cues), *near})
+        regions: list[tuple[int, int, set[int]]] = []  # of words, with the templates that came first for a block in it
+        for a, b in blocks:
             low, high = np.searchsorted(starts, [a, b])
             low, high = max(0, int(low) - self.reach), min(len(words), int(high) + self.reach)
+            chosen = self.first(text[a:b])
             if regions and low <= regions[-1][1]:
-                regions[-1][1] = high
+                before = regions.pop()
+                regions.append((before[0], max(before[1], high), before[2] | chosen))
             else:
-                regions.append([low, high])
+                regions.append((low, high, chosen))
         ranked = []
-        for low, high in regions:
-            for k, a, b, n in self.aligned(ids[low:high], extra[low:high]):
+        for low, high, chosen in regions:
+            for k, a, b, n in self.aligned(ids[low:high], extra[low:high], chosen):
                 a, b = low + a, low + b
                 stop = re.compile(r"[^\w\s]*").match(text, spans[b - 1][1]).end()
-                name, expected, _, _, compressor = self.templates[k]
-                block = text[spans[a][0] : stop]
-                ranked.append((n - len(expected), -self.reduction(block, compressor), k, a, b, stop))
+                alone, saved = self.savings(text[spans[a][0] : stop])
+                ranked.append((-saved[k], n, k, a, b, stop, alone))
         out, taken = [], np.zeros(len(words), bool)
-        for _, less, k, a, b, stop in sorted(ranked):
+        for less, _, k, a, b, stop, alone in sorted(ranked):
             if not taken[a:b].any():
                 taken[a:b] = True
                 name, expected = self.templates[k][:2]
-                out.append(Found(spans[a][0], stop, name, -less, differing(expected, words[a:b], extra[a:b].tolist())))
+                out.append(Found(spans[a][0], stop, name, -less / alone, differing(expected, words[a:b], extra[a:b].tolist())))
         return out
 
     def identifiers(self, text: str) -> Iterator[Found]:
@@ -298,7 +330,7 @@ class Scanner:
         cues = candidates(text)
         if not cues:
             return []
-        out = sorted([*self.notices(text, runs(cues)), *self.identifiers(text)], key=lambda f: (f.start, f.end))
+        out = sorted([*self.notices(text, cues), *self.identifiers(text)], key=lambda f: (f.start, f.end))
         left, k = [], 0
         for i, a, b in cues:
             while k < len(out) and out[k].end <= a:

@@ -115,7 +115,19 @@ def op7_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    confirmed = F.filter("spans", lambda s: s.license.isNotNull())
+    differing = F.filter(confirmed, lambda s: F.size(s.differences) > 0)
+    wording = F.transform(differing, lambda s: F.concat(s.license, F.lit(": "), F.array_join(s.differences, " ")))
+    return found.select(
+        "doc_id",
+        "n_blocks",
+        "n_confirmed",
+        "licenses",
+        F.array_max(F.transform("spans", lambda s: s.reduction)).alias("best_reduction"),
+        F.array_join(F.transform(confirmed, lambda s: F.format_string("%.4f", s.reduction)), ",").alias("reductions"),
+        F.array_join(F.array_sort(F.array_distinct(wording)), "; ").alias("differences"),
+    )
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+import zstandard
 from tokenizers import AddedToken, Tokenizer
 
 from qualframe.llm import bytebpe, licenses, probminhash, queries, resample, scratch, tokenfile, toxicity, words
@@ -375,6 +376,80 @@ def test_license_notices_as_they_are_written(spark):
     assert next(s for s in got[2].spans if s.license).differences == ["-http", "+https"] and got[len(cases) - 1].n_confirmed == 300
 
 
+def least_cost(wanted, words):
+    """Words to leave out of or put into the template, by hand; no number and no telling word."""
+    fixed = lambda w: any(c.isdigit() for c in w) or w in ("lesser", "affero")
+    row = [0.0]
+    for w in words:
+        row.append(row[-1] + (math.inf if fixed(w) else 1))
+    for e in wanted:
+        gone, last = (math.inf if fixed(e) else 1), row
+        row = [last[0] + gone]
+        for j, w in enumerate(words):
+            row.append(min(last[j + 1] + gone, row[-1] + (math.inf if fixed(w) else 1), last[j] if e == w else math.inf))
+    return row
+
+
+def notices_by_hand(text):
+    """All templates against all spans; of those that overlap, the one that its template shrinks by most bytes."""
+    found = [(m.start(), m.end(), m.group().lower()) for m in licenses.WORD.finditer(text)]
+    small, ranked, k = zstandard.ZstdCompressor(level=3), [], 0
+    for name, notices in licenses.TEMPLATES.items():
+        for notice in notices:
+            wanted, spans, taken = licenses.plain_words(notice), [], set()
+            most = int(licenses.MOST_DIFFERENT * len(wanted))
+            for a in range(len(found)):
+                costs = least_cost(wanted, [w for _, _, w in found[a : a + len(wanted) + most]])
+                spans += [(c, a + n, -a) for n, c in enumerate(costs) if n and c <= most]
+            given = zstandard.ZstdCompressionDict(notice.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            with_notice = zstandard.ZstdCompressor(level=3, dict_data=given)
+            for c, b, a in sorted(spans):
+                if not taken & set(range(-a, b)):
+                    taken |= set(range(-a, b))
+                    raw = " ".join(text[found[-a][0] : re.compile(r"[^\w\s]*").match(text, found[b - 1][1]).end()].lower().split()).encode()
+                    ranked.append((len(with_notice.compress(raw)) - len(small.compress(raw)), c, k, -a, b, name))
+            k += 1
+    out, taken = [], set()
+    for _, c, _, a, b, name in sorted(ranked):
+        if not taken & set(range(a, b)):
+            taken |= set(range(a, b))
+            out.append((found[a][0], name, c))
+    return sorted(out)
+
+
+def changed_notices(rng):
+    """One to three notices with up to three words changed, wrapped somehow, in prose with words of licences."""
+    notices, parts = [t for ts in licenses.TEMPLATES.values() for t in ts if len(t) < 400], []
+    for _ in range(rng.randint(1, 3)):
+        own = rng.choice(notices).split()
+        for _ in range(rng.randint(0, 3)):
+            at, how = rng.randrange(len(own)), rng.randrange(3)
+            own[at : at + 1] = [[own[at], "kind"], ["your"], [] if len(own) > 1 else ["x"]][how]
+        width = rng.choice([5, 9, 1000])
+        parts.append(rng.choice([" ", "\n"]).join(" ".join(own[i : i + width]) for i in range(0, len(own), width)))
+        parts.append(" ".join(rng.choices(["some", "prose", "the license", "Copyright 2020 X", "software."], k=rng.randint(0, 8))))
+    return rng.choice([" ", "\n", ". "]).join([*parts, "This is the license"])
+
+
+def test_ranked_templates_lose_no_notice():
+    rng, scanner, every = random.Random(21), licenses.Scanner(), licenses.Scanner(kept=1 << 20)
+    texts = [changed_notices(rng) for _ in range(400)]
+    assert [scanner.scan(t) for t in texts] == [every.scan(t) for t in texts]
+    for t in [t for t in texts if len(t) < 600][:25]:
+        got = [(f.start, f.name, len(f.differences)) for f in scanner.scan(t) if f.name]
+        assert got == notices_by_hand(t), t
+    ranks = scanner.first("Licensed under the Apache License, Version 2.0.")
+    assert licenses.FIRST <= len(ranks) < len(scanner.templates) and "Apache-2.0" in {scanner.templates[k][0] for k in ranks}
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    long = "prose about a license, " * 60_000 + "Licensed under CC BY 4.0. " + "and more " * 100_000
+    rows = [(1, long, "x", 3), (2, None, "y", 4), (2, None, "y", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, licenses string, n_blocks int")
+    got = sorted((r.doc_id, r.licenses, r.n_confirmed) for r in licenses.scan_licenses(df).collect())
+    assert got == [(1, "CC-BY-4.0", 1), (2, "", 0), (2, "", 0)]
+
+
 def test_special_tokens_in_a_text_get_their_ids_in_token_files(spark, tmp_path):
     with open(public_tokenizers.path(queries.BPE_JSON), encoding="utf-8") as f:
         description = f.read()
