@@ -150,6 +150,20 @@ cells AS (
 
 
 LINE_NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+PROFILED = {
+    "profile_lineitem": {
+        "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice"
+        " l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    },
+    "profile_events": {"events": "event_id ts user_id event_type value props"},
+    "profile_dimensions": {
+        "region": "r_regionkey r_name",
+        "nation": "n_nationkey n_name n_regionkey",
+        "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+        "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+        "pages": "page_id url html",
+    },
+}
 ORDER_COLUMNS = ["order_key", "order_date", "revenue", "discount", "notes", "currency", "unit_price"]
 CUSTOMER_COLUMNS = ["cust_key", "segment", "email", "phone", "name"]
 
@@ -501,6 +515,14 @@ def queries() -> dict[str, str]:
           count(DISTINCT v) FILTER (NOT blank) AS unique_count,
           100.0 * count_if(is_number) / count_if(NOT blank) AS numeric_like_pct,
           100.0 * count_if(is_date) / count_if(NOT blank) AS date_like_pct FROM cells GROUP BY col"""
+    for name, tables in PROFILED.items():
+        q[name] = " UNION ALL ".join(
+            "SELECT * FROM (" + _with(_cells(t, columns.split())) + f"""
+            SELECT '{t}' AS table_name, col AS name, count_if(NOT blank)::BIGINT AS non_null,
+              count_if(blank)::BIGINT AS null_count, count(DISTINCT v) FILTER (NOT blank) AS unique_count
+            FROM cells GROUP BY col)"""
+            for t, columns in tables.items()
+        )
     q["profile_samples"] = _with(DIRTY_CUSTOMERS) + """
         SELECT col AS "column", array_to_string(list(v ORDER BY k)[:5], '|') AS sample_values
         FROM (SELECT cust_key AS k, unnest(["cust_key", "segment", "email", "phone", "name"]) AS v,

@@ -335,6 +335,27 @@ def profile_documents(spark, sf_dir):
     return columns.select("name", "non_null", "null_count", "unique_count", "numeric_like_pct", "date_like_pct")
 
 
+def _counts_of(spark, sf_dir, name):
+    columns = profile.profile_columns(W.table(spark, sf_dir, name), samples=False)
+    return columns.select(F.lit(name).alias("table_name"), "name", "non_null", "null_count", "unique_count")
+
+
+@query
+def profile_lineitem(spark, sf_dir):
+    return _counts_of(spark, sf_dir, "lineitem")
+
+
+@query
+def profile_events(spark, sf_dir):
+    return _counts_of(spark, sf_dir, "events")
+
+
+@query
+def profile_dimensions(spark, sf_dir):
+    frames = [_counts_of(spark, sf_dir, name) for name in ("region", "nation", "supplier", "part", "pages")]
+    return reduce(lambda a, b: a.union(b), frames)
+
+
 @query
 def profile_samples(spark, sf_dir):
     samples = profile.sample_values(with_row_order(W.dirty_customers(spark, sf_dir), ["cust_key"]))

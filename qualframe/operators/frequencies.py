@@ -1,7 +1,7 @@
-"""Value counts of many columns in one shuffle.
+"""Value counts of many columns, a shuffle for each kind of key.
 
 Cells travel as (column, key) and are counted map-side first, so a value that fills a third of a
-column leaves each task as one row. Long texts are counted by their SHA-256 digest.
+column leaves each task as one row. Long texts are counted by their SHA-256 digest, whole numbers by bits.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from qualframe.functions import values as V
 from qualframe.operators.facts import data_columns, text_cells
@@ -35,29 +36,56 @@ def stripped_cells(df: DataFrame, names: list[str]) -> DataFrame:
     return cells.withColumn("blank", blank).select("column", "value", "s", "blank")
 
 
+def _whole(c: Column, dtype: T.DataType) -> Column | None:
+    """The one 64-bit number that stands for a value, for types that have such."""
+    if isinstance(dtype, T.IntegralType):
+        return c.cast("bigint")
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(c).cast("bigint")
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c)
+    if isinstance(dtype, T.DecimalType) and dtype.precision <= 18:
+        return (c * F.lit(10**dtype.scale).cast(T.DecimalType(dtype.scale + 1, 0))).cast("bigint")
+    return None
+
+
 def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:
-    """(column, unique_count) of present values of every column that has values to compare."""
-    spread, keys = [], []
-    for i, f in enumerate(data_columns(df)):
+    """(column, unique_count) of present values of every column that has values to compare.
+
+    Whole numbers are exchanged as words of a bitmap: 64 neighbouring numbers are one row of 64 bits, whatever their
+    range, and the bits are counted at the end. Floating numbers are exchanged as such, the rest as text.
+    """
+    whole, floating, text = {}, {}, {}
+    for f in data_columns(df):
         if V.kind_of(f.dataType) == V.NESTED:
             continue
         c = V.quoted(f.name)
-        text = c.cast("string")
-        if V.is_floating(f.dataType):
-            text = (c + F.lit(0).cast(f.dataType)).cast("string")
-        key = F.when(~V.is_blank(c, f.dataType), compact(text))
-        spread.append(key.alias(f"k{i}"))
-        keys.append((f.name, f"k{i}"))
-    cells = df.select(*spread).select(*[F.col(k).alias(name) for name, k in keys])
-    cells = cells.unpivot([], [V.quoted(name) for name, _ in keys], "column", "key").where("key is not null")
-    if approx:
-        return cells.groupBy("column").agg(F.approx_count_distinct("key").alias("unique_count"))
-    return (
-        cells.groupBy("column", "key")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("column")
-        .agg(F.count(F.lit(1)).alias("unique_count"))
-    )
+        present = lambda key: F.when(~V.is_blank(c, f.dataType), key)  # noqa: E731, B023
+        number = _whole(c, f.dataType)
+        if number is not None:
+            whole[f.name] = present(number)
+        elif V.is_floating(f.dataType):
+            floating[f.name] = present(c.cast("double"))
+        else:
+            text[f.name] = present(compact(c.cast("string")))
+    parts = []
+    for keys in (whole, floating, text):
+        if not keys:
+            continue
+        # named by number first: a column may bear the name of another's alias
+        cells = df.select(*[key.alias(f"k{i}") for i, key in enumerate(keys.values())])
+        cells = cells.select(*[F.col(f"k{i}").alias(name) for i, name in enumerate(keys)])
+        cells = cells.unpivot([], [V.quoted(name) for name in keys], "column", "key").where("key is not null")
+        if approx:
+            parts.append(cells.groupBy("column").agg(F.approx_count_distinct("key").alias("n")))
+        elif keys is whole:
+            words = cells.groupBy("column", F.shiftright("key", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(key & 63 AS INT))")).alias("bits"))
+            parts.append(words.groupBy("column").agg(F.sum(F.bit_count("bits").cast("bigint")).alias("n")))
+        else:
+            parts.append(cells.groupBy("column", "key").agg(F.lit(1)).groupBy("column").agg(F.count(F.lit(1)).alias("n")))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "column string, unique_count long")
+    return reduce(DataFrame.union, parts).withColumnRenamed("n", "unique_count")
 
 
 def spelling_hashes(df: DataFrame, names: list[str]) -> DataFrame:

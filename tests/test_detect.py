@@ -8,6 +8,7 @@ from qualframe.model import Thresholds, issues_frame
 from qualframe.operators import detect as D
 from qualframe.operators.detect import detect_issues
 from qualframe.operators.frequencies import case_clashes, spelling_hashes
+from qualframe.operators.frequencies import distinct_counts
 from qualframe.operators.profile import profile_columns, profile_table, sample_values
 from qualframe.operators.score import grade, score_issues
 
@@ -144,6 +145,40 @@ def test_profile(flawed):
     assert (whole["rows"], whole["columns"]) == (11, 7)
 
 
+def test_distinct_counts_of_every_type(spark):
+    rng = random.Random(4)
+    top = (1 << 63) - 1
+    whole = [*range(-130, 130), top, top - 1, -top, -top - 1, *[rng.randrange(-top, top) for _ in range(100)]]
+    values = [(rng.choice(whole), rng.randrange(-128, 128)) for _ in range(2000)] + [(v, 0) for v in whole] + [(None, None)] * 50
+    df = spark.createDataFrame(values, "key long, b int").selectExpr(
+        "key",
+        "CAST(b AS tinyint) AS `a.b`",
+        "CAST(key % 1000000000 / 7BD AS decimal(18, 4)) AS word",
+        "CAST(b AS decimal(30, 2)) AS wide",
+        "date_add(DATE'1970-01-01', b) AS day",
+        "timestamp_micros(key % 100000) AS at",
+        "CAST(b AS double) / 3 * if(b % 2 = 0, -0.0D, 1) AS `column`",
+        "CAST(b AS float) AS f",
+        "b > 0 AS flag",
+        "if(b < 9, NULL, repeat(CAST(b AS string), 40)) AS long_text",
+    ).repartition(7)
+    got = {r["column"]: r["unique_count"] for r in distinct_counts(df).collect()}
+    names = df.columns
+    assert set(got) == set(names)
+    seen = {n: {r[n] for r in df.collect() if r[n] is not None} for n in names}
+    assert got == {n: len(s) for n, s in seen.items()}
+    assert got["key"] == len(set(whole)) and set(distinct_counts(df.where("false")).collect()) == set()
+    rough = {r["column"]: r["unique_count"] for r in distinct_counts(df, approx=True).collect()}
+    assert all(abs(rough[n] - got[n]) <= 0.2 * got[n] + 1 for n in names)
+
+
+def test_dense_numbers_are_exchanged_as_words(spark):
+    plan = distinct_counts(spark.range(10))._jdf.queryExecution().toString()
+    assert "bit_or" in plan and "SortAggregate" not in plan
+    words = spark.range(1 << 20).groupBy(F.shiftright("id", 6)).count().count()
+    assert words == 1 << 14
+
+
 def test_samples_come_in_row_order(table):
     df = table({"v": ["z", "", "y", "a", "b", "c", "d"]}).repartition(5)
     assert sample_values(df).first()["sample_values"] == ["z", "y", "a", "b", "c"]
