@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from qualframe import model as M
 from qualframe.model import Decision, Issue, issues_frame
 from qualframe.operators import duplicates as DUP
+from qualframe.operators import fixes
 from qualframe.operators.detect import detect_issues
 from qualframe.operators.facts import HIDDEN
 from qualframe.operators.fixes import FixRejected, apply_all, apply_fix
@@ -343,3 +344,50 @@ def test_clipping_keeps_a_typed_column(spark):
     issue = M.Issue("o_n", M.OUTLIERS, "n", "low", "t", "d", 1, 5.0, "clip_outliers", lower_bound=-0.5, upper_bound=30.5)
     out = apply_all(df, [issue], [Decision("o_n", True, "clip_outliers")]).df
     assert out.dtypes == [("n", "bigint")] and sorted(r[0] for r in out.collect())[-2:] == [19, 30]
+
+
+def test_scalars_of_all_columns_in_as_few_rounds_as_one_column_needs(table, monkeypatch):
+    df = table(
+        {
+            "day": [" 13/02/2026 ", "03/02/2026", "", "04/02/2026"],
+            "cost": ["1", " 2", "x", ""],
+            "size": ["4", "", "4", "6"],
+            "town": [" Rome", "rome ", "", "Milan"],
+        }
+    )
+    steps = [
+        (made(M.WHITESPACE, "day"), "trim_whitespace"),
+        (made(M.DATES, "day"), "normalize_dates"),
+        (made(M.MISSING, "day"), "fill_mode"),
+        (made(M.WHITESPACE, "cost"), "trim_whitespace"),
+        (made(M.MIXED, "cost"), "coerce_numeric"),
+        (made(M.MISSING, "cost"), "fill_mean"),
+        (made(M.MISSING, "size"), "fill_median"),
+        (made(M.WHITESPACE, "town"), "trim_whitespace"),
+        (made(M.CASING, "town"), "standardize_case_title"),
+        (made(M.MISSING, "town"), "fill_mode"),
+    ]
+    rounds, gather = [], fixes.gather_scalars
+    monkeypatch.setattr(fixes, "gather_scalars", lambda df, wanted: (rounds.append(sorted(wanted)), gather(df, wanted))[1])
+    out = apply_all(df, [i for i, _ in steps], [Decision(i.issue_id, True, s) for i, s in steps])
+    assert all(a.applied for a in out.applied), [a.detail for a in out.applied]
+    rows = [tuple(r) for r in out.df.orderBy(HIDDEN).drop(HIDDEN).collect()]
+    assert rows == [
+        ("2026-02-13", 1.0, 4.0, "Rome"),
+        ("2026-02-03", 2.0, 4.0, "Rome"),
+        ("2026-02-03", 1.5, 4.0, "Rome"),
+        ("2026-02-04", 1.5, 6.0, "Milan"),
+    ]
+    assert rounds == [
+        [("fill_mean", "cost"), ("fill_median", "size"), ("fill_mode", "town"), ("normalize_dates", "day")],
+        [("fill_mode", "day")],
+    ]
+
+
+def test_copies_are_dropped_once(table, monkeypatch):
+    df = table({"a": ["1", "1", "2", ""], "b": ["x", "x", "y", "z"]})
+    calls, drop = [], fixes.drop_copies
+    monkeypatch.setattr(fixes, "drop_copies", lambda df: (calls.append(1), drop(df))[1])
+    steps = [(made(M.DUPLICATES, None), "drop_duplicates"), (made(M.MISSING, "a"), "drop_rows")]
+    out = apply_all(df, [i for i, _ in steps], [Decision(i.issue_id, True, s) for i, s in steps])
+    assert [a.rows_removed for a in out.applied] == [1, 1] and out.df.count() == 2 and len(calls) == 1
