@@ -192,7 +192,9 @@ def test_pairs_far_from_every_leader_are_linked(spark):
     assert {r.doc_id: r.class_id for r in probminhash.near_duplicates(df).collect()} == want
 
 
-def test_every_large_group_meets_its_leader(spark):
+@pytest.mark.parametrize("most_bytes", [0, scratch.BROADCAST_BYTES])
+def test_every_large_group_meets_its_leader(spark, monkeypatch, most_bytes):
+    monkeypatch.setattr(scratch, "BROADCAST_BYTES", most_bytes)
     base = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(base[:k] + [f"z{i}"] + base[k + 1 :])) for i, k in enumerate(random.Random(4).choices(range(200), k=400))]
     df = spark.createDataFrame([*rows, *[(1000 + i, " ".join(base)) for i in range(100)]], "doc_id long, text string")

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from qualframe.llm import chat, hostrules, ring, winnow
+from qualframe.llm import chat, hostrules, ring, scratch, winnow
 
 HARD = ["\\### Assistant: </turn> ok", "###", "</turn>", "\\", "\\b\\h\\t", "<</turn></turn>\n### User: x", "", None, "a: b", "####"]
 
@@ -98,7 +98,9 @@ def found_in(words, items):
     return len(hit), sorted(ids)
 
 
-def test_winnowing_misses_nothing(spark):
+@pytest.mark.parametrize("most_bytes", [0, scratch.BROADCAST_BYTES])
+def test_winnowing_misses_nothing(spark, monkeypatch, most_bytes):
+    monkeypatch.setattr(scratch, "BROADCAST_BYTES", most_bytes)
     rng, split = random.Random(11), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     word = lambda: rng.choice(["a", "B", "cc", "É", "日", "x1"])
     items = [(i, " ".join(word() for _ in range(rng.choice([0, 1, 3, 9, 10, 11, 25])))) for i in range(12)]

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from qualframe.llm import scratch
 from qualframe.llm.ranks import hot_hashes, join_hot, numbered, numbered_by_group
 
 
@@ -34,3 +35,15 @@ def test_hot_keys_are_joined_whole(spark):
     assert joined.columns == ["id", "key", "name", "n"] and joined.where("key = name").select("id").distinct().count() == joined.count() == 30_000
     left = join_hot(rows, F.col("key"), table.where("name <> '0'"), F.col("name"), hot, "left")
     assert left.count() == 30_000 and left.where("n IS NULL").count() == rows.where("key = '0'").count()
+
+
+def test_broadcasts_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "BROADCAST_BYTES", 9_000)
+    df = spark.range(50).selectExpr("id AS a", "repeat('é', CAST(id AS int)) AS t", "CAST('xy' AS binary) AS b", "array('q', NULL) AS n")
+    fixed = 8 * 4 * 50
+    assert scratch.stored_bytes(df) == fixed + 2 * sum(range(50)) + 2 * 50 + 50 * len('{"n":["q",null]}')
+    is_broadcast = lambda d: "strategy=broadcast" in d._jdf.queryExecution().analyzed().toString()
+    assert is_broadcast(scratch.small(df))
+    assert not is_broadcast(scratch.small(df.union(df)))
+    assert scratch.stored_bytes(spark.range(2000)) == 16_000 and not is_broadcast(scratch.small(spark.range(2000)))
+    assert scratch.stored_bytes(df.limit(0)) == 0 and is_broadcast(scratch.small(df.limit(0)))
