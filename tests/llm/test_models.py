@@ -512,3 +512,51 @@ def test_thresholds_come_from_rows_that_were_not_fitted(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "calibrate", lambda m, texts, y, x: (seen.update(held=texts), calibrate(m, texts, y, x))[1])
     toxicity.train(df.select("doc_id", "text", "lang"), df.select("doc_id", "toxic"), 1000)
     assert len(seen["held"]) == 60 and len(seen["fitted"]) == 240 and not set(seen["held"]) & set(seen["fitted"])
+
+
+def test_every_labelled_row_trains_or_calibrates(spark, monkeypatch):
+    df = spark.createDataFrame(toxic_rows(900, 4), "doc_id long, text string, lang string, toxic int")
+    docs, labels = df.select("doc_id", "text", "lang"), df.select("doc_id", "toxic")
+    learned, held, train_round, calibrate = [], [], toxicity.train_round, toxicity.calibrate_on_all
+
+    def recorded(model, rows, *more):
+        learned.extend(r.l_id for r in rows.select("l_id").collect())
+        train_round(model, rows, *more)
+
+    def recorded_held(model, rows):
+        held.extend(r.l_id for r in rows.select("l_id").collect())
+        return calibrate(model, rows)
+
+    monkeypatch.setattr(toxicity, "train_round", recorded)
+    monkeypatch.setattr(toxicity, "calibrate_on_all", recorded_held)
+    monkeypatch.setattr(toxicity, "ROWS_PER_SHARE", 150)
+    model = toxicity.train(docs.union(docs.limit(9)), labels, 300)
+    assert sorted(learned + held) == list(range(900)) and 120 < len(held) < 240
+    assert set(model.thresholds) == {"xx", "yy"} and not model.squares
+    fresh = toxic_rows(300, 5)
+    scored = toxicity.score_documents(spark.createDataFrame(fresh, df.schema), model, ["doc_id", "toxic"]).collect()
+    assert sum((r.score >= 0.7) != bool(r.toxic) for r in scored) <= 15
+    # files and partitions make no difference
+    again = toxicity.train(docs.union(docs.limit(9)).repartition(7), labels.repartition(3), 300)
+    assert again.thresholds == model.thresholds and np.array_equal(again.table, model.table)
+
+
+def test_words_of_rows_beyond_the_first_are_learned(spark):
+    rows = toxic_rows(800, 6)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    model = toxicity.train(df.select("doc_id", "text", "lang"), df.select("doc_id", "toxic"), 4)
+    scored = toxicity.score_documents(df, model, ["doc_id", "toxic"]).collect()
+    assert sum((r.score >= 0.7) != bool(r.toxic) for r in scored) <= 80
+
+
+def test_thresholds_by_counts_are_those_by_scores(spark):
+    rows = toxic_rows(400, 7)
+    model = toxicity.fit([r[1] for r in rows[:200]], np.array([r[3] for r in rows[:200]], np.float32))
+    held = rows[200:]
+    df = spark.createDataFrame(held, "doc_id long, text string, lang string, toxic int")
+    by_scores = toxicity.calibrate(model, [r[1] for r in held], np.array([r[3] for r in held]), [r[2] for r in held])
+    by_counts = toxicity.calibrate_on_all(model, df)
+    scores = {r.doc_id: r.score for r in toxicity.score_documents(df, model, ["doc_id"]).collect()}
+    for lang in ("xx", "yy"):
+        wrong = [sum((scores[i] >= t[lang]) != bool(y) for i, _, x, y in held if x == lang) for t in (by_scores, by_counts)]
+        assert wrong[1] <= wrong[0] + 1
