@@ -20,7 +20,7 @@ from qualframe.operators.quantiles import exact_quantiles
 from qualframe.plans import history, report
 from qualframe.plans.clean import clean
 from qualframe.sources.delimited import DELIMITERS, preview, read_delimited
-from qualframe.sources.tables import work_folder, write_delimited
+from qualframe.sources.tables import land, work_folder, write_delimited
 
 QUERIES = {}
 
@@ -201,8 +201,9 @@ def delimited_fill_and_copies(spark, sf_dir):
     """Orders as delimited text, read back: the first copies and the fills follow the numbers of its rows."""
     path = work_folder(spark, "orders-text")
     write_delimited(with_row_order(W.dirty_orders(spark, sf_dir), ["order_key"]), path)
-    read = read_delimited(spark, path + "/").repartition(13)
-    filled = forward_fill(duplicates.drop_copies(read), "discount", rows_per_bucket=1000)
+    read = land(read_delimited(spark, path + "/"), work_folder(spark, "orders-read")).repartition(13)
+    kept = land(duplicates.drop_copies(read), work_folder(spark, "orders-kept"))
+    filled = forward_fill(kept, "discount", rows_per_bucket=1000)
     return filled.select(F.col(f"{HIDDEN}.row").alias("row"), "order_key", "discount")
 
 

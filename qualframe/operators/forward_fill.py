@@ -3,7 +3,7 @@
 One window over the whole table would be one task. Instead the row order is cut into buckets at
 fixed boundaries taken from a sample of the order keys; each bucket is filled by itself, and the
 last present value of the buckets before it is handed in from a table of one row per bucket.
-The boundaries are literals, so every job puts a row into the same bucket.
+The boundaries are one constant array, so every job puts a row into the same bucket.
 """
 
 from __future__ import annotations
@@ -24,12 +24,6 @@ SAMPLES_PER_BUCKET = 20
 COPIES_PER_TASK = 1_000_000
 
 
-def _literal(value) -> Column:
-    if isinstance(value, Row):
-        return F.struct(*[_literal(v).alias(n) for n, v in value.asDict(recursive=False).items()])
-    return F.lit(value)
-
-
 def _key(df: DataFrame) -> Column:
     """Row order; rows the order leaves tied follow the hash of their cells."""
     cells = [V.quoted(f.name) for f in data_columns(df) if not isinstance(f.dataType, T.MapType)]
@@ -49,16 +43,20 @@ def _boundaries(df: DataFrame, rows_per_bucket: int) -> tuple[list[Row], bool]:
     return distinct, len(distinct) < len(picked)
 
 
-def _bucket(key: Column, boundaries: list[Row]) -> Column:
-    """Number of boundaries at or below the key, by binary search."""
+def _bucket(df: DataFrame, boundaries: list[Row]) -> Column:
+    """Number of boundaries at or below the key of df, by binary search."""
     if not boundaries:
         return F.lit(0)
-    bounds = F.array(*[_literal(b) for b in boundaries])
-    count = len(boundaries)
+    kind = df.select(_key(df).alias("k")).schema["k"].dataType
+    one_row = T.StructType([T.StructField("bounds", T.ArrayType(kind))])
+    # one constant, not an expression for each boundary; what JSON rounds moves a boundary, alike for every row
+    written = df.sparkSession.createDataFrame([(boundaries,)], one_row).select(F.to_json("bounds")).first()[0]
+    bounds = F.sort_array(F.from_json(F.lit(written), one_row["bounds"].dataType))
+    key, count = F.col("__key"), len(boundaries)
 
     def step(at: Column, _: Column) -> Column:
         middle = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
-        right = F.get(bounds, middle) <= key
+        right = F.coalesce(F.get(bounds, middle) <= key, F.lit(True))
         return (
             F.when(at["lo"] >= at["hi"], at)
             .when(right, F.struct((middle + 1).alias("lo"), at["hi"].alias("hi")))
@@ -74,7 +72,7 @@ def _fill(df: DataFrame, name: str, boundaries: list[Row]) -> DataFrame:
     field = df.schema[name]
     c = V.quoted(name)
     present = F.when(~V.is_blank(c, field.dataType), c)
-    placed = df.withColumn("__key", _key(df)).withColumn("__bucket", _bucket(F.col("__key"), boundaries))
+    placed = df.withColumn("__key", _key(df)).withColumn("__bucket", _bucket(df, boundaries))
     window = Window.partitionBy("__bucket").orderBy("__key").rowsBetween(Window.unboundedPreceding, 0)
     filled = F.last(present, ignorenulls=True).over(window)
     if not boundaries:
