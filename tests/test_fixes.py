@@ -391,3 +391,21 @@ def test_copies_are_dropped_once(table, monkeypatch):
     steps = [(made(M.DUPLICATES, None), "drop_duplicates"), (made(M.MISSING, "a"), "drop_rows")]
     out = apply_all(df, [i for i, _ in steps], [Decision(i.issue_id, True, s) for i, s in steps])
     assert [a.rows_removed for a in out.applied] == [1, 1] and out.df.count() == 2 and len(calls) == 1
+
+
+def test_bucket_boundaries_are_one_constant(spark, monkeypatch):
+    from qualframe.operators import forward_fill as module
+
+    structs, struct = [], module.F.struct
+    monkeypatch.setattr(module.F, "struct", lambda *c: (structs.append(1), struct(*c))[1])
+    keys = [None, float("nan"), 1e-300, *[i + 0.123456789012345 for i in range(600)]]
+    rows = [((k, i), "v%d" % i if i % 3 == 0 else "") for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, f"`{HIDDEN}` struct<k: double, i: int>, a string").repartition(5)
+    filled = module.forward_fill(df, "a", rows_per_bucket=5)
+    assert len(structs) < 40
+    got = [r.a for r in filled.orderBy(HIDDEN).collect()]
+    last, expected = None, []
+    for _, a in sorted(rows, key=lambda r: (r[0][0] is not None, r[0][0] != r[0][0], r[0][0] or 0.0)):
+        last = a or last
+        expected.append(last)
+    assert got == expected
