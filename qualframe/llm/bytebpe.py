@@ -4,8 +4,10 @@ Every byte stands for one printable character (the byte table), so that the libr
 turned back by reversing the table, and bytes that are no whole character are kept or shown as U+FFFD.
 
 Text is cut before single spaces and single line breaks between two non-blank characters. No match of the split
-pattern crosses such a place, so pieces are encoded alone with the same ids as the whole text, and a task encodes a
-piece once as long as it remembers it. Tokenizers that change the text first or split it by other rules get whole
+pattern crosses such a place, nor one between a letter and a mark, so pieces are encoded alone with the same ids as the whole
+text, and a task encodes a piece once as long as it remembers it. Arrow cuts the texts of a run and tells its distinct
+pieces; only these are looked up, and the ids of the run are gathered from theirs. Texts where blanks meet are cut one
+by one. Tokenizers that change the text first or split it by other rules get whole
 texts instead. Added tokens of the description that the library finds in a text are taken out first, where it would
 find them, and what lies between them is cut.
 
@@ -24,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from qualframe.llm.words import give_back, text_batches
 
 # Fixed value: the byte-level split pattern, with which cuts before single blanks agree.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-KEPT_PIECES = 600_000  # in one task, about 90 MB; a fuller memory starts anew
+KEPT_PIECES = 400_000  # in one task, about 60 MB; a fuller memory starts anew
 LONGEST_KEPT = 64  # characters; longer pieces are encoded each time
 KEPT_MARKS = 10_000
 
@@ -51,6 +54,10 @@ BYTES = byte_table()
 #: A Latin word with its space, and punctuation after it: two matches of the pattern.
 WORD_AND_MARKS = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?%&$*#|()]*)")
 
+#: Stands before a piece that has no space: the start of a text or marks behind a letter. Texts with it are not cut.
+BARE = "\x01"
+MARKS_BEHIND_LETTER = r"(\pL)([.,;:!?%&$*#|()])"
+
 
 def can_cut(description: dict) -> bool:
     """Whether a tokenizer leaves the text as it is and splits it by the byte-level pattern only."""
@@ -120,7 +127,8 @@ class Encoder:
         self.bytes_of = [b""] * (max(vocab.values(), default=-1) + 1)
         for token, i in vocab.items():
             self.bytes_of[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
-        added = json.loads(description).get("added_tokens", [])
+        parsed = json.loads(description)
+        added = parsed.get("added_tokens", [])
         for token in added:
             if token["id"] >= len(self.bytes_of):
                 self.bytes_of += [b""] * (token["id"] + 1 - len(self.bytes_of))
@@ -130,7 +138,7 @@ class Encoder:
         self.added = {t["content"]: np.array([t["id"]], np.uint32).tobytes() for t in found}
         self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         wide = any(t.get(k) for t in found for k in ("lstrip", "rstrip", "single_word"))
-        self.cuts = can_cut(json.loads(description)) and not wide
+        self.cuts = can_cut(parsed) and not wide
         self.forget()
 
     def forget(self) -> None:
@@ -143,12 +151,50 @@ class Encoder:
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of each text."""
-        encode = self._between_added if self.cuts else self._ids
-        return [np.frombuffer(encode(t), np.uint32) for t in texts]
+        if not self.cuts:
+            return [np.frombuffer(self._ids(t), np.uint32) for t in texts]
+        apart = [BARE in t or any(a in t for a in self.added) for t in texts]
+        found = iter(self._by_distinct_pieces([t for t, other in zip(texts, apart) if not other]))
+        return [np.frombuffer(self._between_added(t), np.uint32) if other else next(found) for t, other in zip(texts, apart)]
+
+    def _by_distinct_pieces(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts without added tokens, each distinct piece of all texts being looked up once."""
+        if not texts:
+            return []
+        cut = pc.replace_substring_regex(pa.array([BARE + t for t in texts]), MARKS_BEHIND_LETTER, rf"\1 {BARE}\2")
+        cut = pc.split_pattern(pc.replace_substring(cut, "\n", " \n"), " ")
+        coded = cut.flatten().dictionary_encode()
+        if len(self.cache) >= KEPT_PIECES:
+            self.cache.clear()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = list(map(self.cache.get, pieces))
+        blank = np.zeros(len(pieces), bool)  # pieces at which blanks meet
+        cache, tokenize, space = self.cache, self.model.tokenize, BYTES[32]
+        for i in [i for i, ids in enumerate(known) if ids is None]:
+            piece = pieces[i]
+            if piece.isascii() and piece.isalpha() and len(piece) <= LONGEST_KEPT and len(cache) < KEPT_PIECES:
+                # most pieces: a word, as in _word
+                known[i] = cache[piece] = array("I", [t.id for t in tokenize(space + piece)]).tobytes()
+                continue
+            try:
+                known[i] = cache[piece]
+            except KeyError:
+                known[i], blank[i] = b"", True
+        place, ends = coded.indices.to_numpy(), cut.offsets.to_numpy()
+        sizes = np.fromiter(map(len, known), np.int32, len(known)) // 4
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
+        flat, sizes = np.frombuffer(b"".join(known), np.uint32), sizes[place]
+        until = np.concatenate([np.zeros(1, np.int32), np.cumsum(sizes, dtype=np.int32)])
+        shift = np.repeat(starts[place] - until[:-1], sizes)
+        shift += np.arange(len(shift), dtype=np.int32)
+        ids, until = flat[shift], until[ends].tolist()
+        meet = np.logical_or.reduceat(blank[place], ends[:-1])
+        one = lambda i, t: np.frombuffer(self._by_pieces(t), np.uint32) if meet[i] else ids[until[i] : until[i + 1]]
+        return [one(i, t) for i, t in enumerate(texts)]
 
     def _between_added(self, text: str) -> bytes:
-        if not any(t in text for t in self.added):
-            return self._by_pieces(text)
+        if BARE in text:
+            return self._ids(text)
         parts = self.at_added.split(text)
         return b"".join([self.added[p] if i % 2 else self._by_pieces(p) for i, p in enumerate(parts)])
 
@@ -203,12 +249,14 @@ class Encoder:
 
 
 def stands_alone(piece: str) -> bool:
-    """Whether a piece starts (after its line break) and ends with a character that is not blank."""
-    return bool(piece) and not piece[-1].isspace() and not piece[piece[0] == "\n"].isspace()
+    """Whether a piece starts (after its line break or BARE) and ends with a character that is not blank."""
+    return bool(piece) and not piece[-1].isspace() and not piece[piece[0] in ("\n", BARE)].isspace()
 
 
 def written(piece: str) -> str:
-    """The text of a piece: its space, which pieces leave out unless they start with a line break, belongs to it."""
+    """The text of a piece: its space, which pieces leave out unless they start with a line break or BARE, belongs to it."""
+    if piece[:1] == BARE:
+        return piece[1:]
     return (piece if piece[:1] == "\n" else " " + piece).replace(" \n", "\n")
 
 
@@ -234,6 +282,8 @@ class PieceIds(dict):
     def __missing__(self, piece: str) -> bytes:
         if piece.isalpha() and (piece.isascii() or max(piece) <= "\u024f"):
             ids = self.learn_word(piece)
+        elif piece == BARE:
+            return b""
         elif stands_alone(piece):
             ids = self.learn(written(piece))
         else:

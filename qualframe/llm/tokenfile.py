@@ -28,80 +28,91 @@ BLOCK_IDS = 1 << 18
 END_ID = 0
 #: Byte counts of the four ids of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.uint8) + 1
+MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control, data) of uint32 ranks."""
-    ranks = ranks.astype("<u4")
+    ranks = ranks.astype(np.uint32)
     size = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     codes[: len(ranks)] = size - 1
-    control = codes.reshape(-1, 4) << (2 * np.arange(4, dtype=np.uint8))
-    used = np.arange(4) < size[:, None]
-    return control.sum(axis=1).astype(np.uint8).tobytes(), ranks.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    control = codes[::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
+    at = np.cumsum(size, dtype=np.int64) - size
+    total = int(at[-1]) + int(size[-1]) if len(at) else 0
+    data = np.zeros(total + 3, np.uint8)
+    for k in reversed(range(int(size.max(initial=0)))):
+        # bytes past the end of an id lie on lower bytes of those behind it, which are written after them
+        data[at + k] = (ranks >> np.uint32(8 * k)).astype(np.uint8)
+    return control.tobytes(), data[:total].tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n ranks of (control, data): byte counts come from a table, by control byte."""
     size = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    out = np.zeros((n, 4), np.uint8)
-    out[np.arange(4) < size[:, None]] = np.frombuffer(data, np.uint8)
-    return out.view("<u4").reshape(-1)
+    at = np.cumsum(size, dtype=np.int64) - size
+    # four bytes from the first of each id on, of which those of the ids behind it are masked out
+    words = np.ndarray(len(data), "<u4", bytes(data) + bytes(3), strides=(1,))
+    return words[at] & MASKS[size]
 
 
 def encoded(docs: DataFrame, description: str, id_col: str, text: str, specials: bool = False) -> DataFrame:
-    """(doc, n, crc, ids): little-endian ids with the end id, as two bytes each where the vocabulary allows."""
+    """(doc, n, crc, ids, counts): little-endian ids with the end id, as two bytes each where the vocabulary allows.
+
+    A task's last row has nothing but counts: how often each id occurs in the task, eight bytes each.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(description)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(shared.value, specials)
         narrow = id_type(len(own.bytes_of))
-        end = np.array([END_ID], np.uint32)
+        end, counts = np.array([END_ID], np.uint32), np.zeros(len(own.bytes_of), np.int64)
+        names = ["doc", "n", "crc", "ids", "counts"]
         try:
             for batch in batches:
                 for start, texts in text_batches(batch.column(1)):
                     ids = [np.concatenate([x, end]) for x in own.encode_batch(texts)]
+                    counts += np.bincount(np.concatenate(ids), minlength=len(counts))
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0).slice(start, len(texts)),
                             pa.array([len(x) for x in ids], pa.int64()),
                             pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
                             pa.array([x.astype(narrow).tobytes() for x in ids], pa.binary()),
+                            pa.nulls(len(ids), pa.binary()),
                         ],
-                        ["doc", "n", "crc", "ids"],
+                        names,
                     )
+                last = batch.column(0).type
+            if counts.any():
+                kinds = [last, pa.int64(), pa.int64(), pa.binary()]
+                totals = pa.array([counts.astype("<i8").tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in kinds], totals], names)
         finally:
             own.forget()
             give_back()
 
     chosen = docs.select(F.col(id_col).alias("doc"), F.col(text).cast("string").alias("body"))
     kind = dict(chosen.dtypes)["doc"]
-    return chosen.mapInArrow(run, f"doc {kind}, n long, crc long, ids binary")
+    return chosen.mapInArrow(run, f"doc {kind}, n long, crc long, ids binary, counts binary")
 
 
 def id_type(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-def frequencies(ids: DataFrame, vocabulary: int) -> DataFrame:
-    """(id, n) over all documents; each task sends at most one row an id."""
-    narrow = id_type(vocabulary)
+def frequencies(ids: DataFrame) -> DataFrame:
+    """(id, n) over all documents, from one row of counts a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size = np.zeros(vocabulary, np.int64), [], 0
         for batch in batches:
             for x in batch.column(0):
-                held.append(np.frombuffer(x.as_buffer(), narrow))
-                size += len(held[-1])
-                if size >= BLOCK_IDS:
-                    total += np.bincount(np.concatenate(held), minlength=vocabulary)
-                    held, size = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=vocabulary)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], ["id", "n"])
+                total = np.frombuffer(x.as_buffer(), "<i8")
+                seen = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], ["id", "n"])
 
-    return ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = ids.where("counts is not null").select("counts")
+    return counts.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_tokens(
@@ -114,7 +125,7 @@ def write_tokens(
     spark = docs.sparkSession
     vocabulary = len(encoder(description).bytes_of)
     ids = store(encoded(docs, description, id_col, text, specials), "ids", "zstd")
-    ranked = [r.id for r in frequencies(ids, vocabulary).orderBy(F.desc("n"), "id").collect()]  # one row an id
+    ranked = [r.id for r in frequencies(ids).orderBy(F.desc("n"), "id").collect()]  # one row an id
     spark.createDataFrame(list(enumerate(ranked)), "rank int, id int").coalesce(1).write.parquet(f"{folder}/ranks")
     rank_of = np.zeros(vocabulary, np.uint32)
     rank_of[np.array(ranked, np.int64)] = np.arange(len(ranked))
@@ -146,7 +157,7 @@ def write_tokens(
         if held:
             yield out()
 
-    ordered = ids.repartitionByRange("doc", "crc").sortWithinPartitions("doc", "crc", "n").select("doc", "ids")
+    ordered = ids.where("counts is null").repartitionByRange("doc", "crc").sortWithinPartitions("doc", "crc", "n").select("doc", "ids")
     schema = (
         f"part int, block int, start long, n long, docs array<{kind}>, size_control binary, size_data binary, "
         "control binary, data binary"

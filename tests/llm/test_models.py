@@ -77,6 +77,34 @@ def test_pieces_have_the_ids_of_the_whole_text(multi, monkeypatch):
             assert own.encode_batch([t])[0].tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_distinct_pieces_are_looked_up_once_a_run(multi, monkeypatch):
+    class Counted(bytebpe.PieceIds):
+        asked = 0
+
+        def get(self, piece):
+            Counted.asked += 1
+            return super().get(piece)
+
+        def __getitem__(self, piece):
+            Counted.asked += 1
+            return super().__getitem__(piece)
+
+    rng = random.Random(4)
+    words = ["Wort", "Wort,", "(a.b)", "don't", "('s", "é.", "12", "1,2", "日本", "\x01", "\nx", "ª;", "x" * 70 + "!", "<|endoftext|>"]
+    texts = [" ".join(rng.choices(words, k=300)) for _ in range(20)] + ["", " ", "a  b", "\n", " a", "\x01", ","]
+    with open(public_tokenizers.path(queries.BPE_JSON), encoding="utf-8") as f:
+        descriptions = [f.read(), multi]
+    for kept in (3, 1000):
+        monkeypatch.setattr(bytebpe, "KEPT_PIECES", kept)
+        for own in map(bytebpe.Encoder, descriptions):
+            for t, ids in zip(texts, own.encode_batch(texts)):
+                assert ids.tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids, t
+            assert len(own.cache) <= kept
+    own.cache = Counted(own._learn, own._word)
+    found = own.encode_batch(["Wort, Wort. Wort; " * 500 + "end"])[0]
+    assert len(found) >= 3000 and Counted.asked < 30 and "Wort" in own.cache and "Wort," not in own.cache
+
+
 def test_other_tokenizers_get_whole_texts():
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         description = f.read()
@@ -560,3 +588,15 @@ def test_thresholds_by_counts_are_those_by_scores(spark):
     for lang in ("xx", "yy"):
         wrong = [sum((scores[i] >= t[lang]) != bool(y) for i, _, x, y in held if x == lang) for t in (by_scores, by_counts)]
         assert wrong[1] <= wrong[0] + 1
+
+
+def test_ids_are_counted_while_they_are_encoded(spark):
+    with open(public_tokenizers.path(queries.BPE_JSON), encoding="utf-8") as f:
+        description = f.read()
+    rows = [(i, t) for i, t in enumerate(odd_texts())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = tokenfile.encoded(df, description, "doc_id", "text").cache()
+    assert found.where("counts is null").count() == len(rows) and 1 <= found.where("counts is not null").count() <= 3
+    ids = [i for r in found.where("counts is null").collect() for i in np.frombuffer(r.ids, "<u2").tolist()]
+    assert {r.id: r.n for r in tokenfile.frequencies(found).collect()} == Counter(ids)
+    assert tokenfile.encoded(df.limit(0), description, "doc_id", "text").count() == 0
