@@ -51,7 +51,7 @@ def comparable(c: Column, dtype: T.DataType) -> Column:
         def entry(e: Column) -> Column:
             return F.struct(comparable(e["key"], dtype.keyType).alias("k"), comparable(e["value"], dtype.valueType).alias("v"))
 
-        return F.array_sort(F.transform(F.map_entries(c), entry))
+        return F.sort_array(F.transform(F.map_entries(c), entry))
     return c.cast("string")
 
 
@@ -100,22 +100,29 @@ def count_copies(df: DataFrame, examples: int = 3, shuffle_whole: int | None = N
     Without a known row order the examples are the lowest repeated rows. ``shuffle_whole``: the bytes up to which the
     table is grouped in one go, SHUFFLE_WHOLE unless given.
     """
-    rows = df
-    if not _is_moderate(df, shuffle_whole):
-        hashes = repeated_hashes(df)
-        how_many = hashes.count()
-        if not how_many:
+    rows, stored = df, []
+    try:
+        if not _is_moderate(df, shuffle_whole):
+            hashes = repeated_hashes(df).persist()
+            stored.append(hashes)
+            how_many = hashes.count()
+            if not how_many:
+                return 0, []
+            rows = suspects(df, hashes, how_many) if how_many <= BROADCAST_HASHES else df
+        ordered = HIDDEN in df.columns
+        groups = (_places(rows, examples) if ordered else _shown_groups(rows)).persist()
+        stored.append(groups)
+        found = groups.agg(F.sum(F.col("copies") - 1)).first()[0]
+        if not found:
             return 0, []
-        rows = suspects(df, hashes, how_many) if how_many <= BROADCAST_HASHES else df
-    groups = copy_groups(rows)
-    found = groups.agg(F.sum(F.col("copies") - 1)).first()[0]
-    if not found:
-        return 0, []
-    if HIDDEN in df.columns:
-        few = _first_later(rows, examples)
-        few += _tied(rows, examples - len(few))
-    else:
-        few = _lowest(rows, examples)
+        if ordered:
+            few = _first_later(_up_to_later(rows, groups, examples), examples)
+            few += _tied(rows, min(examples, found) - len(few))
+        else:
+            few = _lowest(groups, examples)
+    finally:
+        for table in stored:
+            table.unpersist()
     names = [f.name for f in data_columns(df)]
     return found, [" | ".join(f"{n}={v}" for n, v in zip(names, row)) for row in few]
 
@@ -124,14 +131,44 @@ def _shown(df: DataFrame) -> list[Column]:
     return [F.left(V.as_text(V.quoted(f.name)), F.lit(20)).alias(f"s{i}") for i, f in enumerate(data_columns(df))]
 
 
-def _lowest(rows: DataFrame, examples: int) -> list[tuple]:
-    """The lowest repeated rows, each once."""
+def _shown_groups(rows: DataFrame) -> DataFrame:
+    """The groups of equal rows with their number in ``copies`` and one of them spelt out."""
     cells = rows.select(*_keys(rows), F.struct(*_shown(rows)).alias("shown"))
     keys = [c for c in cells.columns if c != "shown"]
-    groups = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"), F.min("shown").alias("shown")).where("copies > 1")
+    return cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"), F.min("shown").alias("shown")).where("copies > 1")
+
+
+def _lowest(groups: DataFrame, examples: int) -> list[tuple]:
+    """The lowest repeated rows, each once."""
+    keys = [c for c in groups.columns if c not in ("copies", "shown")]
     return [tuple(r["shown"]) for r in groups.orderBy(*keys).limit(examples).select("shown").collect()]
 
 
+def _places(rows: DataFrame, examples: int) -> DataFrame:
+    """(copies, first, later) of the groups of equal rows: the first place, and some of the places behind it.
+
+    Rows are dealt into as many heaps and one more by a hash of their place; the lowest place of each heap is known, and
+    the highest of all. Those that are not the first belong to later rows, low ones if there are many copies.
+    """
+    heaps = examples + 1
+    cells = rows.select(*_keys(rows), F.col(HIDDEN).alias("at"))
+    keys = [c for c in cells.columns if c != "at"]
+    heap = F.pmod(F.xxhash64("at"), F.lit(heaps))
+    lows = [F.min(F.when(heap == i, F.col("at"))) for i in range(heaps)]
+    places = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"), F.min("at").alias("first"), F.array(*lows, F.max("at")).alias("some"))
+    later = F.filter(F.array_distinct("some"), lambda at: at > F.col("first"))
+    return places.where("copies > 1").select("copies", "first", later.alias("later"))
+
+
+def _up_to_later(rows: DataFrame, groups: DataFrame, examples: int) -> DataFrame:
+    """The rows up to a place by which at least that many repeat an earlier one; none if no place is behind another."""
+    low = groups.select(F.explode("later").alias("at")).orderBy("at").limit(examples)
+    known = low.count()
+    if known < examples:
+        return rows if known else rows.limit(0)
+    return rows.where(F.col(HIDDEN) <= low.agg(F.max("at")).scalar())
+
+
 def _first_later(rows: DataFrame, examples: int) -> list[tuple]:
     """The first rows in row order that repeat an earlier one.
 

@@ -103,6 +103,42 @@ def test_copies_of_nested_rows(spark, whole):
     assert DUP.count_copies(empties, shuffle_whole=whole)[0] == 1
 
 
+@pytest.mark.parametrize("whole, most", [(1 << 30, 1.2), (0, 2.2)])
+def test_copies_are_counted_in_few_scans(spark, whole, most):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(v):
+        seen.add(1)
+        return v % 50
+
+    n = 2000
+    df = spark.range(n).select(F.udf(counted, "long")("id").alias("v"), F.struct(F.col("id").alias("at")).alias(HIDDEN))
+    assert DUP.count_copies(df, shuffle_whole=whole) == (n - 50, ["v=0", "v=1", "v=2"])
+    assert seen.value <= most * n
+    seen.value = 0
+    assert DUP.count_copies(df.drop(HIDDEN), shuffle_whole=whole) == (n - 50, ["v=0", "v=1", "v=2"])
+    assert seen.value <= most * n
+
+
+def test_first_later_rows_wherever_they_are(spark):
+    """Few copies, many, at the end only, and of one place, against the rows in order."""
+    rng = random.Random(2)
+    tables = [[rng.randrange(k) for _ in range(60)] for k in (2, 30, 1000)]
+    tables += [[*range(50), 7], [*range(50), 7, 7, 3, 7], [1] * 5, [*range(9)]]
+    for cells in tables:
+        places = rng.sample(range(1000), len(cells))
+        rows = [((p if p != min(places) else None,), v) for p, v in zip(places, cells)]
+        df = spark.createDataFrame(rows, f"{HIDDEN} struct<at:int>, v int").repartition(3)
+        known, later = set(), []
+        for _, v in sorted(zip(places, cells)):
+            later += [f"v={v}"] * (v in known)
+            known.add(v)
+        for examples in (1, 3, 5):
+            assert DUP.count_copies(df, examples) == (len(later), later[:examples]), cells
+    tied = spark.createDataFrame([((1,), "a"), ((1,), "a"), ((2,), "b"), ((3,), "b"), ((0,), "c")], f"{HIDDEN} struct<at:int>, v string")
+    assert DUP.count_copies(tied) == (2, ["v=b", "v=a"])
+
+
 def test_ordered_examples_are_compared_in_full(spark, monkeypatch):
     """With one hash for several rows only true copies are shown, in row order; ties with the first copy come last."""
     monkeypatch.setattr(DUP, "_row_hash", lambda df: F.xxhash64(F.length("v")))
