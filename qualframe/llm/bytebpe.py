@@ -120,6 +120,9 @@ class Encoder:
     def __init__(self, description: str, specials: bool = False):
         from tokenizers import Tokenizer
 
+        parsed = json.loads(description)  # gone before the tokenizer is built: both at once are a worker's highest point
+        added, by_pattern = parsed.get("added_tokens", []), can_cut(parsed)
+        del parsed
         self.tokenizer = Tokenizer.from_str(description)
         self.tokenizer.encode_special_tokens = not specials
         back = {c: b for b, c in enumerate(byte_table())}
@@ -127,8 +130,7 @@ class Encoder:
         self.bytes_of = [b""] * (max(vocab.values(), default=-1) + 1)
         for token, i in vocab.items():
             self.bytes_of[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
-        parsed = json.loads(description)
-        added = parsed.get("added_tokens", [])
+        del vocab
         for token in added:
             if token["id"] >= len(self.bytes_of):
                 self.bytes_of += [b""] * (token["id"] + 1 - len(self.bytes_of))
@@ -138,7 +140,7 @@ class Encoder:
         self.added = {t["content"]: np.array([t["id"]], np.uint32).tobytes() for t in found}
         self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         wide = any(t.get(k) for t in found for k in ("lstrip", "rstrip", "single_word"))
-        self.cuts = can_cut(parsed) and not wide
+        self.cuts = by_pattern and not wide
         self.forget()
 
     def forget(self) -> None:
@@ -317,6 +319,7 @@ def encoder(description: str, specials: bool = False) -> Encoder:
     if key not in _encoders:
         _encoders.clear()
         _encoders[key] = Encoder(description, specials)
+        give_back()
     return _encoders[key]
 
 

@@ -600,3 +600,12 @@ def test_ids_are_counted_while_they_are_encoded(spark):
     ids = [i for r in found.where("counts is null").collect() for i in np.frombuffer(r.ids, "<u2").tolist()]
     assert {r.id: r.n for r in tokenfile.frequencies(found).collect()} == Counter(ids)
     assert tokenfile.encoded(df.limit(0), description, "doc_id", "text").count() == 0
+
+
+def test_a_worker_gives_back_what_building_its_encoder_took(monkeypatch, multi):
+    given = []
+    monkeypatch.setattr(bytebpe, "give_back", lambda: given.append(True))
+    monkeypatch.setattr(bytebpe, "_encoders", {})
+    own = bytebpe.encoder(multi)
+    assert given == [True] and bytebpe.encoder(multi) is own and given == [True]
+    assert bytebpe.KEPT_PIECES <= 400_000
